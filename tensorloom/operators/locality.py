@@ -1,0 +1,93 @@
+"""How often an access trace would find its shard among the last K used ones."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tensorloom.functions.ranking import order_rank
+
+CHUNK = 1 << 14
+
+
+def locality_report(
+    trace: DataFrame,
+    capacities: list[int],
+    *,
+    worker: str = "worker",
+    order: list[str] | None = None,
+    shard: str = "shard_id",
+    chunk: int = CHUNK,
+) -> DataFrame:
+    """Hits and misses per worker and capacity K, for least-recently-used eviction.
+
+    An access hits when fewer than K other shards were used since the last access of
+    its shard, i.e. when it is among the K most recent distinct shards. That recency
+    list merges associatively, so a worker's trace needs no single task:
+
+    1. rank accesses globally by (worker, order) and cut them into chunks,
+    2. summarise each chunk by its most recent distinct shards,
+    3. prefix-merge the summaries (doubling with ``lag``; log2(chunks) steps),
+    4. replay every chunk in parallel from the list it inherits.
+    """
+    depth = max(capacities)
+    order = order or ["seq"]
+    steps = max(math.ceil(math.log2(trace.count() / chunk + 1)), 1)
+
+    narrow = trace.select(worker, *order, shard)
+    ranked = order_rank(narrow, [worker, *order], out="_pos")
+    chunks = (
+        ranked.withColumn("_chunk", F.floor(F.col("_pos") / F.lit(chunk)).cast("long"))
+        .groupBy(worker, "_chunk")
+        .agg(F.array_sort(F.collect_list(F.struct("_pos", F.col(shard).alias("s")))).alias("_seq"))
+        .withColumn("_seq", F.transform("_seq", lambda x: x["s"]))
+        .withColumn("_recent", _top(F.reverse("_seq"), depth))
+    )
+
+    along = Window.partitionBy(worker).orderBy("_chunk")
+    for i in range(steps):
+        older = F.lag("_recent", 1 << i).over(along)
+        merged = _top(F.concat(F.col("_recent"), F.coalesce(F.col("_older"), F.slice("_recent", 1, 0))), depth)
+        chunks = chunks.withColumn("_older", older).withColumn("_recent", merged).drop("_older")
+    inherited = F.coalesce(F.lag("_recent", 1).over(along), F.slice("_recent", 1, 0))
+    replayed = chunks.withColumn("_inherited", inherited).withColumn(
+        "_at", _replay(F.col("_seq"), F.col("_inherited"), depth)
+    )
+
+    at_rank = [F.sum(F.get("_at", i)) for i in range(depth)]
+    counted = replayed.groupBy(worker).agg(
+        F.sum(F.size("_seq")).alias("accesses"), *[c.alias(f"_at{i}") for i, c in enumerate(at_rank)]
+    )
+    counted = counted.withColumns(
+        {f"_k{k}": sum((F.col(f"_at{i}") for i in range(k)), F.lit(0).cast("long")) for k in capacities}
+    )
+    per_k = F.explode(F.array(*[F.struct(F.lit(k).alias("capacity"), F.col(f"_k{k}").alias("hits")) for k in capacities]))
+    hits, n = F.col("hits"), F.col("accesses")
+    return (
+        counted.select(worker, "accesses", per_k.alias("r"))
+        .select(worker, "r.capacity", "accesses", "r.hits")
+        .withColumns({"misses": n - hits, "hit_rate": F.format_string("%.1f%%", hits / n * 100)})
+    )
+
+
+def _top(shards: Column, depth: int) -> Column:
+    """The first ``depth`` distinct entries, order kept."""
+    return F.slice(F.array_distinct(shards), 1, depth)
+
+
+def _replay(seq: Column, inherited: Column, depth: int) -> Column:
+    """How many accesses found their shard at recency rank 1..depth."""
+    none = F.array_repeat(F.lit(0).cast("long"), depth)
+    start = F.struct(inherited.alias("recent"), none.alias("at"))
+
+    def touch(state: Column, s: Column) -> Column:
+        found = F.array(F.array_position(state["recent"], s))
+        counted = F.flatten(
+            F.transform(found, lambda rank: F.transform(state["at"], lambda n, i: F.when(rank == i + 1, n + 1).otherwise(n)))
+        )
+        recent = F.slice(F.concat(F.array(s), F.array_remove(state["recent"], s)), 1, depth)
+        return F.struct(recent.alias("recent"), counted.alias("at"))
+
+    return F.aggregate(seq, start, touch, lambda state: state["at"])
