@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # IEEE 754 binary16: fixed values
 HALF_MIN_EXPONENT = -14
@@ -36,13 +40,36 @@ def to_half(arr: Column) -> Column:
     return F.transform(arr, half_value)
 
 
-@F.pandas_udf("binary")
-def pack_half(arr: pd.Series) -> pd.Series:
-    """Array of floats -> little-endian binary16 bytes (half the bytes of float)."""
-    return arr.map(lambda a: None if a is None else np.asarray(a, dtype="<f2").tobytes())
+def pack_half(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Float-array columns -> little-endian binary16 bytes (half the bytes of float).
+
+    A batch transform rather than a scalar UDF: all columns are needed by a write
+    anyway, and the input may be any expression (the optimizer does not extract
+    scalar Python UDFs whose argument holds nested lambdas reliably).
+    """
+    chosen = set(columns)
+    schema = T.StructType(
+        [T.StructField(f.name, T.BinaryType() if f.name in chosen else f.dataType, True) for f in df.schema.fields]
+    )
+
+    def packed(column: pa.Array) -> pa.Array:
+        raw = column.flatten().to_numpy(zero_copy_only=False).astype("<f2").tobytes()
+        out, start = [], 0
+        for n in column.value_lengths().to_pylist():
+            out.append(None if n is None else raw[start : start + 2 * n])
+            start += 2 * (n or 0)
+        return pa.array(out, pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            arrays = [packed(c) if n in chosen else c for n, c in zip(names, batch.columns, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return df.mapInArrow(run, schema)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def unpack_half(raw: pd.Series) -> pd.Series:
     """Little-endian binary16 bytes -> array of floats (widened for compute)."""
     return raw.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f2").astype(np.float32))

@@ -22,12 +22,13 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tensorloom.functions.hashing import hash32
 from tensorloom.session import shuffle_width
 
 MAX_BITS = 18
-MAX_BORDERS = 2048
+MAX_BORDERS = 1024
 SAMPLES_PER_BORDER = 16
 
 
@@ -68,7 +69,8 @@ def order_rank(
     """Position of each row in the ascending order of ``keys``."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     cuts = sample_borders(df, keys, borders or min(shuffle_width(df.sparkSession) * 4, MAX_BORDERS))
-    placed = df.withColumn("_bucket", bucket_of(_as_key(keys), cuts))
+    key_type = df.select(_as_key(keys).alias("k")).schema["k"].dataType
+    placed = df.withColumn("_bucket", bucket_of(_as_key(keys), cuts, key_type))
     return _number_in_buckets(placed, keys, out, total)
 
 
@@ -89,11 +91,15 @@ def sample_borders(df: DataFrame, keys: list[str], borders: int) -> list:
     return list(sample.first()["k"])
 
 
-def bucket_of(key: Column, cuts: list) -> Column:
-    """How many cuts are <= key, by binary search over a literal array."""
+def bucket_of(key: Column, cuts: list, key_type: T.DataType) -> Column:
+    """How many cuts are <= key, by binary search over a literal array.
+
+    Cuts take exactly the key's type: any monotone placement is a valid bucketing, a
+    comparison across types (time zones, for one) might not be monotone.
+    """
     if not cuts:
         return F.lit(0)
-    table = F.array(*[_as_literal(c) for c in cuts])
+    table = F.array(*[_as_literal(c) for c in cuts]).cast(T.ArrayType(key_type))
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
     found = F.aggregate(
         steps,

@@ -27,7 +27,12 @@ class BatchModel:
 
 
 def apply_model(df: DataFrame, model: BatchModel, column: str, batch_size: int = 32, drop: bool = True) -> DataFrame:
-    """Run a model over ``column`` and add its output tensors as array columns."""
+    """Run a model over ``column`` and add its output tensors as array columns.
+
+    ``column`` should be a stored column or the output of a batch transform (decoded
+    pixels, scored latents): the optimizer does not reliably extract a Python UDF
+    whose argument is itself an expression with nested lambdas.
+    """
     schema = T.StructType([T.StructField(n, T.ArrayType(T.FloatType())) for n in model.outputs])
     predict = predict_batch_udf(
         model.make_predict_fn, return_type=schema, batch_size=batch_size, input_tensor_shapes=[list(model.input_shape)]

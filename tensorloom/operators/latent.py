@@ -33,8 +33,8 @@ def tokens_to_grid(tokens: Column, channels: int, grid: int) -> Column:
 def upsample2x(latent: Column, channels: int, grid: int) -> Column:
     """Bilinear x2 at half-pixel centres with clamped edges, as double.
 
-    Output cell o blends source cells (o+1)//2 - 1 and (o+1)//2: the nearer one has
-    weight 3/4. Separable: rows are blended once and reused along x.
+    Along each axis output cell o blends source cells (o+1)//2 - 1 and (o+1)//2; the
+    nearer one has weight 3/4.
     """
     wide = _upto(2 * grid)
     last = grid - 1
@@ -46,16 +46,16 @@ def upsample2x(latent: Column, channels: int, grid: int) -> Column:
         near_upper = F.pmod(o, F.lit(2)) == 0
         return F.when(near_upper, at(lower) * 0.25 + at(upper) * 0.75).otherwise(at(lower) * 0.75 + at(upper) * 0.25)
 
-    def one_row(c: Column, oy: Column) -> Column:
-        row = F.transform(
-            _upto(grid),
-            lambda x: blend(lambda y: F.get(latent, (c * grid + y) * grid + x).cast("double"), oy),
+    def cell(c: Column, oy: Column, ox: Column) -> Column:
+        return blend(
+            lambda x: blend(lambda y: F.get(latent, (c * grid + y) * grid + x).cast("double"), oy), ox
         )
-        # transform over a one-element array binds the blended row once
-        return F.flatten(F.transform(F.array(row), lambda r: F.transform(wide, lambda ox: blend(lambda x: F.get(r, x), ox))))
 
     return F.flatten(
-        F.transform(_upto(channels), lambda c: F.flatten(F.transform(wide, lambda oy: one_row(c, oy))))
+        F.transform(
+            _upto(channels),
+            lambda c: F.flatten(F.transform(wide, lambda oy: F.transform(wide, lambda ox: cell(c, oy, ox)))),
+        )
     )
 
 

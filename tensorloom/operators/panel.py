@@ -89,7 +89,8 @@ def decode_samples(
     levels = decoded.withColumn("levels", denormalize(F.col("pixels"))).drop("pixels")
     keep = [c for c in levels.columns if c != "levels"]
     schema = T.StructType(
-        [levels.schema[c] for c in keep] + T._parse_datatype_string("height int, width int, image binary").fields
+        [levels.schema[c] for c in keep]
+        + [T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("image", T.BinaryType())]
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +189,7 @@ def pack_levels(levels: Column, height: int, width: int) -> Column:
     return _interleave(levels, F.lit(height * width))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _interleave(levels: pd.Series, plane: pd.Series) -> pd.Series:
     return pd.Series(
         [np.asarray(v, dtype=np.uint8).reshape(3, n).T.tobytes() for v, n in zip(levels, plane, strict=True)]

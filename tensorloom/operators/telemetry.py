@@ -10,17 +10,20 @@ STAMP = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) \[\w+\] "
 STEP_LINE = (
     STAMP + r"\s*step ([\d,]+)\s+batch=(\d+)\s+loss=(\S+)\s+mse=(\S+)\s+kl=(\S+)\s+lr=(\S+)\s*$"
 )
+RUN_IN_PATH = r"([^/]+)/logs/[^/]+$"
 EPOCH_LINE = STAMP + r"Epoch (\d+)/(\d+)\s+loss=(\S+)\s*$"
 
 
-def read_train_log(spark: SparkSession, path: str) -> DataFrame:
+def read_train_log(
+    spark: SparkSession, path: str, name_glob: str = "*.log", run_pattern: str = RUN_IN_PATH
+) -> DataFrame:
     """Lines of ``<run>/logs/*.log`` files with the run taken from the path."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log").text(path)
-    return with_run(lines)
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name_glob).text(path)
+    return with_run(lines, run_pattern)
 
 
-def with_run(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("run_id", F.regexp_extract(F.input_file_name(), r"([^/]+)/logs/[^/]+$", 1))
+def with_run(lines: DataFrame, pattern: str = RUN_IN_PATH) -> DataFrame:
+    return lines.withColumn("run_id", F.regexp_extract(F.input_file_name(), pattern, 1))
 
 
 def parse_steps(lines: DataFrame, steps_per_epoch: Column | int | None = None) -> DataFrame:

@@ -17,7 +17,11 @@ from pyspark.sql import types as T
 
 from tensorloom.functions.hashing import coin
 
-PIXEL_FIELDS = "height int, width int, pixels array<float>"
+PIXEL_FIELDS = [
+    T.StructField("height", T.IntegerType()),
+    T.StructField("width", T.IntegerType()),
+    T.StructField("pixels", T.ArrayType(T.FloatType())),
+]
 
 
 def read_images(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -148,7 +152,7 @@ def _index_list(spark: SparkSession, indices: list[int]) -> DataFrame:
 def _map_pixels(df: DataFrame, fn, drop: tuple | list = ()) -> DataFrame:
     """Replace (height, width, pixels) row by row inside Arrow batches."""
     keep = [f for f in df.schema.fields if f.name not in {"height", "width", "pixels", *drop}]
-    schema = T.StructType(keep + T._parse_datatype_string(PIXEL_FIELDS).fields)
+    schema = T.StructType(keep + PIXEL_FIELDS)
     names = [f.name for f in keep]
     inputs = [c for c in df.columns if c not in names]
 

@@ -42,7 +42,12 @@ def write_shards(
     Rows spread over (shard, file slot), so a large shard is written by many tasks.
     """
     present = [t for t in TENSORS if t in df.columns]
-    out = df.withColumns({t: to_half(F.col(t)) if storage == "float" else pack_half(F.col(t)) for t in present})
+    if storage == "half":
+        out = pack_half(df, present)
+    elif storage == "float":
+        out = df.withColumns({t: to_half(F.col(t)) for t in present})
+    else:
+        raise ValueError(f"unknown storage {storage!r}")
     slot = F.floor(F.col("offset") / F.lit(int(rows_per_file)))
     (
         out.repartition("shard_id", slot)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tensorloom.operators.telemetry import parse_steps, with_run
+from tensorloom.operators.telemetry import RUN_IN_PATH, parse_steps, with_run
 from tensorloom.sources.inventory import with_path_parts
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -44,10 +44,16 @@ def incremental_ingest(spark: SparkSession, root: str, sink: str, checkpoint: st
     query.awaitTermination()
 
 
-def tail_steps(spark: SparkSession, path: str, steps_per_epoch: Column | int | None = None) -> DataFrame:
+def tail_steps(
+    spark: SparkSession,
+    path: str,
+    steps_per_epoch: Column | int | None = None,
+    name_glob: str = "*.log",
+    run_pattern: str = RUN_IN_PATH,
+) -> DataFrame:
     """Step rows from log files as they arrive."""
-    lines = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log").text(path)
-    return parse_steps(with_run(lines), steps_per_epoch)
+    lines = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", name_glob).text(path)
+    return parse_steps(with_run(lines, run_pattern), steps_per_epoch)
 
 
 def write_steps(steps: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
