@@ -8,6 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with ``value`` computed once per row.
+
+    An expression indexed inside a lambda is otherwise evaluated again for every
+    element; a lambda variable holds it instead.
+    """
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def as_double(arr: Column) -> Column:
     return arr.cast("array<double>")
 
@@ -23,8 +32,7 @@ def total(arr: Column) -> Column:
 
 def average(arr: Column) -> Column:
     """Mean of the elements; null for an empty array."""
-    n = F.size(arr)
-    return F.when(n > 0, total(arr) / n)
+    return bind(arr, lambda a: F.when(F.size(a) > 0, total(a) / F.size(a)))
 
 
 def pairwise(a: Column, b: Column, fn: Callable[[Column, Column], Column]) -> Column:

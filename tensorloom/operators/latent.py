@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tensorloom.functions.arrays import bind
 from tensorloom.functions.hashing import gaussian
 
 # fixed values: published scale and shift of the 16-channel latent space
@@ -25,9 +26,11 @@ def drop_leading_tokens(tokens: Column, dim: int, k: int = 5) -> Column:
 def tokens_to_grid(tokens: Column, channels: int, grid: int) -> Column:
     """(grid*grid, channels) -> (channels, grid, grid)."""
     places = _upto(grid * grid)
-    return F.flatten(
-        F.transform(_upto(channels), lambda c: F.transform(places, lambda n: F.get(tokens, n * channels + c)))
-    )
+
+    def planes(t: Column) -> Column:
+        return F.transform(_upto(channels), lambda c: F.transform(places, lambda n: F.get(t, n * channels + c)))
+
+    return F.flatten(bind(tokens, planes))
 
 
 def upsample2x(latent: Column, channels: int, grid: int) -> Column:
@@ -46,17 +49,19 @@ def upsample2x(latent: Column, channels: int, grid: int) -> Column:
         near_upper = F.pmod(o, F.lit(2)) == 0
         return F.when(near_upper, at(lower) * 0.25 + at(upper) * 0.75).otherwise(at(lower) * 0.75 + at(upper) * 0.25)
 
-    def cell(c: Column, oy: Column, ox: Column) -> Column:
-        return blend(
-            lambda x: blend(lambda y: F.get(latent, (c * grid + y) * grid + x).cast("double"), oy), ox
+    def one_row(z: Column, c: Column, oy: Column) -> Column:
+        """One output row: source rows blended once, then along x."""
+        row = F.transform(
+            _upto(grid), lambda x: blend(lambda y: F.get(z, (c * grid + y) * grid + x).cast("double"), oy)
         )
+        return bind(row, lambda r: F.transform(wide, lambda ox: blend(lambda x: F.get(r, x), ox)))
 
-    return F.flatten(
-        F.transform(
-            _upto(channels),
-            lambda c: F.flatten(F.transform(wide, lambda oy: F.transform(wide, lambda ox: cell(c, oy, ox)))),
+    def planes(z: Column) -> Column:
+        return F.flatten(
+            F.transform(_upto(channels), lambda c: F.flatten(F.transform(wide, lambda oy: one_row(z, c, oy))))
         )
-    )
+
+    return bind(latent, planes)
 
 
 def upsample_matrix(grid: int) -> np.ndarray:
@@ -108,9 +113,12 @@ def reparameterize(mean: Column, logvar: Column, item: Column, seed: int = 42, s
     """
     if not sample:
         return F.transform(mean, lambda m: m.cast("double"))
-    return F.transform(
-        mean,
-        lambda m, i: m.cast("double") + F.exp(F.get(logvar, i).cast("double") * 0.5) * gaussian(seed, item, i),
+    return bind(
+        logvar,
+        lambda lv: F.transform(
+            mean,
+            lambda m, i: m.cast("double") + F.exp(F.get(lv, i).cast("double") * 0.5) * gaussian(seed, item, i),
+        ),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.functions.arrays import average, pairwise
+from tensorloom.functions.arrays import as_double, average, bind, pairwise
 
 BETA = 1e-4  # fixed value: default KL weight
 LR_FLOOR = 0.1  # fixed value: lowest share of the base rate
@@ -28,13 +28,16 @@ def kl_term(mean_m: Column, logvar_m: Column, mean_v: Column, logvar_v: Column)
 
 def kl_divergence(mean_m: Column, logvar_m: Column, mean_v: Column, logvar_v: Column) -> Column:
     """Mean KL over the elements of two diagonal Gaussians (array columns)."""
-    terms = F.transform(
-        mean_m,
-        lambda m, i: kl_term(
-            m.cast("double"),
-            F.get(logvar_m, i).cast("double"),
-            F.get(mean_v, i).cast("double"),
-            F.get(logvar_v, i).cast("double"),
+    quad = F.struct(
+        as_double(mean_m).alias("mm"),
+        as_double(logvar_m).alias("lm"),
+        as_double(mean_v).alias("mv"),
+        as_double(logvar_v).alias("lv"),
+    )
+    terms = bind(
+        quad,
+        lambda q: F.transform(
+            q["mm"], lambda m, i: kl_term(m, F.get(q["lm"], i), F.get(q["mv"], i), F.get(q["lv"], i))
         ),
     )
     return average(terms)

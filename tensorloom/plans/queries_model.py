@@ -1 +1,420 @@
-"""placeholder"""
+"""Latent arithmetic, loss, scoring and fitting queries (D and E rows)."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tensorloom.functions.arrays import total
+from tensorloom.functions.ranking import order_rank
+from tensorloom.operators import fit, latent, loss, registry
+from tensorloom.operators.mappers import SPECS, MapperSpec, Params, create_mapper, init_weights, score
+from tensorloom.operators.split import assign_batches, uniform_shuffle
+from tensorloom.plans.catalog import h32, query, table, unnest_sql
+from tensorloom.plans.queries_store import DIM, GRID, store_path
+from tensorloom.sources.store import read_store
+
+E = unnest_sql("embeddings", "vec_id", "embedding")
+SMALL = {"dim": DIM, "latent": DIM, "grid": GRID, "width": 8, "heads": 2, "layers": 2, "blocks": 2}
+
+
+def vec() -> Column:
+    return F.col("embedding")
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").withColumn("embedding", vec().cast("array<double>"))
+
+
+def exploded(df: DataFrame, arr: Column, name: str, digits: int | None = 6) -> DataFrame:
+    rows = df.select("vec_id", F.posexplode(arr).alias("i", name))
+    return rows if digits is None else rows.withColumn(name, F.round(name, digits))
+
+
+# ---- latent ---------------------------------------------------------------
+
+
+@query(
+    "d1_tokens_to_grid",
+    f"SELECT vec_id, ((i % 4) * 16 + i // 4)::INTEGER AS i, v AS value FROM ({E})",
+)
+def d1_tokens_to_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return exploded(vectors(spark, sf), latent.tokens_to_grid(vec(), DIM, GRID), "value", None)
+
+
+UP_SQL = f"""w AS (SELECT o, greatest((o + 1) // 2 - 1, 0) AS s, CASE WHEN o % 2 = 0 THEN 0.25::DOUBLE ELSE 0.75::DOUBLE END AS k
+  FROM range(8) t(o) UNION ALL
+  SELECT o, least((o + 1) // 2, 3), CASE WHEN o % 2 = 0 THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END FROM range(8) t(o)),
+e AS (SELECT vec_id, i % 4 AS c, i // 16 AS y, (i // 4) % 4 AS x, v FROM ({E})),
+up AS (SELECT vec_id, (c * 64 + wy.o * 8 + wx.o)::INTEGER AS i, sum(v * wy.k * wx.k) AS v
+  FROM e JOIN w wy ON wy.s = e.y JOIN w wx ON wx.s = e.x GROUP BY vec_id, c, wy.o, wx.o)"""
+
+
+@query("d2_upsample2x", f"WITH {UP_SQL} SELECT vec_id, i, round(v, 6) AS value FROM up")
+def d2_upsample2x(spark: SparkSession, sf: str) -> DataFrame:
+    grid = latent.tokens_to_grid(vec(), DIM, GRID)
+    return exploded(vectors(spark, sf), latent.upsample2x(grid, DIM, GRID), "value")
+
+
+@query(
+    "d3_latent_scale",
+    f"""SELECT vec_id, i::INTEGER AS i, round((v - 0.1159::DOUBLE) / 0.3611::DOUBLE, 6) AS scaled,
+  round(v / 0.3611::DOUBLE + 0.1159::DOUBLE, 6) AS unscaled FROM ({E})""",
+)
+def d3_latent_scale(spark: SparkSession, sf: str) -> DataFrame:
+    both = F.arrays_zip(latent.latent_scale(vec()).alias("s"), latent.latent_unscale(vec()).alias("u"))
+    rows = vectors(spark, sf).select("vec_id", F.posexplode(both).alias("i", "z"))
+    return rows.select("vec_id", "i", F.round("z.s", 6).alias("scaled"), F.round("z.u", 6).alias("unscaled"))
+
+
+@query(
+    "d4_tensor_stats",
+    """WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS v FROM embeddings)
+SELECT label, count(*)::BIGINT AS n_values, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std,
+  min(v) AS min, max(v) AS max FROM e GROUP BY label""",
+)
+def d4_tensor_stats(spark: SparkSession, sf: str) -> DataFrame:
+    stats = latent.tensor_stats(vectors(spark, sf), "embedding", ["label"])
+    return stats.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+
+
+@query(
+    "d5_denormalize",
+    f"""SELECT vec_id, i::INTEGER AS i,
+  floor((least(greatest(v * 4, -1), 1) + 1) / 2 * 255.0::DOUBLE + 0.5)::INTEGER AS level FROM ({E})""",
+)
+def d5_denormalize(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors stretched by four, so that some values clamp."""
+    return exploded(vectors(spark, sf), latent.denormalize(F.transform(vec(), lambda v: v * 4)), "level", None)
+
+
+def noise_sql(seed: int, item: str, i: str) -> str:
+    d = f"md5(concat_ws(':', '{seed}', {item}, {i}))"
+
+    def unit(start: int) -> str:
+        return f"((('0x' || substr({d}, {start}, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+
+    return f"sqrt(-2.0::DOUBLE * ln({unit(1)})) * cos(6.283185307179586::DOUBLE * {unit(9)})"
+
+
+@query(
+    "d6_reparameterize",
+    f"""SELECT vec_id, i::INTEGER AS i, round(v + exp((abs(v) - 1) * 0.5) * {noise_sql(11, "vec_id", "i")}, 6) AS z,
+  v AS mode FROM ({E})""",
+)
+def d6_reparameterize(spark: SparkSession, sf: str) -> DataFrame:
+    logvar = F.transform(vec(), lambda v: F.abs(v) - 1.0)
+    z = latent.reparameterize(vec(), logvar, F.col("vec_id"), seed=11)
+    both = F.arrays_zip(z.alias("z"), latent.mode(vec()).alias("m"))
+    rows = vectors(spark, sf).select("vec_id", F.posexplode(both).alias("i", "r"))
+    return rows.select("vec_id", "i", F.round("r.z", 6).alias("z"), F.col("r.m").alias("mode"))
+
+
+# ---- scoring --------------------------------------------------------------
+
+
+def known_linear() -> Params:
+    """Weights given by a formula, so that SQL can state them too."""
+    d, c = np.arange(DIM)[:, None], np.arange(DIM)[None, :]
+    return {
+        "mean.w": np.cos(d + 4.0 * c),
+        "mean.b": 0.1 * np.arange(DIM),
+        "logvar.w": np.sin(d + 4.0 * c),
+        "logvar.b": -0.1 * np.arange(DIM),
+    }
+
+
+def tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select("vec_id", "label", vec().alias("tokens"))
+
+
+@query(
+    "e1_score_linear",
+    f"""WITH t AS (SELECT vec_id, i // 4 AS n, i % 4 AS d, v FROM ({E})),
+p AS (SELECT vec_id, n, c, sum(v * cos((d + 4 * c)::DOUBLE)) + 0.1::DOUBLE * c AS m,
+  sum(v * sin((d + 4 * c)::DOUBLE)) - 0.1::DOUBLE * c AS l FROM t, range(4) r(c) GROUP BY vec_id, n, c)
+SELECT vec_id, 256::INTEGER AS n_values, round(avg(m), 4) AS mean_avg, round(avg(l), 4) AS logvar_avg,
+  round(max(CASE WHEN n = 0 AND c = 0 THEN m END), 4) AS first_cell,
+  round(max(CASE WHEN n = 15 AND c = 3 THEN l END), 4) AS last_cell FROM p GROUP BY vec_id""",
+)
+def e1_score_linear(spark: SparkSession, sf: str) -> DataFrame:
+    spec = create_mapper("linear", **SMALL)
+    scored = score(tokens(spark, sf), spec, known_linear(), item="vec_id")
+
+    def avg(c: str) -> Column:
+        return F.round(total(F.col(c)) / F.size(c), 4)
+
+    return scored.select(
+        "vec_id",
+        F.size("pred_z").alias("n_values"),
+        avg("pred_mean").alias("mean_avg"),
+        avg("pred_logvar").alias("logvar_avg"),
+        F.round(F.element_at("pred_z", 1).cast("double"), 4).alias("first_cell"),
+        F.round(F.element_at("pred_logvar", -1).cast("double"), 4).alias("last_cell"),
+    )
+
+
+def score_summary(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """Scores of a seeded mapper over every row, sampled and not."""
+    spec = create_mapper(name, **SMALL)
+    params = init_weights(spec, seed=5)
+    scored = score(tokens(spark, sf), spec, params, item="vec_id", sample=True, seed=9)
+    return scored.select(
+        "vec_id",
+        F.size("pred_z").alias("n_values"),
+        F.round(total(F.col("pred_z")), 3).alias("z_sum"),
+        F.round(total(F.col("pred_mean")), 3).alias("mean_sum"),
+        F.round(total(F.col("pred_logvar")), 3).alias("logvar_sum"),
+    )
+
+
+@query("e2_score_mlp")
+def e2_score_mlp(spark: SparkSession, sf: str) -> DataFrame:
+    return score_summary(spark, sf, "mlp")
+
+
+@query("e3_score_resnet")
+def e3_score_resnet(spark: SparkSession, sf: str) -> DataFrame:
+    return score_summary(spark, sf, "resnet")
+
+
+@query("e4_score_transformer")
+def e4_score_transformer(spark: SparkSession, sf: str) -> DataFrame:
+    return score_summary(spark, sf, "transformer")
+
+
+@query("e5_score_transformer_resnet")
+def e5_score_transformer_resnet(spark: SparkSession, sf: str) -> DataFrame:
+    return score_summary(spark, sf, "transformer_resnet")
+
+
+@query(
+    "e6_param_count",
+    """WITH g AS (SELECT label, max(len(embedding))::BIGINT AS d, count(*)::BIGINT AS n FROM embeddings GROUP BY label)
+SELECT label, n AS n_rows, 2 * (d * 16 + 16) AS linear,
+  d * 256 + 256 + 3 * (256 * 256 + 256) + 4 * 512 + 2 * (256 * 16 + 16) AS mlp FROM g""",
+)
+def e6_param_count(spark: SparkSession, sf: str) -> DataFrame:
+    """Model sizes for the token widths found in the data, from their parameter tables."""
+    widths = table(spark, sf, "embeddings").groupBy("label").agg(
+        F.max(F.size("embedding")).alias("d"), F.count(F.lit(1)).alias("n_rows")
+    )
+    found = [r["d"] for r in widths.select("d").distinct().limit(1000).collect()]
+    rows = []
+    for d in found:
+        for name in ("linear", "mlp"):
+            params = init_weights(SPECS[name].sized(dim=d))
+            rows += [(d, name, key, list(a.shape), a.ravel().tolist()) for key, a in params.items()]
+    weights = spark.createDataFrame(rows, "d int, mapper string, param string, shape array<int>, values array<double>")
+    sizes = weights.groupBy("d").pivot("mapper", ["linear", "mlp"]).agg(F.sum(F.size("values")))
+    return widths.join(sizes, "d").select("label", "n_rows", "linear", "mlp")
+
+
+# ---- loss -----------------------------------------------------------------
+
+
+def shifted(vec: Column) -> Column:
+    return F.transform(vec, lambda v: v * 0.9 + 0.01)
+
+
+@query(
+    "e7_mse",
+    f"SELECT vec_id, round(avg((v * 0.9::DOUBLE + 0.01::DOUBLE - v) ** 2), 6) AS mse FROM ({E}) GROUP BY vec_id",
+)
+def e7_mse(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors(spark, sf).select("vec_id", F.round(loss.mse(shifted(vec()), vec()), 6).alias("mse"))
+
+
+KL_SQL = "(lv - lm + exp(lm - lv) + (mm - mv) * (mm - mv) * exp(-lv) - 1.0::DOUBLE) * 0.5::DOUBLE"
+
+
+@query(
+    "e8_kl_divergence",
+    f"""WITH e AS (SELECT label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+c AS (SELECT label, i, count(*) AS n, avg(v) AS mm, ln(var_pop(v)) AS lm FROM e GROUP BY label, i),
+a AS (SELECT i, avg(v) AS mv, ln(var_pop(v)) AS lv FROM e GROUP BY i)
+SELECT label, max(n)::BIGINT AS n_rows, round(avg({KL_SQL}), 6) AS kl FROM c JOIN a ON a.i = c.i GROUP BY label""",
+)
+def e8_kl_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    """KL of each class posterior against the posterior of the whole set.
+
+    Per class and dimension the moments are partial aggregates; the whole-set
+    moments have one row per dimension.
+    """
+    values = vectors(spark, sf).select("label", F.posexplode("embedding").alias("i", "v"))
+
+    def posterior(keys: list[str], mean: str, logvar: str) -> DataFrame:
+        return values.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n"), F.avg("v").alias(mean), F.ln(F.var_pop("v")).alias(logvar)
+        )
+
+    classes = posterior(["label", "i"], "mm", "lm")
+    whole = posterior(["i"], "mv", "lv").drop("n")
+    term = loss.kl_term(F.col("mm"), F.col("lm"), F.col("mv"), F.col("lv"))
+    return classes.join(whole, "i").groupBy("label").agg(
+        F.max("n").alias("n_rows"), F.round(F.avg(term), 6).alias("kl")
+    )
+
+
+QUARTERS = {"pred_mean": 1, "pred_logvar": 17, "gt_mean": 33, "gt_logvar": 49}
+QUARTERED = f"""q AS (SELECT vec_id, i % 16 AS d, max(v) FILTER (i < 16) AS mm, max(v) FILTER (i BETWEEN 16 AND 31) AS lm,
+  max(v) FILTER (i BETWEEN 32 AND 47) AS mv, max(v) FILTER (i > 47) AS lv FROM ({E}) GROUP BY vec_id, i % 16)"""
+
+
+def quartered(spark: SparkSession, sf: str) -> DataFrame:
+    """Each vector read as predicted and true posteriors of 16 elements."""
+    parts = {name: F.slice("embedding", start, 16) for name, start in QUARTERS.items()}
+    return vectors(spark, sf).select("vec_id", "label", *[c.alias(n) for n, c in parts.items()])
+
+
+@query("e8_kl_rows", f"WITH {QUARTERED} SELECT vec_id, round(avg({KL_SQL}), 6) AS kl FROM q GROUP BY vec_id")
+def e8_kl_rows(spark: SparkSession, sf: str) -> DataFrame:
+    kl = loss.kl_divergence(*[F.col(n) for n in QUARTERS])
+    return quartered(spark, sf).select("vec_id", F.round(kl, 6).alias("kl"))
+
+
+@query(
+    "e9_combined_loss",
+    f"""WITH {QUARTERED} SELECT vec_id, round(avg((mm - mv) * (mm - mv)) + 0.0001::DOUBLE * avg({KL_SQL}), 6) AS loss
+FROM q GROUP BY vec_id""",
+)
+def e9_combined_loss(spark: SparkSession, sf: str) -> DataFrame:
+    mse = loss.mse(F.col("pred_mean"), F.col("gt_mean"))
+    kl = loss.kl_divergence(*[F.col(n) for n in QUARTERS])
+    return quartered(spark, sf).select("vec_id", F.round(loss.combined_loss(mse, kl), 6).alias("loss"))
+
+
+@query(
+    "e10_evaluate",
+    f"""WITH {QUARTERED}, r AS (SELECT vec_id, avg((mm - mv) * (mm - mv)) AS mse, avg({KL_SQL}) AS kl FROM q GROUP BY vec_id),
+p AS (SELECT vec_id, row_number() OVER (ORDER BY {h32("'42'", "'0'", "vec_id")}, vec_id) - 1 AS pos FROM embeddings),
+b AS (SELECT label, pos // 24 AS batch, count(*) AS n, avg(mse) AS mse, avg(kl) AS kl FROM r JOIN p ON p.vec_id = r.vec_id
+  JOIN embeddings e ON e.vec_id = r.vec_id GROUP BY label, pos // 24)
+SELECT label, sum(n)::BIGINT AS n_rows, round(sum((mse + 0.0001::DOUBLE * kl) * n) / sum(n), 6) AS loss,
+  round(sum(mse * n) / sum(n), 6) AS mse, round(sum(kl * n) / sum(n), 6) AS kl FROM b GROUP BY label""",
+)
+def e10_evaluate(spark: SparkSession, sf: str) -> DataFrame:
+    rows = quartered(spark, sf)
+    batches = assign_batches(uniform_shuffle(rows.select("vec_id"), "vec_id"), 24).select("vec_id", "batch_id")
+    scored = rows.join(batches, "vec_id").withColumn("pred_z", F.col("pred_mean"))
+    result = loss.evaluate(scored, by=["label"])
+    return result.withColumns({c: F.round(c, 6) for c in ("loss", "mse", "kl")})
+
+
+@query(
+    "e11_lr_schedule",
+    """WITH s AS (SELECT event_id, count(*) OVER () AS n, row_number() OVER (ORDER BY ts, event_id) - 1 AS step FROM events)
+SELECT event_id, step::BIGINT AS step, round(0.001::DOUBLE * CASE WHEN step < 500
+  THEN 0.1::DOUBLE + 0.9::DOUBLE * (step / 500.0::DOUBLE)
+  ELSE 0.1::DOUBLE + 0.9::DOUBLE * 0.5 * (1 + cos(3.14159::DOUBLE * ((step - 500) / (n - 500)::DOUBLE))) END, 9) AS lr FROM s""",
+)
+def e11_lr_schedule(spark: SparkSession, sf: str) -> DataFrame:
+    """Events in time order as the steps of one run."""
+    steps = order_rank(table(spark, sf, "events").select("ts", "event_id"), ["ts", "event_id"], out="step", total="n")
+    rates = loss.lr_schedule(steps, 0.001, F.col("n"), 500)
+    return rates.select("event_id", "step", F.round("lr", 9).alias("lr"))
+
+
+# ---- fitting --------------------------------------------------------------
+
+
+@query(
+    "e12_moments",
+    f"""WITH t AS (SELECT vec_id, i // 4 AS n, i % 4 AS d, v FROM ({E}) UNION ALL
+  SELECT vec_id, n, 4, 1.0::DOUBLE FROM embeddings, range(16) r(n))
+SELECT a.d::INTEGER AS i, b.d::INTEGER AS j, round(sum(a.v * b.v), 6) AS value
+FROM t a JOIN t b ON a.vec_id = b.vec_id AND a.n = b.n GROUP BY a.d, b.d""",
+)
+def e12_moments(spark: SparkSession, sf: str) -> DataFrame:
+    return fit.moments_table(tokens(spark, sf), DIM, GRID).withColumn("value", F.round("value", 6))
+
+
+def small(name: str) -> MapperSpec:
+    return create_mapper(name, **SMALL)
+
+
+@query("e12_fit_linear")
+def e12_fit_linear(spark: SparkSession, sf: str) -> DataFrame:
+    """Least squares over the whole store, then its error per shard."""
+    rows = read_store(spark, store_path(spark, sf)).select("item_id", "shard_id", "tokens", "gt_mean", "gt_logvar")
+    params = fit.fit_linear(rows, small("linear"))
+    result = loss.evaluate(score(rows, small("linear"), params), by=["shard_id"])
+    return result.withColumns({c: F.round(c, 6) for c in ("loss", "mse", "kl")})
+
+
+@query("e13_fit_gradient")
+def e13_fit_gradient(spark: SparkSession, sf: str) -> DataFrame:
+    """Step log of a short MLP fit over the whole store."""
+    rows = read_store(spark, store_path(spark, sf))
+    _, log = fit.fit_gradient(rows, small("mlp"), epochs=2, steps_per_epoch=2, lr=0.01)
+    return spark.createDataFrame(log, fit.STEP_LOG_SCHEMA)
+
+
+@query("e17_fit_compare")
+def e17_fit_compare(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read_store(spark, store_path(spark, sf))
+    return fit.fit_compare(rows, {n: small(n) for n in ("linear", "mlp")}, steps=3, lr=0.02)
+
+
+# ---- registry -------------------------------------------------------------
+
+RUN_EPOCHS = """r AS (SELECT event_type AS run_id, date_diff('day', DATE '2024-01-01', ts::DATE) AS epoch, avg(value) AS score
+  FROM events GROUP BY 1, 2), k AS (SELECT *, 1 + max(epoch) OVER (PARTITION BY run_id) AS epochs FROM r)"""
+
+
+def run_epochs(spark: SparkSession, sf: str) -> DataFrame:
+    """Event types as runs, days as zero-based epochs."""
+    day = F.date_diff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+    per_day = table(spark, sf, "events").groupBy(F.col("event_type").alias("run_id"), day.alias("epoch")).agg(
+        F.avg("value").alias("score")
+    )
+    return per_day.withColumn("epochs", F.max("epoch").over(Window.partitionBy("run_id")) + 1)
+
+
+@query(
+    "e15_save_set",
+    f"""WITH {RUN_EPOCHS} SELECT run_id, (epoch + 1)::INTEGER AS saved_epoch, epoch = epochs - 1 AS final FROM k
+WHERE (epoch + 1) % 4 = 0 OR epoch = epochs - 1""",
+)
+def e15_save_set(spark: SparkSession, sf: str) -> DataFrame:
+    return registry.save_set(run_epochs(spark, sf), 4)
+
+
+@query(
+    "e15_latest_checkpoint",
+    f"""WITH {RUN_EPOCHS}, s AS (SELECT * FROM k WHERE (epoch + 1) % 7 = 0)
+SELECT run_id, (max(epoch) + 1)::INTEGER AS saved_epoch, round(arg_max(score, epoch), 6) AS score FROM s GROUP BY run_id""",
+)
+def e15_latest_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
+    saved = run_epochs(spark, sf).where(F.pmod(F.col("epoch") + 1, F.lit(7)) == 0)
+    named = saved.withColumn("saved_epoch", (F.col("epoch") + 1).cast("int"))
+    latest = registry.latest_checkpoint(named, "score")
+    return latest.withColumn("score", F.round("score", 6))
+
+
+@query(
+    "e16_run_config",
+    """WITH c AS (SELECT user_id, count(*) AS n, max(value) AS v, bool_or(event_type = 'error' AND value > 100) AS debug
+  FROM events GROUP BY user_id)
+SELECT user_id::VARCHAR AS run_id, debug, (CASE WHEN debug THEN 2 ELSE n END)::INTEGER AS epochs,
+  (CASE WHEN debug THEN 2 ELSE 8 END)::INTEGER AS batch_size, (CASE WHEN debug THEN 2 ELSE 1000 END)::INTEGER AS warmup_steps,
+  v / 1000 AS lr FROM c""",
+)
+def e16_run_config(spark: SparkSession, sf: str) -> DataFrame:
+    """One typed row per user as a run; debug runs get the short settings."""
+    defaults = registry.RunConfig()
+    per_user = table(spark, sf, "events").groupBy("user_id").agg(
+        F.count(F.lit(1)).cast("int").alias("epochs"),
+        F.max("value").alias("v"),
+        F.bool_or((F.col("event_type") == "error") & (F.col("value") > 100)).alias("debug"),
+    )
+    configs = per_user.select(
+        F.col("user_id").cast("string").alias("run_id"),
+        "debug",
+        "epochs",
+        F.lit(defaults.batch_size).alias("batch_size"),
+        F.lit(defaults.warmup_steps).alias("warmup_steps"),
+        (F.col("v") / 1000).alias("lr"),
+    )
+    return registry.debug_override(configs)

@@ -1 +1,216 @@
-"""placeholder"""
+"""Run telemetry and sample panel queries (F rows)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tensorloom.operators import panel, telemetry
+from tensorloom.operators.encode import apply_model, linear_decoder
+from tensorloom.operators.latent import denormalize
+from tensorloom.operators.mappers import create_mapper, score
+from tensorloom.plans.catalog import query, table, unnest_sql, written
+from tensorloom.plans.queries_model import RUN_EPOCHS, SMALL, known_linear, run_epochs, small, tokens
+from tensorloom.plans.queries_store import DIM, store_path
+from tensorloom.session import scratch_path
+from tensorloom.streaming import ingest
+
+PER_EPOCH = 500  # batches in an epoch of the logs below
+
+
+def log_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Events written as step lines of one log per event type."""
+    value = F.col("value")
+    line = telemetry.step_line(
+        F.col("ts").cast("timestamp"),
+        F.col("event_id") + 1,
+        F.pmod(F.col("event_id"), F.lit(PER_EPOCH)) + 1,
+        value,
+        value / 10,
+        value / 1000,
+        F.lit(0.001),
+    )
+    return table(spark, sf, "events").select(F.col("event_type").alias("run"), line.alias("value"))
+
+
+def log_tree(spark: SparkSession, sf: str) -> str:
+    def write(path: str) -> None:
+        log_lines(spark, sf).write.partitionBy("run").text(path)
+
+    return written(spark, sf, "logs", write)
+
+
+RUN_IN_TREE = r"run=([^/]+)/[^/]+$"
+STEP_SQL = f"""SELECT event_type AS run_id, (epoch_us(ts) // 1000)::BIGINT AS ts_ms, (event_id // {PER_EPOCH})::INTEGER AS epoch,
+  (event_id + 1)::BIGINT AS step, (event_id % {PER_EPOCH} + 1)::BIGINT AS batch, value AS loss, round(value / 10, 4) AS mse,
+  round(value / 1000, 6) AS kl, 0.001::DOUBLE AS lr FROM events"""
+
+
+def step_rows(steps: DataFrame) -> DataFrame:
+    # the written log time read back as wall-clock milliseconds
+    wall = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    return steps.select("run_id", wall.alias("ts_ms"), "epoch", "step", "batch", "loss", "mse", "kl", "lr")
+
+
+@query("f1_parse_train_log", STEP_SQL)
+def f1_parse_train_log(spark: SparkSession, sf: str) -> DataFrame:
+    lines = telemetry.read_train_log(spark, log_tree(spark, sf), "*.txt", RUN_IN_TREE)
+    return step_rows(telemetry.parse_steps(lines, PER_EPOCH))
+
+
+@query("f1_tail_train_log", STEP_SQL)
+def f1_tail_train_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows through a file stream."""
+    out = scratch_path(spark, "steps")
+    stream = ingest.tail_steps(spark, log_tree(spark, sf), PER_EPOCH, "*.txt", RUN_IN_TREE)
+    ingest.write_steps(stream, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return step_rows(spark.read.parquet(f"{out}/rows"))
+
+
+def step_table(spark: SparkSession, sf: str) -> DataFrame:
+    batch = F.pmod(F.col("event_id"), F.lit(PER_EPOCH))
+    epoch = ((F.col("event_id") - batch) / PER_EPOCH).cast("int")
+    return table(spark, sf, "events").select(
+        F.col("event_type").alias("run_id"), epoch.alias("epoch"), (batch + 1).alias("batch"), "value", "user_id"
+    ).withColumn("step", telemetry.global_step(F.col("epoch"), F.col("batch") - 1, PER_EPOCH))
+
+
+@query(
+    "f2_thin_steps",
+    f"""SELECT event_type AS run_id, (event_id + 1)::BIGINT AS step, (event_id % {PER_EPOCH} + 1)::BIGINT AS batch FROM events
+WHERE (event_id % {PER_EPOCH} + 1) % 100 = 0 OR event_id % {PER_EPOCH} = 0""",
+)
+def f2_thin_steps(spark: SparkSession, sf: str) -> DataFrame:
+    return telemetry.thin_steps(step_table(spark, sf), 100).select("run_id", "step", "batch")
+
+
+@query(
+    "f3_epoch_summary",
+    """WITH s AS (SELECT event_type AS run_id, date_diff('day', DATE '2024-01-01', ts::DATE)::INTEGER AS epoch,
+  value AS loss, value * 0.9::DOUBLE AS mse, value / 7 AS kl, 1 + user_id % 8 AS n FROM events),
+m AS (SELECT run_id, epoch, sum(n)::BIGINT AS n_samples, sum(loss * n) / sum(n) AS loss, sum(mse * n) / sum(n) AS mse,
+  sum(kl * n) / sum(n) AS kl FROM s GROUP BY run_id, epoch)
+SELECT run_id, epoch, n_samples, round(loss, 6) AS loss, round(mse, 6) AS mse, round(kl, 6) AS kl,
+  round(loss - lag(loss) OVER (PARTITION BY run_id ORDER BY epoch), 6) AS delta FROM m""",
+)
+def f3_epoch_summary(spark: SparkSession, sf: str) -> DataFrame:
+    day = F.date_diff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+    steps = table(spark, sf, "events").select(
+        F.col("event_type").alias("run_id"),
+        day.alias("epoch"),
+        F.col("value").alias("loss"),
+        (F.col("value") * 0.9).alias("mse"),
+        (F.col("value") / 7).alias("kl"),
+        (F.col("user_id") % 8 + 1).alias("n"),
+    )
+    summary = telemetry.epoch_summary(steps)
+    return summary.withColumns({c: F.round(c, 6) for c in ("loss", "mse", "kl", "delta")})
+
+
+@query(
+    "f4_panel_schedule",
+    f"""WITH {RUN_EPOCHS} SELECT DISTINCT run_id, 0::INTEGER AS panel_epoch FROM k UNION ALL
+SELECT run_id, (epoch + 1)::INTEGER FROM k WHERE (epoch + 1) % 5 = 0 OR epoch = epochs - 1""",
+)
+def f4_panel_schedule(spark: SparkSession, sf: str) -> DataFrame:
+    return panel.panel_schedule(run_epochs(spark, sf), 5)
+
+
+@query(
+    "f4_sample_panel",
+    f"""WITH e AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS g, embedding FROM embeddings)
+SELECT 'demo' AS run_id, 3::INTEGER AS epoch, l.doc_id AS idx, 64::INTEGER AS n_tokens, 256::INTEGER AS n_latents
+FROM labels l JOIN e ON e.g = l.doc_id""",
+)
+def f4_sample_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions for the labelled positions of the store."""
+    wanted = table(spark, sf, "labels").select(F.col("doc_id").alias("list_pos"), F.col("doc_id").alias("idx"))
+    shown = panel.sample_panel(spark, store_path(spark, sf), small("linear"), known_linear(), wanted, "demo", 3)
+    return shown.select(
+        "run_id", "epoch", "idx", F.size("tokens").alias("n_tokens"), F.size("pred_z").alias("n_latents")
+    )
+
+
+@query(
+    "f5_decode_plan",
+    """SELECT event_id, date_diff('day', DATE '2024-01-01', ts::DATE)::INTEGER AS epoch,
+  printf('idx_%d/epoch_%04d.png', user_id, date_diff('day', DATE '2024-01-01', ts::DATE)) AS out_key FROM events""",
+)
+def f5_decode_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Sample files of every day, one per user; the epoch comes from the file name."""
+    day = F.date_diff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+    files = table(spark, sf, "events").select(
+        "event_id",
+        F.lit(-1).alias("epoch"),
+        F.col("user_id").alias("idx"),
+        F.concat(F.lit("runs/demo/samples/"), F.format_string("sample_%04d.pt", day)).alias("file"),
+    )
+    return panel.decode_plan(files, source="file").select("event_id", "epoch", "out_key")
+
+
+def panel_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector as a panel sample: label as epoch, latents from the known mapper."""
+    scored = score(tokens(spark, sf), create_mapper("linear", **SMALL), known_linear(), item="vec_id")
+    return scored.select(
+        F.lit("demo").alias("run_id"), F.col("label").alias("epoch"), F.col("vec_id").alias("idx"), "pred_z"
+    )
+
+
+@query("f6_decode_samples")
+def f6_decode_samples(spark: SparkSession, sf: str) -> DataFrame:
+    decoded = panel.decode_samples(panel_rows(spark, sf), linear_decoder(DIM, 8, seed=2), 8)
+    return panel.decode_plan(decoded).select(
+        "epoch", "idx", "out_key", "height", "width", F.hex(F.substring("image", 1, 8)).alias("magic")
+    )
+
+
+ERROR_SQL = f"""x AS (SELECT label AS epoch, vec_id % 4 AS idx, vec_id, avg((v * 0.9::DOUBLE + 0.01::DOUBLE - v) ** 2) AS mse
+  FROM ({unnest_sql("embeddings", "label, vec_id", "embedding")}) GROUP BY label, vec_id),
+m AS (SELECT epoch, idx, count(*)::BIGINT AS n_rows, avg(mse) AS mse FROM x GROUP BY epoch, idx)"""
+
+
+def errors(spark: SparkSession, sf: str) -> DataFrame:
+    vec = F.col("embedding").cast("array<double>")
+    samples = table(spark, sf, "embeddings").select(
+        F.col("label").alias("epoch"),
+        (F.col("vec_id") % 4).alias("idx"),
+        F.transform(vec, lambda v: v * 0.9 + 0.01).alias("pred_z"),
+        vec.alias("gt_mean"),
+    )
+    return panel.panel_error(samples)
+
+
+@query(
+    "f7_error_grid",
+    f"""WITH {ERROR_SQL} SELECT epoch, round(max(mse) FILTER (idx = 0), 6) AS "0", round(max(mse) FILTER (idx = 1), 6) AS "1",
+  round(max(mse) FILTER (idx = 2), 6) AS "2", round(max(mse) FILTER (idx = 3), 6) AS "3" FROM m GROUP BY epoch""",
+)
+def f7_error_grid(spark: SparkSession, sf: str) -> DataFrame:
+    grid = panel.error_grid(errors(spark, sf), [0, 1, 2, 3])
+    return grid.select("epoch", *[F.round(f"`{i}`", 6).alias(str(i)) for i in range(4)])
+
+
+@query(
+    "f7_comparison_grid",
+    """WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label),
+w AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS r, p, least(n - p * 16, 16) AS cells
+  FROM c, LATERAL (SELECT unnest(range((n + 15) // 16)) AS p))
+SELECT 'demo' AS run_id, p::INTEGER AS page_x, 0::INTEGER AS page_y, (count(*) * 8)::INTEGER AS height,
+  (max(cells) * 8)::INTEGER AS width FROM w GROUP BY p""",
+)
+def f7_comparison_grid(spark: SparkSession, sf: str) -> DataFrame:
+    decoded = apply_model(panel_rows(spark, sf), linear_decoder(DIM, 8, seed=2), "pred_z")
+    cells = decoded.select(
+        "run_id",
+        "epoch",
+        "idx",
+        F.lit(8).alias("height"),
+        F.lit(8).alias("width"),
+        panel.pack_levels(denormalize(F.col("pixels")), 8, 8).alias("levels"),
+    )
+    return panel.comparison_grid(cells, columns=16).drop("image")
+
+
+@query("f8_panel_error", f"WITH {ERROR_SQL} SELECT epoch, idx, n_rows, round(mse, 6) AS mse FROM m")
+def f8_panel_error(spark: SparkSession, sf: str) -> DataFrame:
+    return errors(spark, sf).withColumn("mse", F.round("mse", 6))
