@@ -256,7 +256,7 @@ def gradient_step(
     n = int(round(total[-1]))
     if n == 0:
         return np.zeros(size), 0.0, 0.0, 0
-    return total[:size] / n, total[size] / n, total[size + 1] / n, n
+    return total[:size] / n, float(total[size] / n), float(total[size + 1] / n), n
 
 
 class AdamW:
@@ -297,18 +297,24 @@ def fit_gradient(
     params: Params | None = None,
     optimizer: AdamW | None = None,
     start_epoch: int = 0,
+    cache: StorageLevel | None = None,
     on_epoch: Callable[[int, Params, AdamW, float], None] | None = None,
 ) -> tuple[Params, list[tuple[int, int, int, float, float, float, float]]]:
     """Synchronous data-parallel AdamW on mse + beta * kl; linear and MLP mappers.
 
-    Each step is one job over its share of the rows: a global batch, assigned by a
-    seeded hash of the item and epoch. State between steps is the flat parameter
-    vector, never a growing plan. Returns parameters and a log of
-    (epoch, batch, global step, loss, mse, kl, lr).
+    Each step is one job over its share of the rows: a global batch. Shares are whole
+    shards, dealt anew each epoch by a seeded hash, so a step on a partitioned store
+    reads only its own shards (rows without a shard_id are dealt one by one). State
+    between steps is the flat parameter vector, never a growing plan. ``cache`` keeps
+    the rows between steps; leave it out when the store exceeds the cluster's storage.
+    Returns parameters and a log of (epoch, batch, global step, loss, mse, kl, lr).
     """
     params = params or init_weights(spec, seed)
     optimizer = optimizer or AdamW(sum(a.size for a in params.values()))
-    rows = store.select("item_id", "tokens", "gt_mean", "gt_logvar").persist(StorageLevel.MEMORY_AND_DISK)
+    deal_by = "shard_id" if "shard_id" in store.columns else "item_id"
+    rows = store.select(*dict.fromkeys([deal_by, "item_id", "tokens", "gt_mean", "gt_logvar"]))
+    if cache is not None:
+        rows = rows.persist(cache)
     log = []
     try:
         for epoch in range(start_epoch, epochs):
@@ -317,7 +323,7 @@ def fit_gradient(
                 step = epoch * steps_per_epoch + batch
                 part = rows
                 if steps_per_epoch > 1:
-                    lane = F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), F.col("item_id")), F.lit(steps_per_epoch))
+                    lane = F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), F.col(deal_by)), F.lit(steps_per_epoch))
                     part = rows.where(lane == batch)
                 grad, mse_mean, kl_mean, n = gradient_step(part, spec, params, step, seed, beta)
                 if n == 0:
@@ -330,7 +336,8 @@ def fit_gradient(
             if on_epoch is not None and seen:
                 on_epoch(epoch + 1, params, optimizer, losses / seen)
     finally:
-        rows.unpersist()
+        if cache is not None:
+            rows.unpersist()
     return params, log
 
 
@@ -343,7 +350,7 @@ def fit_compare(
     """First and last loss of each spec after ``steps`` updates on the same rows."""
     rows = []
     for name, spec in specs.items():
-        _, log = fit_gradient(store, spec, epochs=steps, lr=lr, beta=beta, seed=seed)
+        _, log = fit_gradient(store, spec, epochs=steps, lr=lr, beta=beta, seed=seed, cache=StorageLevel.MEMORY_AND_DISK)
         rows += [(name, "before", log[0][3]), (name, "after", log[-1][3])]
     table = store.sparkSession.createDataFrame(rows, "mapper string, moment string, loss double")
     return table.groupBy("mapper").pivot("moment", ["before", "after"]).agg(F.first("loss"))

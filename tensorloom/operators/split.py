@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.functions.hashing import hash32
 from tensorloom.functions.ranking import hash_rank, order_rank
+from tensorloom.session import index_rows
 
 SPLITS = ("train", "val", "test")
 
@@ -75,8 +76,7 @@ def index_subset(df: DataFrame, indices: list[int] | DataFrame, index_col: str =
     if isinstance(indices, DataFrame):
         wanted = indices.select(F.col(indices.columns[0]).cast("long").alias(index_col))
     else:
-        rows = [(int(i),) for i in indices]
-        wanted = F.broadcast(df.sparkSession.createDataFrame(rows, f"{index_col} long"))
+        wanted = index_rows(df.sparkSession, indices, index_col)
     return df.join(wanted, index_col, "left_semi")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ STAMP = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) \[\w+\] "
 STEP_LINE = (
     STAMP + r"\s*step ([\d,]+)\s+batch=(\d+)\s+loss=(\S+)\s+mse=(\S+)\s+kl=(\S+)\s+lr=(\S+)\s*$"
 )
+SEPARATOR = "\x1f"
 RUN_IN_PATH = r"([^/]+)/logs/[^/]+$"
 EPOCH_LINE = STAMP + r"Epoch (\d+)/(\d+)\s+loss=(\S+)\s*$"
 
@@ -33,13 +36,11 @@ def parse_steps(lines: DataFrame, steps_per_epoch: Column | int | None = None) -
     follows from it when the steps per epoch are given.
     """
 
-    def part(i: int) -> Column:
-        return F.regexp_extract("value", STEP_LINE, i)
-
+    part = _groups(STEP_LINE, 7)
     step = F.regexp_replace(part(2), ",", "").try_cast("long")
     batch = part(3).try_cast("long")
     per_epoch = steps_per_epoch if isinstance(steps_per_epoch, Column) else F.lit(steps_per_epoch)
-    parsed = lines.where(F.col("value").rlike(STEP_LINE)).select(
+    return lines.where(F.col("value").rlike(STEP_LINE)).select(
         *([F.col("run_id")] if "run_id" in lines.columns else []),
         _stamp(part(1)).alias("ts"),
         F.floor((step - batch) / per_epoch.cast("long")).cast("int").alias("epoch"),
@@ -47,15 +48,12 @@ def parse_steps(lines: DataFrame, steps_per_epoch: Column | int | None = None) -
         batch.alias("batch"),
         *[part(i).try_cast("double").alias(n) for i, n in ((4, "loss"), (5, "mse"), (6, "kl"), (7, "lr"))],
     )
-    return parsed
 
 
 def parse_epochs(lines: DataFrame) -> DataFrame:
     """Epoch lines -> (run_id,) ts, epoch, epochs, loss."""
 
-    def part(i: int) -> Column:
-        return F.regexp_extract("value", EPOCH_LINE, i)
-
+    part = _groups(EPOCH_LINE, 4)
     return lines.where(F.col("value").rlike(EPOCH_LINE)).select(
         *([F.col("run_id")] if "run_id" in lines.columns else []),
         _stamp(part(1)).alias("ts"),
@@ -96,5 +94,14 @@ def epoch_summary(steps: DataFrame, weight: str = "n") -> DataFrame:
     return per_epoch.withColumn("delta", F.col("loss") - before)
 
 
+def _groups(pattern: str, n: int) -> Callable[[int], Column]:
+    """Access to the groups of a whole-line match, found in a single regex pass.
+
+    The rewritten line is one shared subexpression; every field is a piece of it.
+    """
+    pieces = F.split(F.regexp_replace("value", pattern, SEPARATOR.join(f"${i}" for i in range(1, n + 1))), SEPARATOR)
+    return lambda i: F.get(pieces, F.lit(i - 1))
+
+
 def _stamp(text: Column) -> Column:
     return F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss,SSS"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tensorloom.operators.encode import BatchModel, encode_features
 from tensorloom.operators.shards import SHARD_SIZE, assign_shards, estimate_store, resume_plan, shard_sizes
 from tensorloom.operators.split import slice_items
-from tensorloom.sources.store import committed_shards, save_manifest, validate_store, write_shards
+from tensorloom.sources.store import committed_shards, place_rows, save_manifest, validate_store, write_shards
 
 
 @dataclass
@@ -40,13 +41,18 @@ def pre_encode(
     dry_run: bool = False,
     storage: str = "float",
     batch_size: int = 16,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> EncodeReport:
     """Run (or, with ``dry_run``, only check and plan) the encoding job.
 
-    ``items`` needs item_id, path, file_name, parent; ``images`` has item_id and
-    pixels. Shards are planned on the narrow items; pixels join only for shards that
-    are not committed yet. Existing shards of another corpus or model are refused
-    when resuming. The manifest is written after the shards.
+    ``items`` needs item_id, path, file_name, parent. ``images`` has item_id and
+    either pixels, or anything that ``prepare`` turns into pixels (an image-source
+    struct through ``load_images`` and ``resize_center_crop``, say). Shards are
+    planned on the narrow items, and images join only for shards not committed yet.
+    Rows are brought to their output file as compact images; decoding, encoding and
+    writing then run in one task without moving a tensor. Existing shards of another
+    corpus or model are refused when resuming. The manifest is written after the
+    shards.
     """
     manifest = f"{store.rstrip('/')}_manifest"
     narrow = items.select("item_id", "path", "file_name", "parent")
@@ -69,8 +75,10 @@ def pre_encode(
 
     if n_pending:
         todo = planned.join(pending.select("shard_id"), "shard_id", "left_semi")
-        rows = todo.drop("file_name", "parent").join(images.select("item_id", "pixels"), "item_id")
-        write_shards(encode_features(rows, encoder, batch_size=batch_size), store, storage=storage)
+        rows = place_rows(todo.drop("file_name", "parent").join(images.drop("path"), "item_id"))
+        pixels = prepare(rows) if prepare else rows
+        encoded = encode_features(pixels, encoder, batch_size=batch_size).drop("height", "width")
+        write_shards(encoded, store, storage=storage, placed=True)
     save_manifest(spark, manifest, narrow, models, store=store, shard_size=shard_size)
     report.written = True
     return report

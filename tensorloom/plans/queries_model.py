@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tensorloom.functions.arrays import total
 from tensorloom.functions.ranking import order_rank
 from tensorloom.operators import fit, latent, loss, registry
-from tensorloom.operators.mappers import SPECS, MapperSpec, Params, create_mapper, init_weights, score
+from tensorloom.operators.mappers import MapperSpec, Params, create_mapper, init_weights, score, weights_table
 from tensorloom.operators.split import assign_batches, uniform_shuffle
 from tensorloom.plans.catalog import h32, query, table, unnest_sql
 from tensorloom.plans.queries_store import DIM, GRID, store_path
@@ -135,8 +135,8 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
 p AS (SELECT vec_id, n, c, sum(v * cos((d + 4 * c)::DOUBLE)) + 0.1::DOUBLE * c AS m,
   sum(v * sin((d + 4 * c)::DOUBLE)) - 0.1::DOUBLE * c AS l FROM t, range(4) r(c) GROUP BY vec_id, n, c)
 SELECT vec_id, 256::INTEGER AS n_values, round(avg(m), 4) AS mean_avg, round(avg(l), 4) AS logvar_avg,
-  round(max(CASE WHEN n = 0 AND c = 0 THEN m END), 4) AS first_cell,
-  round(max(CASE WHEN n = 15 AND c = 3 THEN l END), 4) AS last_cell FROM p GROUP BY vec_id""",
+  round(max(CASE WHEN n = 0 AND c = 0 THEN m END)::FLOAT::DOUBLE, 4) AS first_cell,
+  round(max(CASE WHEN n = 15 AND c = 3 THEN l END)::FLOAT::DOUBLE, 4) AS last_cell FROM p GROUP BY vec_id""",
 )
 def e1_score_linear(spark: SparkSession, sf: str) -> DataFrame:
     spec = create_mapper("linear", **SMALL)
@@ -191,24 +191,23 @@ def e5_score_transformer_resnet(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "e6_param_count",
-    """WITH g AS (SELECT label, max(len(embedding))::BIGINT AS d, count(*)::BIGINT AS n FROM embeddings GROUP BY label)
-SELECT label, n AS n_rows, 2 * (d * 16 + 16) AS linear,
-  d * 256 + 256 + 3 * (256 * 256 + 256) + 4 * 512 + 2 * (256 * 16 + 16) AS mlp FROM g""",
+    """WITH g AS (SELECT max(len(embedding))::BIGINT AS d, count(*)::BIGINT AS n FROM embeddings)
+SELECT 'linear' AS mapper, n AS n_rows, 2 * (d * 16 + 16) AS n_params FROM g UNION ALL
+SELECT 'mlp', n, d * 256 + 256 + 3 * (256 * 256 + 256) + 4 * 512 + 2 * (256 * 16 + 16) FROM g UNION ALL
+SELECT 'transformer', n, 4 * d + (3 * d * d + 3 * d) + (d * d + d) + (4 * d * d + 4 * d) + (4 * d * d + d) + 4 * d
+  + 2 * (d * 16 + 16) FROM g""",
 )
 def e6_param_count(spark: SparkSession, sf: str) -> DataFrame:
-    """Model sizes for the token widths found in the data, from their parameter tables."""
-    widths = table(spark, sf, "embeddings").groupBy("label").agg(
-        F.max(F.size("embedding")).alias("d"), F.count(F.lit(1)).alias("n_rows")
-    )
-    found = [r["d"] for r in widths.select("d").distinct().limit(1000).collect()]
-    rows = []
-    for d in found:
-        for name in ("linear", "mlp"):
-            params = init_weights(SPECS[name].sized(dim=d))
-            rows += [(d, name, key, list(a.shape), a.ravel().tolist()) for key, a in params.items()]
-    weights = spark.createDataFrame(rows, "d int, mapper string, param string, shape array<int>, values array<double>")
-    sizes = weights.groupBy("d").pivot("mapper", ["linear", "mlp"]).agg(F.sum(F.size("values")))
-    return widths.join(sizes, "d").select("label", "n_rows", "linear", "mlp")
+    """Sizes of mappers made for the token width found in the data, counted in
+    their parameter tables."""
+    found = table(spark, sf, "embeddings").agg(F.max(F.size("embedding")).alias("d"), F.count(F.lit(1)).alias("n")).first()
+    tables = [
+        weights_table(spark, init_weights(create_mapper(name, dim=found["d"])), name, 0)
+        for name in ("linear", "mlp", "transformer")
+    ]
+    every = tables[0].unionByName(tables[1]).unionByName(tables[2])
+    counts = every.groupBy(F.col("run_id").alias("mapper")).agg(F.sum(F.size("values")).alias("n_params"))
+    return counts.withColumn("n_rows", F.lit(found["n"]).cast("long"))
 
 
 # ---- loss -----------------------------------------------------------------

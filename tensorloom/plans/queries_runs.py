@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorloom.functions.arrays import average
 from tensorloom.operators import panel, telemetry
-from tensorloom.operators.encode import apply_model, linear_decoder
+from tensorloom.operators.encode import BatchModel, apply_model, linear_decoder
 from tensorloom.operators.latent import denormalize
 from tensorloom.operators.mappers import create_mapper, score
 from tensorloom.plans.catalog import query, table, unnest_sql, written
-from tensorloom.plans.queries_model import RUN_EPOCHS, SMALL, known_linear, run_epochs, small, tokens
+from tensorloom.plans.queries_model import RUN_EPOCHS, SMALL, UP_SQL, known_linear, run_epochs, small, tokens
 from tensorloom.plans.queries_store import DIM, store_path
 from tensorloom.session import scratch_path
 from tensorloom.streaming import ingest
@@ -156,7 +158,11 @@ def panel_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("f6_decode_samples")
+@query(
+    "f6_decode_samples",
+    """SELECT label AS epoch, vec_id AS idx, printf('idx_%d/epoch_%04d.png', vec_id, label) AS out_key,
+  8::INTEGER AS height, 8::INTEGER AS width, '89504E470D0A1A0A' AS magic FROM embeddings""",
+)
 def f6_decode_samples(spark: SparkSession, sf: str) -> DataFrame:
     decoded = panel.decode_samples(panel_rows(spark, sf), linear_decoder(DIM, 8, seed=2), 8)
     return panel.decode_plan(decoded).select(
@@ -164,6 +170,34 @@ def f6_decode_samples(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def formula_decoder() -> BatchModel:
+    """A decoder whose weights SQL can state: tanh of cos(k + 3 c) mixes."""
+
+    def make_predict_fn():
+        mix = np.cos(np.arange(3)[:, None] + 3.0 * np.arange(DIM)[None, :])
+
+        def predict(z: np.ndarray) -> dict[str, np.ndarray]:
+            rgb = np.tanh(np.einsum("kc,bchw->bkhw", mix, z.astype(np.float64)))
+            return {"pixels": rgb.reshape(len(z), -1)}
+
+        return predict
+
+    return BatchModel(make_predict_fn, (DIM, 8, 8), ("pixels",))
+
+
+@query(
+    "f6_decode_levels",
+    f"""WITH {UP_SQL}, z AS (SELECT vec_id, i // 64 AS d, i % 64 AS p, v FROM up),
+m AS (SELECT vec_id, c, p, sum(v * cos((d + 4 * c)::DOUBLE)) + 0.1::DOUBLE * c AS v FROM z, range(4) r(c) GROUP BY vec_id, c, p),
+x AS (SELECT vec_id, k, p, tanh(sum(v * cos((k + 3 * c)::DOUBLE))) AS v FROM m, range(3) r(k) GROUP BY vec_id, k, p)
+SELECT vec_id AS idx, round(avg(floor((v + 1) / 2 * 255.0::DOUBLE + 0.5)), 1) AS mean_level FROM x GROUP BY vec_id""",
+)
+def f6_decode_levels(spark: SparkSession, sf: str) -> DataFrame:
+    decoded = apply_model(panel_rows(spark, sf), formula_decoder(), "pred_z", batch_size=64)
+    levels = denormalize(F.col("pixels"))
+    return decoded.select("idx", F.round(average(levels), 1).alias("mean_level"))
+
+
 ERROR_SQL = f"""x AS (SELECT label AS epoch, vec_id % 4 AS idx, vec_id, avg((v * 0.9::DOUBLE + 0.01::DOUBLE - v) ** 2) AS mse
   FROM ({unnest_sql("embeddings", "label, vec_id", "embedding")}) GROUP BY label, vec_id),
 m AS (SELECT epoch, idx, count(*)::BIGINT AS n_rows, avg(mse) AS mse FROM x GROUP BY epoch, idx)"""

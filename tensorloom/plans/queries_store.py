@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.functions.arrays import total
+from tensorloom.functions.arrays import dot, total
 from tensorloom.functions.half import to_half
 from tensorloom.operators import latent, shards
-from tensorloom.operators.encode import encode_features, patch_encoder
+from tensorloom.operators.encode import BatchModel, cut, encode_features
 from tensorloom.operators.locality import locality_report
 from tensorloom.plans.catalog import half_sql, query, table, unnest_sql, written
+from tensorloom.plans.queries_inventory import image_rows
 from tensorloom.sources import store as feature_store
 from tensorloom.sources.images import load_images
-from tensorloom.plans.queries_inventory import image_rows
 
 SHARD = 64
 GRID, DIM = 4, 4  # a 64-value vector read as 16 tokens of 4 channels
@@ -51,17 +52,45 @@ tk AS (SELECT item_id, i, {HALF} AS v FROM ({unnest_sql("embeddings", "vec_id AS
 ts AS (SELECT item_id, sum(v) AS token_sum FROM tk GROUP BY item_id)"""
 
 
-@query("c1_encode_features")
+def formula_encoder() -> BatchModel:
+    """An encoder whose weights SQL can state: two 4x4 patches per axis, 6 channels
+    weighted by cos(pixel + 2 * channel), after one summary token."""
+
+    def make_predict_fn():
+        weights = np.cos(np.arange(48)[:, None] + 2.0 * np.arange(6)[None, :])
+
+        def predict(pixels: np.ndarray) -> dict[str, np.ndarray]:
+            tokens = cut(pixels.astype(np.float64), 4) @ weights
+            tokens = np.concatenate([tokens.mean(axis=1, keepdims=True), tokens], axis=1)
+            n = len(pixels)
+            return {"tokens": tokens.reshape(n, -1), "gt_mean": pixels.reshape(n, -1)[:, :64] * 2 - 1}
+
+        return predict
+
+    return BatchModel(make_predict_fn, (3, 8, 8), ("tokens", "gt_mean"))
+
+
+@query(
+    "c1_encode_features",
+    """WITH lv AS (SELECT vec_id, unnest(range(len(embedding))) AS i,
+  floor((unnest(embedding)::DOUBLE + 1.0) * 127.5) AS r FROM embeddings),
+px AS (SELECT vec_id, 0 AS c, i, r / 255 AS v FROM lv UNION ALL SELECT vec_id, 1, i, (255 - r) / 255 FROM lv
+  UNION ALL SELECT vec_id, 2, 63 - i, r / 255 FROM lv),
+t AS (SELECT vec_id, (i // 32) * 2 + (i % 8) // 4 AS n, k,
+  sum(v * cos((c * 16 + (i // 8) % 4 * 4 + i % 4 + 2 * k)::DOUBLE)) AS v FROM px, range(6) r(k) GROUP BY vec_id, n, k)
+SELECT vec_id, 24::INTEGER AS n_token_values, 64::INTEGER AS n_latent_values, round(sum(v), 2) AS token_sum,
+  round(sum(v * v), 1) AS token_power FROM t GROUP BY vec_id""",
+)
 def c1_encode_features(spark: SparkSession, sf: str) -> DataFrame:
     images = load_images(image_rows(spark, sf)).select("vec_id", "pixels")
-    out = encode_features(images, patch_encoder(3, 8, 4, 6, 2, leading=5), batch_size=64)
-    tokens = latent.drop_leading_tokens(F.col("tokens"), 6, 5)
+    out = encode_features(images, formula_encoder(), batch_size=64)
+    tokens = latent.drop_leading_tokens(F.col("tokens"), 6, 1)
     return out.select(
         "vec_id",
         F.size(tokens).alias("n_token_values"),
         F.size("gt_mean").alias("n_latent_values"),
-        F.round(total(tokens), 3).alias("token_sum"),
-        F.round(total(F.col("gt_logvar")), 3).alias("logvar_sum"),
+        F.round(total(tokens), 2).alias("token_sum"),
+        F.round(dot(tokens, tokens), 1).alias("token_power"),
     )
 
 

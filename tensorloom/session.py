@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "tensorloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -60,3 +61,16 @@ def shuffle_width(spark: SparkSession) -> int:
 def task_slots(spark: SparkSession) -> int:
     """How many tasks run at once, the bound used for partial-sum fan-in."""
     return max(spark.sparkContext.defaultParallelism, 1)
+
+
+MAX_BROADCAST_ROWS = 1_000_000  # narrow rows of a few longs: tens of MB
+
+
+def index_rows(spark: SparkSession, indices: list[int], *columns: str) -> DataFrame:
+    """A Python index list as a table; broadcast only while it is short.
+
+    One column name gives the values alone, two give (position, value).
+    """
+    rows = [(int(i),) if len(columns) == 1 else (pos, int(i)) for pos, i in enumerate(indices)]
+    listed = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in columns))
+    return F.broadcast(listed) if len(rows) <= MAX_BROADCAST_ROWS else listed

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tensorloom.functions.hashing import coin
+from tensorloom.session import index_rows
 
 PIXEL_FIELDS = [
     T.StructField("height", T.IntegerType()),
@@ -134,21 +135,16 @@ def to_signed(pixels: Column) -> Column:
 def get_batch(items: DataFrame, index_col: str, indices: list[int] | DataFrame) -> DataFrame:
     """Rows for an index list; duplicates kept, ``list_pos`` gives the order.
 
-    ``indices`` is a Python list (already on the driver, so broadcast) or a
+    ``indices`` is a Python list (already on the driver; broadcast while short) or a
     DataFrame ``(list_pos long, idx long)`` of any size (join left to the planner).
     """
     if isinstance(indices, DataFrame):
         wanted = indices.select("list_pos", "idx")
     else:
-        wanted = F.broadcast(_index_list(items.sparkSession, indices))
+        wanted = index_rows(items.sparkSession, indices, "list_pos", "idx")
     return wanted.join(items, wanted["idx"] == items[index_col]).drop("idx")
 
 
-def _index_list(spark: SparkSession, indices: list[int]) -> DataFrame:
-    rows = [(pos, int(i)) for pos, i in enumerate(indices)]
-    return spark.createDataFrame(rows, "list_pos long, idx long")
-
-
 def _map_pixels(df: DataFrame, fn, drop: tuple | list = ()) -> DataFrame:
     """Replace (height, width, pixels) row by row inside Arrow batches."""
     keep = [f for f in df.schema.fields if f.name not in {"height", "width", "pixels", *drop}]

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tensorloom.functions.half import pack_half, to_half, unpack_half
 from tensorloom.operators.shards import (
@@ -21,6 +22,7 @@ from tensorloom.operators.shards import (
     shard_audit,
     shard_sizes,
 )
+from tensorloom.session import MAX_BROADCAST_ROWS, index_rows
 from tensorloom.sources.inventory import path_exists
 
 TENSORS = ("tokens", "gt_mean", "gt_logvar")
@@ -32,27 +34,36 @@ MANIFEST_SCHEMA = (
 )
 
 
+def place_rows(df: DataFrame, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """Bring the rows of each output file together, in offset order.
+
+    Rows spread over (shard, file slot), so a large shard is written by many tasks.
+    Do this while rows are still small (before encoding) and pass
+    ``placed=True`` to :func:`write_shards`: tensors then never cross the network.
+    """
+    slot = F.floor(F.col("offset") / F.lit(int(rows_per_file)))
+    return df.repartition("shard_id", slot).sortWithinPartitions("shard_id", "offset")
+
+
 def write_shards(
-    df: DataFrame, path: str, *, storage: str = "float", rows_per_file: int = ROWS_PER_FILE
+    df: DataFrame, path: str, *, storage: str = "float", rows_per_file: int = ROWS_PER_FILE, placed: bool = False
 ) -> None:
     """Write or replace the shards present in ``df``.
 
     Tensors are rounded to half precision. ``storage='float'`` keeps them as float
     arrays (the zero low bits compress away); ``'half'`` packs them as binary16.
-    Rows spread over (shard, file slot), so a large shard is written by many tasks.
     """
     present = [t for t in TENSORS if t in df.columns]
+    if not placed:
+        df = place_rows(df, rows_per_file)
     if storage == "half":
         out = pack_half(df, present)
     elif storage == "float":
         out = df.withColumns({t: to_half(F.col(t)) for t in present})
     else:
         raise ValueError(f"unknown storage {storage!r}")
-    slot = F.floor(F.col("offset") / F.lit(int(rows_per_file)))
     (
-        out.repartition("shard_id", slot)
-        .sortWithinPartitions("shard_id", "offset")
-        .write.mode("overwrite")
+        out.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
         .partitionBy("shard_id")
@@ -61,11 +72,20 @@ def write_shards(
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """Store rows widened to float arrays, missing log-variances as zeros."""
-    raw = spark.read.option("mergeSchema", "true").parquet(path)
-    types = dict(raw.dtypes)
-    packed = {t: unpack_half(F.col(t)) for t in TENSORS if types.get(t) == "binary"}
-    return default_logvar(raw.withColumns(packed) if packed else raw)
+    """Store rows widened to float arrays, missing log-variances as zeros.
+
+    One footer gives the column types; a tensor it lacks is added to the schema, so
+    old and new shards read together without merging every file's schema.
+    """
+    schema = spark.read.parquet(path).schema
+    tensor = next((schema[t].dataType for t in TENSORS if t in schema.names), T.ArrayType(T.FloatType()))
+    for name in TENSORS:
+        if name not in schema.names:
+            schema = schema.add(name, tensor)
+    raw = spark.read.schema(schema).parquet(path)
+    if isinstance(tensor, T.BinaryType):
+        raw = raw.withColumns({t: unpack_half(F.col(t)) for t in TENSORS})
+    return default_logvar(raw)
 
 
 def read_keys(spark: SparkSession, path: str) -> DataFrame:
@@ -83,16 +103,17 @@ def committed_shards(spark: SparkSession, path: str) -> DataFrame:
 def lookup(spark: SparkSession, path: str, indices: list[int] | DataFrame, meta: DataFrame | None = None) -> DataFrame:
     """Tensors for global indices, reading only the shards that hold them.
 
-    A Python list is small by nature and joined as a broadcast, which prunes shard
-    partitions and, within them, row groups; a DataFrame of indices is joined as the
-    planner sees fit.
+    A short Python list is joined as a broadcast, which prunes the scan to the shard
+    partitions it needs; longer lists and DataFrames are joined as the planner sees fit.
+    Pass ``meta`` (shard_id, n_images) to spare counting the shards again.
     """
     meta = meta if meta is not None else committed_shards(spark, path)
     if isinstance(indices, DataFrame):
         wanted = locate(meta, indices)
     else:
-        rows = [(pos, int(i)) for pos, i in enumerate(indices)]
-        wanted = F.broadcast(locate(meta, spark.createDataFrame(rows, "list_pos long, idx long")))
+        wanted = locate(meta, index_rows(spark, indices, "list_pos", "idx"))
+        if len(indices) <= MAX_BROADCAST_ROWS:  # one row per wanted index
+            wanted = F.broadcast(wanted)
     return read_store(spark, path).join(wanted, ["shard_id", "offset"])
 
 
