@@ -18,12 +18,14 @@ wide columns afterwards.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tensorloom.functions.arrays import bind
 from tensorloom.functions.hashing import hash32
 from tensorloom.session import shuffle_width
 
@@ -69,43 +71,56 @@ def order_rank(
     """Position of each row in the ascending order of ``keys``."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     cuts = sample_borders(df, keys, borders or min(shuffle_width(df.sparkSession) * 4, MAX_BORDERS))
-    key_type = df.select(_as_key(keys).alias("k")).schema["k"].dataType
-    placed = df.withColumn("_bucket", bucket_of(_as_key(keys), cuts, key_type))
+    placed = df.withColumn("_bucket", bucket_of(df, keys, cuts))
     return _number_in_buckets(placed, keys, out, total)
 
 
-def sample_borders(df: DataFrame, keys: list[str], borders: int) -> list:
-    """At most ``borders`` key values, evenly spaced in a fixed-size uniform sample.
+def sample_borders(df: DataFrame, keys: list[str], borders: int) -> list[tuple]:
+    """At most ``borders`` keys as text, evenly spaced in a fixed-size uniform sample.
 
     The sample is the rows with the smallest row hash (a per-task bounded heap),
-    so the driver receives at most ``borders * 16`` keys whatever the input size.
-    Only the balance of buckets depends on it, never the rank.
+    thinned before it reaches the driver. Only the balance of buckets depends on it,
+    never the rank.
     """
+    as_text = F.struct(*[F.col(f"k.{k}").cast("string").alias(k) for k in keys])
     sample = (
         df.select(*keys)
         .orderBy(F.xxhash64(*keys))
         .limit(borders * SAMPLES_PER_BORDER)
-        .agg(F.array_sort(F.collect_list(_as_key(keys))).alias("k"))
-        .select(F.filter("k", lambda x, i: i % SAMPLES_PER_BORDER == SAMPLES_PER_BORDER // 2).alias("k"))
+        .select(F.struct(*keys).alias("k"))
+        .select("k", as_text.alias("text"))
+        .agg(F.array_sort(F.collect_list(F.struct("k", "text"))).alias("all"))
+        .select(F.filter("all", lambda x, i: i % SAMPLES_PER_BORDER == SAMPLES_PER_BORDER // 2).alias("all"))
+        .select(F.transform("all", lambda x: x["text"]).alias("cuts"))
     )
-    return list(sample.first()["k"])
+    return [tuple(c) for c in sample.first()["cuts"]]
 
 
-def bucket_of(key: Column, cuts: list, key_type: T.DataType) -> Column:
-    """How many cuts are <= key, by binary search over a literal array.
+def bucket_of(df: DataFrame, keys: list[str], cuts: list[tuple]) -> Column:
+    """How many cuts are <= the row's key, by binary search over a constant array.
 
-    Cuts take exactly the key's type: any monotone placement is a valid bucketing, a
-    comparison across types (time zones, for one) might not be monotone.
+    The array is one folded constant per query. It takes exactly the key's types and
+    is sorted in the engine: any sorted array is a valid bucketing, so what text and
+    time-zone conversions did to a border cannot matter.
     """
     if not cuts:
         return F.lit(0)
-    table = F.array(*[_as_literal(c) for c in cuts]).cast(T.ArrayType(key_type))
+    fields = [df.select(k).schema[0].dataType for k in keys]
+    columns = [
+        F.from_json(F.lit(json.dumps([c[i] for c in cuts])), "array<string>").cast(T.ArrayType(t)).alias(k)
+        for i, (k, t) in enumerate(zip(keys, fields, strict=True))
+    ]
+    table = F.array_sort(F.arrays_zip(*columns))
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
-    found = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda found, step: F.when(F.get(table, found + step - 1) <= key, found + step).otherwise(found),
-    )
+
+    def search(k: Column) -> Column:
+        return F.aggregate(
+            steps,
+            F.lit(0),
+            lambda found, step: F.when(F.get(table, found + step - 1) <= k, found + step).otherwise(found),
+        )
+
+    found = bind(F.struct(*keys), search)
     return F.coalesce(found, F.lit(0))  # never null, so joins add no recomputing null filter
 
 
@@ -151,13 +166,3 @@ def _number_in_buckets(df: DataFrame, order: list[str], out: str, total: str | N
     if total:
         ranked = ranked.withColumn(total, F.col("_total").cast("long"))
     return ranked.drop("_bucket", "_start", "_total")
-
-
-def _as_key(keys: list[str]) -> Column:
-    return F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
-
-
-def _as_literal(value) -> Column:
-    if isinstance(value, tuple):  # Row of a composite key
-        return F.struct(*[F.lit(v).alias(n) for n, v in value.asDict().items()])
-    return F.lit(value)

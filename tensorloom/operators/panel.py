@@ -117,7 +117,8 @@ def error_grid(errors: DataFrame, indices: list[int]) -> DataFrame:
 def comparison_grid(cells: DataFrame, columns: int = 32, rows: int = 64) -> DataFrame:
     """Montage: one strip per epoch with cells ordered by idx, strips stacked by epoch.
 
-    ``cells`` has run_id, epoch, idx, height, width, levels (H, W, 3 bytes). Cells of
+    ``cells`` has run_id, epoch, idx, height, width, levels (H, W, 3 bytes); hand in a
+    written table, since its keys are read several times. Cells of
     a strip are resized to its largest height and width. Panels wider or longer than
     ``columns`` / ``rows`` continue on further pages, so a page stays image-sized and
     no cell is left out.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorloom.functions.arrays import bind
 from tensorloom.functions.ranking import order_rank
 from tensorloom.plans.catalog import h32, query, table, unnest_sql, written
 from tensorloom.session import scratch_path
@@ -27,15 +28,13 @@ def image_rows(spark: SparkSession, sf: str, height: int = 8, width: int = 8) ->
     levels = F.transform("embedding", lambda v: F.floor((v.cast("double") + 1.0) * 127.5).cast("int"))
     n = height * width
 
-    def bgr(i: Column) -> Column:
-        red = F.get("_lv", i)
-        return F.array(F.get("_lv", F.lit(n - 1) - i), F.lit(255) - red, red)
+    def interleaved(lv: Column) -> Column:
+        return F.transform(lv, lambda red, i: F.array(F.get(lv, F.lit(n - 1) - i), F.lit(255) - red, red))
 
-    raw = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), bgr))
+    raw = F.flatten(bind(levels, interleaved))
     data = F.unhex(F.array_join(F.transform(raw, lambda b: F.lpad(F.hex(b), 2, "0")), ""))
     return (
         table(spark, sf, "embeddings")
-        .withColumn("_lv", levels)
         .select(
             "vec_id",
             "label",

@@ -233,15 +233,20 @@ SELECT 'demo' AS run_id, p::INTEGER AS page_x, 0::INTEGER AS page_y, (count(*) *
   (max(cells) * 8)::INTEGER AS width FROM w GROUP BY p""",
 )
 def f7_comparison_grid(spark: SparkSession, sf: str) -> DataFrame:
-    decoded = apply_model(panel_rows(spark, sf), linear_decoder(DIM, 8, seed=2), "pred_z")
-    cells = decoded.select(
-        "run_id",
-        "epoch",
-        "idx",
-        F.lit(8).alias("height"),
-        F.lit(8).alias("width"),
-        panel.pack_levels(denormalize(F.col("pixels")), 8, 8).alias("levels"),
-    )
+    """Montage of a written table of decoded cells."""
+
+    def write(path: str) -> None:
+        decoded = apply_model(panel_rows(spark, sf), linear_decoder(DIM, 8, seed=2), "pred_z")
+        decoded.select(
+            "run_id",
+            "epoch",
+            "idx",
+            F.lit(8).alias("height"),
+            F.lit(8).alias("width"),
+            panel.pack_levels(denormalize(F.col("pixels")), 8, 8).alias("levels"),
+        ).write.parquet(path)
+
+    cells = spark.read.parquet(written(spark, sf, "cells", write))
     return panel.comparison_grid(cells, columns=16).drop("image")
 
 
