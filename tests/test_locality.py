@@ -1,0 +1,43 @@
+from collections import OrderedDict
+
+import numpy as np
+import pytest
+
+from tensorloom.operators.locality import locality_report
+
+
+def lru_hits(seq, capacity):
+    held, hits = OrderedDict(), 0
+    for s in seq:
+        hits += s in held
+        held[s] = True
+        held.move_to_end(s)
+        if len(held) > capacity:
+            held.popitem(last=False)
+    return hits
+
+
+def report(spark, traces, capacities, **options):
+    rows = [(w, i, s) for w, seq in traces.items() for i, s in enumerate(seq)]
+    df = spark.createDataFrame(rows, "worker string, seq long, shard_id int").repartition(3)
+    return {(r["worker"], r["capacity"]): r for r in locality_report(df, capacities, **options).collect()}
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 7, 1000])
+def test_equals_direct_lru(spark, chunk):
+    rng = np.random.default_rng(1)
+    traces = {
+        "a": rng.integers(0, 12, 200).tolist(),
+        "b": [0, 1, 2, 0, 1, 2, 0],
+        "hot": (rng.zipf(1.5, 500) % 30).tolist(),
+    }
+    got = report(spark, traces, [1, 2, 4, 8], chunk=chunk)
+    for (worker, k), r in got.items():
+        assert (r["accesses"], r["hits"]) == (len(traces[worker]), lru_hits(traces[worker], k)), (worker, k)
+        assert r["misses"] == r["accesses"] - r["hits"]
+
+
+def test_known_traces(spark):
+    got = report(spark, {"x": [0, 0, 0], "y": [0, 1, 2], "z": [0, 0], "e": [0, 1, 0, 2, 1]}, [2])
+    assert [(got[w, 2]["hits"], got[w, 2]["misses"]) for w in "xyze"] == [(2, 1), (0, 3), (1, 1), (1, 4)]
+    assert got["z", 2]["hit_rate"] == "50.0%"
