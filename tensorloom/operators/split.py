@@ -18,6 +18,7 @@ from tensorloom.functions.ranking import hash_rank, order_rank
 from tensorloom.session import index_rows
 
 SPLITS = ("train", "val", "test")
+FILTER_INDICES = 1000
 
 
 def _share(n: Column, ratio: float, whole: float = 1.0) -> Column:
@@ -72,9 +73,15 @@ def first_n(df: DataFrame, n: int, index_col: str = "global_idx") -> DataFrame:
 
 
 def index_subset(df: DataFrame, indices: list[int] | DataFrame, index_col: str = "global_idx") -> DataFrame:
-    """Exactly the requested positions that exist, each once."""
+    """Exactly the requested positions that exist, each once.
+
+    A short list becomes a filter that prunes partitions and row groups in the scan;
+    anything longer is a semi join.
+    """
     if isinstance(indices, DataFrame):
         wanted = indices.select(F.col(indices.columns[0]).cast("long").alias(index_col))
+    elif len(indices) <= FILTER_INDICES:
+        return df.where(F.col(index_col).isin([int(i) for i in indices]))
     else:
         wanted = index_rows(df.sparkSession, indices, index_col)
     return df.join(wanted, index_col, "left_semi")
