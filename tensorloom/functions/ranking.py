@@ -105,12 +105,11 @@ def bucket_of(df: DataFrame, keys: list[str], cuts: list[tuple]) -> Column:
     """
     if not cuts:
         return F.lit(0)
-    fields = [df.select(k).schema[0].dataType for k in keys]
-    columns = [
-        F.from_json(F.lit(json.dumps([c[i] for c in cuts])), "array<string>").cast(T.ArrayType(t)).alias(k)
-        for i, (k, t) in enumerate(zip(keys, fields, strict=True))
-    ]
-    table = F.array_sort(F.arrays_zip(*columns))
+    typed = T.StructType([T.StructField(f"f{i}", df.select(k).schema[0].dataType) for i, k in enumerate(keys)])
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in typed])
+    rows = json.dumps([dict(zip(text.names, c, strict=True)) for c in cuts])
+    # only foldable pieces (no lambda, no arrays_zip): the optimizer leaves a literal
+    table = F.sort_array(F.from_json(F.lit(rows), T.ArrayType(text)).cast(T.ArrayType(typed)))
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
 
     def search(k: Column) -> Column:

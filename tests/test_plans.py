@@ -103,3 +103,9 @@ def test_locality_never_groups_a_whole_worker(spark):
     trace = spark.createDataFrame(rows, "worker string, seq long, shard_id int")
     text = plan(locality.locality_report(trace, [2], chunk=100))
     assert re.search(r"HashAggregate\(keys=\[worker#\d+, _chunk#\d+L\]", text) or "ObjectHashAggregate" in text
+
+
+def test_rank_borders_are_a_literal(spark):
+    df = spark.range(1000).withColumn("s", F.col("id").cast("string"))
+    text = order_rank(df, ["s", "id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in text and "sort_array" not in text
