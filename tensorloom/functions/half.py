@@ -40,30 +40,39 @@ def to_half(arr: Column) -> Column:
     return F.transform(arr, half_value)
 
 
-def pack_half(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Float-array columns -> little-endian binary16 bytes (half the bytes of float).
+def round_half(df: DataFrame, columns: list[str], packed: bool = False) -> DataFrame:
+    """Round whole float-array columns to half precision, batch by batch.
 
-    A batch transform rather than a scalar UDF: all columns are needed by a write
-    anyway, and the input may be any expression (the optimizer does not extract
-    scalar Python UDFs whose argument holds nested lambdas reliably).
+    Same values as :func:`to_half` at numpy speed, for wide rows on their way to a
+    file. ``packed`` leaves little-endian binary16 bytes (half the size of float)
+    instead of float arrays. A batch transform rather than a scalar UDF: a write needs
+    every column anyway, and the input may then be any expression.
     """
     chosen = set(columns)
+    out_type = T.BinaryType() if packed else T.ArrayType(T.FloatType())
     schema = T.StructType(
-        [T.StructField(f.name, T.BinaryType() if f.name in chosen else f.dataType, True) for f in df.schema.fields]
+        [T.StructField(f.name, out_type if f.name in chosen else f.dataType, True) for f in df.schema.fields]
     )
 
-    def packed(column: pa.Array) -> pa.Array:
-        raw = column.flatten().to_numpy(zero_copy_only=False).astype("<f2").tobytes()
-        out, start = [], 0
-        for n in column.value_lengths().to_pylist():
-            out.append(None if n is None else raw[start : start + 2 * n])
-            start += 2 * (n or 0)
-        return pa.array(out, pa.binary())
+    def convert(column: pa.Array) -> pa.Array:
+        with np.errstate(over="ignore"):
+            half = column.flatten().to_numpy(zero_copy_only=False).astype("<f2")
+        lengths = column.value_lengths().to_pylist()
+        ends = np.cumsum([0] + [n or 0 for n in lengths])
+        if packed:
+            raw = half.tobytes()
+            return pa.array(
+                [None if n is None else raw[2 * e : 2 * (e + n)] for n, e in zip(lengths, ends, strict=False)], pa.binary()
+            )
+        missing = pa.array([n is None for n in lengths], pa.bool_())
+        return pa.ListArray.from_arrays(
+            pa.array(ends, pa.int32()), pa.array(half.astype(np.float32)), mask=missing if column.null_count else None
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            arrays = [packed(c) if n in chosen else c for n, c in zip(names, batch.columns, strict=True)]
+            arrays = [convert(c) if n in chosen else c for n, c in zip(names, batch.columns, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return df.mapInArrow(run, schema)

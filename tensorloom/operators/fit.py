@@ -93,18 +93,21 @@ def peek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch] | None:
 
 
 def linear_moments(
-    store: DataFrame, dim: int, latent: int, grid: int, tokens: str = "tokens", upsample: bool = True, batch_size: int = 32
+    store: DataFrame, dim: int, latent: int, grid: int, tokens: str = "tokens", upsample: bool = True, batch_size: int = 8
 ) -> tuple[np.ndarray, np.ndarray, int]:
     """Sums (XtX, XtY) over all cells of all rows, and the number of cells.
 
     X: upsampled tokens plus a constant; Y: gt_mean and gt_logvar channels. The
-    upsampling is linear and acts on space only, so it commutes with the projection
-    and regressing on upsampled tokens fits the mapper itself. Without upsampling
-    only token moments are formed (XtY is zero).
+    upsampling U is linear and acts on space only, so it commutes with the projection
+    and regressing on upsampled tokens fits the mapper itself. For the same reason
+    nothing is upsampled here: XtX = tokens' (UtU) tokens and XtY = tokens' (UtY),
+    both at token resolution. Without upsampling only token moments are formed.
     """
     d, t = dim + 1, 2 * latent
     up = upsample_matrix(grid)
+    gram = up.T @ up if upsample else np.eye(grid)
     columns = [tokens] + (["gt_mean", "gt_logvar"] if upsample else [])
+    cells = (4 if upsample else 1) * grid * grid
 
     def fold(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         xtx, xty, n = np.zeros((d, d)), np.zeros((d, t)), 0
@@ -112,15 +115,15 @@ def linear_moments(
             for batch in row_chunks(whole, batch_size):
                 rows = batch.num_rows
                 x = stack(batch.column(tokens), grid * grid * dim).astype(np.float64).reshape(rows, grid * grid, dim)
+                x = np.concatenate([x, np.ones((rows, grid * grid, 1))], axis=2)  # U keeps a constant constant
+                flat = x.reshape(-1, d)
+                smooth = gram @ x.transpose(0, 2, 1).reshape(rows, d, grid, grid) @ gram
+                xtx += flat.T @ smooth.reshape(rows, d, -1).transpose(0, 2, 1).reshape(-1, d)
+                n += rows * cells
                 if upsample:
-                    planes = x.transpose(0, 2, 1).reshape(rows, dim, grid, grid)
-                    x = (up @ planes @ up.T).reshape(rows, dim, -1).transpose(0, 2, 1)
-                x = np.concatenate([x.reshape(-1, dim), np.ones((rows * x.shape[1], 1))], axis=1)
-                xtx += x.T @ x
-                n += len(x)
-                if upsample:
-                    y = [stack(batch.column(c), latent * 4 * grid * grid).reshape(rows, latent, -1) for c in columns[1:]]
-                    xty += x.T @ np.concatenate(y, axis=1).astype(np.float64).transpose(0, 2, 1).reshape(-1, t)
+                    y = [stack(batch.column(c), latent * cells).reshape(rows, latent, 2 * grid, 2 * grid) for c in columns[1:]]
+                    small = up.T @ np.concatenate(y, axis=1).astype(np.float64) @ up
+                    xty += flat.T @ small.reshape(rows, t, -1).transpose(0, 2, 1).reshape(-1, t)
         return np.concatenate([xtx.ravel(), xty.ravel(), [n]])
 
     v = sum_vectors(store, columns, fold, d * d + d * t + 1)

@@ -50,17 +50,22 @@ def combined_loss(mse_value: Column, kl_value: Column, beta: float = BETA) -> Co
 def evaluate(scored: DataFrame, beta: float = BETA, by: list[str] | None = None) -> DataFrame:
     """Mean losses over scored rows.
 
-    Expects pred_z, pred_mean, pred_logvar, gt_mean, gt_logvar. With ``batch_id``
-    present losses are averaged per batch and weighted by batch size; all rows have
-    the same shape, so this equals the plain mean and needs no batch otherwise.
+    Expects pred_z, pred_mean, pred_logvar, gt_mean, gt_logvar -- or mse and kl per
+    row, as ``mappers.score_losses`` returns them. With ``batch_id`` present losses
+    are averaged per batch and weighted by batch size; all rows have the same shape,
+    so this equals the plain mean and needs no batch otherwise.
     """
     keys = by or []
-    rows = scored.select(
-        *keys,
-        *(["batch_id"] if "batch_id" in scored.columns else []),
-        mse(F.col("pred_z"), F.col("gt_mean")).alias("mse"),
-        kl_divergence(F.col("pred_mean"), F.col("pred_logvar"), F.col("gt_mean"), F.col("gt_logvar")).alias("kl"),
-    )
+    batch = ["batch_id"] if "batch_id" in scored.columns else []
+    if {"mse", "kl"} <= set(scored.columns):
+        rows = scored.select(*keys, *batch, "mse", "kl")
+    else:
+        rows = scored.select(
+            *keys,
+            *batch,
+            mse(F.col("pred_z"), F.col("gt_mean")).alias("mse"),
+            kl_divergence(F.col("pred_mean"), F.col("pred_logvar"), F.col("gt_mean"), F.col("gt_logvar")).alias("kl"),
+        )
     if "batch_id" in rows.columns:
         rows = rows.groupBy(*keys, "batch_id").agg(
             F.count(F.lit(1)).alias("n"), F.avg("mse").alias("mse"), F.avg("kl").alias("kl")

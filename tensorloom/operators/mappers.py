@@ -301,3 +301,41 @@ def score(
                 )
 
     return inputs.mapInArrow(run, schema)
+
+
+def score_losses(
+    df: DataFrame,
+    spec: MapperSpec,
+    params: Params,
+    *,
+    keep: list[str],
+    tokens: str = "tokens",
+    batch_size: int = 32,
+) -> DataFrame:
+    """Per-row mse and kl of the predictions (not sampled) against gt_mean, gt_logvar.
+
+    The predictions themselves never leave the Python worker: a row returns two
+    numbers instead of three latents. Feed the result to ``loss.evaluate``.
+    """
+    inputs = df.select(*keep, *[c for c in (tokens, "gt_mean", "gt_logvar") if c not in keep])
+    schema = T.StructType(
+        [df.schema[c] for c in keep] + [T.StructField(n, T.DoubleType()) for n in ("mse", "kl")]
+    )
+    shared = df.sparkSession.sparkContext.broadcast(params)  # size: param_count(spec) doubles
+    n_tokens, cells = spec.grid * spec.grid, 4 * spec.grid * spec.grid * spec.latent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = shared.value
+        for whole in batches:
+            for batch in row_chunks(whole, batch_size):
+                x = stack(batch.column(tokens), n_tokens * spec.dim).reshape(-1, n_tokens, spec.dim).astype(np.float64)
+                mean, _, logvar = (o.reshape(len(x), -1) for o in forward(spec, p, x))
+                gt_mean, gt_logvar = (stack(batch.column(c), cells).astype(np.float64) for c in ("gt_mean", "gt_logvar"))
+                gap = mean - gt_mean
+                kl = 0.5 * (gt_logvar - logvar + np.exp(logvar - gt_logvar) + gap * gap * np.exp(-gt_logvar) - 1.0)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c) for c in keep] + [pa.array((gap * gap).mean(axis=1)), pa.array(kl.mean(axis=1))],
+                    names=keep + ["mse", "kl"],
+                )
+
+    return inputs.mapInArrow(run, schema)

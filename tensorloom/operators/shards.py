@@ -13,7 +13,7 @@ from tensorloom.functions.ranking import order_rank, running_offsets
 SHARD_SIZE = 1000
 FINGERPRINT_HEX = 16  # fixed value: fingerprint length in hex digits
 LISTED_FINGERPRINT_MAX = 5_000_000
-BLOCK = 1 << 20
+BLOCK = 1 << 12  # rows; a few shards of the usual size
 
 
 def assign_shards(
@@ -65,7 +65,7 @@ def index_map(meta: DataFrame) -> DataFrame:
     Expanded in two steps (blocks, then rows), so no single row carries a list as
     long as its shard.
     """
-    span = F.lit(BLOCK >> 8).cast("long")
+    span = F.lit(BLOCK).cast("long")
     blocks = (
         shard_bases(meta.select("shard_id", "n_images"))
         .where("n_images > 0")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tensorloom.functions.arrays import total
 from tensorloom.functions.ranking import order_rank
 from tensorloom.operators import fit, latent, loss, registry
-from tensorloom.operators.mappers import MapperSpec, Params, create_mapper, init_weights, score, weights_table
+from tensorloom.operators.mappers import MapperSpec, Params, create_mapper, init_weights, score, score_losses, weights_table
 from tensorloom.operators.split import assign_batches, uniform_shuffle
 from tensorloom.plans.catalog import h32, query, table, unnest_sql
 from tensorloom.plans.queries_store import DIM, GRID, store_path
@@ -338,7 +338,7 @@ def e12_fit_linear(spark: SparkSession, sf: str) -> DataFrame:
     """Least squares over the whole store, then its error per shard."""
     rows = read_store(spark, store_path(spark, sf)).select("item_id", "shard_id", "tokens", "gt_mean", "gt_logvar")
     params = fit.fit_linear(rows, small("linear"))
-    result = loss.evaluate(score(rows, small("linear"), params), by=["shard_id"])
+    result = loss.evaluate(score_losses(rows, small("linear"), params, keep=["shard_id"]), by=["shard_id"])
     return result.withColumns({c: F.round(c, 6) for c in ("loss", "mse", "kl")})
 
 

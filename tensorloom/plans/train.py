@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.operators.fit import STEP_LOG_SCHEMA, fit_gradient, fit_linear
 from tensorloom.operators.loss import evaluate
-from tensorloom.operators.mappers import MapperSpec, Params, init_weights, score
+from tensorloom.operators.mappers import MapperSpec, Params, init_weights, score_losses
 from tensorloom.operators.panel import sample_panel, write_panel
 from tensorloom.operators.registry import RunConfig, checkpoint_load, checkpoint_save, run_config
 from tensorloom.operators.split import assign_batches, first_n, ordered_split, shard_shuffle, tail_holdout
@@ -98,5 +98,5 @@ def run_training(
         on_epoch=after,
     )
     steps = spark.createDataFrame(log, STEP_LOG_SCHEMA).withColumn("run_id", F.lit(run_id))
-    held_out = evaluate(score(validation, spec, params), config.beta) if validation is not None else None
+    held_out = evaluate(score_losses(validation, spec, params, keep=[]), config.beta) if validation is not None else None
     return RunResult(params, steps, held_out)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tensorloom.functions.half import pack_half, to_half, unpack_half
+from tensorloom.functions.half import round_half, unpack_half
 from tensorloom.operators.shards import (
     SHARD_SIZE,
     dataset_fingerprint,
@@ -56,12 +56,9 @@ def write_shards(
     present = [t for t in TENSORS if t in df.columns]
     if not placed:
         df = place_rows(df, rows_per_file)
-    if storage == "half":
-        out = pack_half(df, present)
-    elif storage == "float":
-        out = df.withColumns({t: to_half(F.col(t)) for t in present})
-    else:
+    if storage not in ("float", "half"):
         raise ValueError(f"unknown storage {storage!r}")
+    out = round_half(df, present, packed=storage == "half") if present else df
     (
         out.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tensorloom.functions.half import half_value, pack_half, unpack_half
+from tensorloom.functions.half import half_value, round_half, unpack_half
 
 
 def test_every_half_value_and_midpoint(spark):
@@ -27,7 +27,10 @@ def test_pack_round_trip(spark):
     rng = np.random.default_rng(0)
     arrays = [rng.standard_normal(n).astype(np.float32) for n in (5, 0, 3)]
     df = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(arrays)] + [(3, None)], "i int, a array<float>")
-    packed = pack_half(df.coalesce(1), ["a"])
+    packed = round_half(df.coalesce(1), ["a"], packed=True)
+    plain = {r["i"]: r["a"] for r in round_half(df.coalesce(1), ["a"]).collect()}
+    assert plain[3] is None and plain[1] == []
+    assert plain[0] == arrays[0].astype(np.float16).astype(np.float32).tolist()
     rows = packed.select("i", F.octet_length("a").alias("n"), unpack_half(F.col("a")).alias("a")).orderBy("i").collect()
     assert [r["n"] for r in rows] == [10, 0, 6, None]
     for r, a in zip(rows, arrays, strict=False):

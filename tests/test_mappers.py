@@ -115,3 +115,17 @@ def test_encode_features(spark):
     assert np.allclose([r["gt_logvar"] for r in rows], want["gt_logvar"], atol=1e-6)
     assert {len(r["kept"]) for r in rows} == {20} and {len(r["gt_mean"]) for r in rows} == {32}
     assert cut(x, 4).shape == (7, 4, 48) and np.array_equal(cut(x, 4)[0, 1], x[0, :, :4, 4:].ravel())
+
+
+def test_score_losses_equal_expressions(spark):
+    from tensorloom.operators import loss
+
+    spec = mappers.create_mapper("mlp", **SMALL)
+    p = mappers.init_weights(spec, 2)
+    rng = np.random.default_rng(4)
+    rows = [(i, *(rng.standard_normal(k).tolist() for k in (128, 192, 192))) for i in range(9)]
+    df = spark.createDataFrame(rows, "item_id long, tokens array<float>, gt_mean array<float>, gt_logvar array<float>")
+    a = loss.evaluate(mappers.score(df, spec, p)).first()
+    b = loss.evaluate(mappers.score_losses(df.repartition(3), spec, p, keep=["item_id"], batch_size=2)).first()
+    assert a["n_rows"] == b["n_rows"] == 9
+    assert math.isclose(a["loss"], b["loss"], rel_tol=1e-5) and math.isclose(a["kl"], b["kl"], rel_tol=1e-5)
