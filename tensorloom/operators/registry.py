@@ -16,8 +16,9 @@ CKPT_SCHEMA = "run_id string, epoch int, final boolean, slot string, param strin
 
 @dataclass(frozen=True)
 class RunConfig:
-    """Options of one run; defaults are the documented ones."""
+    """Options of one run."""
 
+    # fixed values: option names and defaults of a run
     lr: float = 1e-3
     epochs: int = 100
     batch_size: int = 8

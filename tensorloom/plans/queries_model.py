@@ -238,18 +238,18 @@ SELECT label, max(n)::BIGINT AS n_rows, round(avg({KL_SQL}), 6) AS kl FROM c JOI
 def e8_kl_divergence(spark: SparkSession, sf: str) -> DataFrame:
     """KL of each class posterior against the posterior of the whole set.
 
-    Per class and dimension the moments are partial aggregates; the whole-set
-    moments have one row per dimension.
+    Moments per class and dimension are partial aggregates over one scan; the
+    whole-set moments are merged from them (one row per dimension), so the exploded
+    values are read once and their shuffle is reused.
     """
     values = vectors(spark, sf).select("label", F.posexplode("embedding").alias("i", "v"))
-
-    def posterior(keys: list[str], mean: str, logvar: str) -> DataFrame:
-        return values.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"), F.avg("v").alias(mean), F.ln(F.var_pop("v")).alias(logvar)
-        )
-
-    classes = posterior(["label", "i"], "mm", "lm")
-    whole = posterior(["i"], "mv", "lv").drop("n")
+    classes = values.groupBy("label", "i").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("v").alias("mm"), F.var_pop("v").alias("vm")
+    )
+    n, mean = F.col("n"), F.sum(F.col("n") * F.col("mm")) / F.sum("n")
+    square = F.sum(n * (F.col("vm") + F.col("mm") * F.col("mm"))) / F.sum("n")
+    whole = classes.groupBy("i").agg(mean.alias("mv"), F.ln(square - mean * mean).alias("lv"))
+    classes = classes.withColumn("lm", F.ln("vm"))
     term = loss.kl_term(F.col("mm"), F.col("lm"), F.col("mv"), F.col("lv"))
     return classes.join(whole, "i").groupBy("label").agg(
         F.max("n").alias("n_rows"), F.round(F.avg(term), 6).alias("kl")
