@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 
 from tensorloom.functions.hashing import hash32
 from tensorloom.functions.ranking import hash_rank, order_rank
-from tensorloom.session import index_rows
+from tensorloom.session import FILTER_INDICES, index_rows
 
 SPLITS = ("train", "val", "test")
-FILTER_INDICES = 1000
 
 
 def _share(n: Column, ratio: float, whole: float = 1.0) -> Column:

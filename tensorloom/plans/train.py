@@ -46,7 +46,7 @@ def run_training(
     resume: bool = False,
     closed_form: bool = False,
 ) -> RunResult:
-    """Fit a mapper on a store; writes config, checkpoints and panels below ``out``.
+    """Fit a mapper on a store; writes config, steps, checkpoints and panels below ``out``.
 
     ``closed_form`` starts a linear mapper from its least-squares solution.
     """
@@ -98,5 +98,6 @@ def run_training(
         on_epoch=after,
     )
     steps = spark.createDataFrame(log, STEP_LOG_SCHEMA).withColumn("run_id", F.lit(run_id))
+    steps.write.mode("append").partitionBy("run_id").parquet(f"{out}/steps")
     held_out = evaluate(score_losses(validation, spec, params, keep=[]), config.beta) if validation is not None else None
     return RunResult(params, steps, held_out)

@@ -63,6 +63,7 @@ def task_slots(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, 1)
 
 
+FILTER_INDICES = 1000  # index lists up to here become constant scan filters
 MAX_BROADCAST_ROWS = 1_000_000  # narrow rows of a few longs: tens of MB
 
 

@@ -22,7 +22,7 @@ from tensorloom.operators.shards import (
     shard_audit,
     shard_sizes,
 )
-from tensorloom.session import MAX_BROADCAST_ROWS, index_rows
+from tensorloom.session import FILTER_INDICES, MAX_BROADCAST_ROWS, index_rows
 from tensorloom.sources.inventory import path_exists
 
 TENSORS = ("tokens", "gt_mean", "gt_logvar")
@@ -100,18 +100,27 @@ def committed_shards(spark: SparkSession, path: str) -> DataFrame:
 def lookup(spark: SparkSession, path: str, indices: list[int] | DataFrame, meta: DataFrame | None = None) -> DataFrame:
     """Tensors for global indices, reading only the shards that hold them.
 
-    A short Python list is joined as a broadcast, which prunes the scan to the shard
-    partitions it needs; longer lists and DataFrames are joined as the planner sees fit.
+    A short Python list is located first (as many narrow rows as the list is long),
+    so the scan gets constant filters: other shard partitions are not listed and
+    other row groups not read. Longer lists and DataFrames are joined.
     Pass ``meta`` (shard_id, n_images) to spare counting the shards again.
     """
     meta = meta if meta is not None else committed_shards(spark, path)
+    rows = read_store(spark, path)
     if isinstance(indices, DataFrame):
         wanted = locate(meta, indices)
     else:
         wanted = locate(meta, index_rows(spark, indices, "list_pos", "idx"))
-        if len(indices) <= MAX_BROADCAST_ROWS:  # one row per wanted index
+        if len(indices) <= FILTER_INDICES:
+            found = wanted.collect()
+            wanted = F.broadcast(spark.createDataFrame(found, wanted.schema))
+            rows = rows.where(
+                F.col("shard_id").isin(sorted({r["shard_id"] for r in found}))
+                & F.col("offset").isin(sorted({r["offset"] for r in found}))
+            )
+        elif len(indices) <= MAX_BROADCAST_ROWS:  # one row per wanted index
             wanted = F.broadcast(wanted)
-    return read_store(spark, path).join(wanted, ["shard_id", "offset"])
+    return rows.join(wanted, ["shard_id", "offset"])
 
 
 def load_shards(spark: SparkSession, path: str, num_shards: int, planned: DataFrame | None = None) -> DataFrame:

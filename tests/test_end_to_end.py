@@ -103,6 +103,7 @@ def test_packed_store_trains(spark, corpus, tmp_path):
     resumed = run_training(spark, store, spec, longer, "r", out, resume=True)
     assert [r["epoch"] for r in resumed.steps.collect()] == [4]
     assert spark.read.parquet(f"{out}/configs").count() == 2
+    assert spark.read.parquet(f"{out}/steps").where("run_id = 'r'").count() == 5
 
     best = run_training(spark, store, spec, config, "closed", out, closed_form=True)
     assert best.steps.orderBy("step").first()["mse"] < losses[0]

@@ -20,6 +20,14 @@ def test_upsample(spark, channels, grid):
     assert np.allclose(np.reshape(got, (channels, 2 * grid, 2 * grid)), up @ z @ up.T)
 
 
+def test_upsample_rows_equals_the_expression(spark):
+    z = np.random.default_rng(0).standard_normal((7, 3 * 16))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(z)], "i int, z array<double>")
+    a = df.select("i", latent.upsample2x(F.col("z"), 3, 4).alias("z")).orderBy("i").collect()
+    b = latent.upsample_rows(df.repartition(3), "z", 3, 4).orderBy("i").collect()
+    assert np.allclose([r["z"] for r in a], [r["z"] for r in b], atol=1e-6)
+
+
 def test_upsample_matrix_is_half_pixel_bilinear():
     up = latent.upsample_matrix(4)
     # source position of output o is (o + 0.5) / 2 - 0.5, clamped to the first cell

@@ -49,10 +49,17 @@ def test_first_n_reaches_the_scan(spark, store):
     assert "LessThan(global_idx,12)" in text and "tokens" not in text
 
 
-def test_lookup_prunes_shards(spark, store):
+def test_lookup_prunes_shards_and_row_groups(spark, store):
     meta = spark.createDataFrame([(0, 10), (1, 10), (2, 8)], "shard_id int, n_images long")
     text = plan(fs.lookup(spark, store, [3, 25], meta))
-    assert "dynamicpruning" in text.lower()
+    assert re.search(r"PartitionFilters: \[.*shard_id#\d+ IN \(0,2\)", text)
+    assert re.search(r"PushedFilters: \[.*In\(offset", text)
+
+
+def test_long_lookup_prunes_at_run_time(spark, store):
+    meta = spark.createDataFrame([(0, 10), (1, 10), (2, 8)], "shard_id int, n_images long")
+    rows = fs.lookup(spark, store, [i % 30 for i in range(1500)], meta)
+    assert "dynamicpruning" in plan(rows).lower() and rows.count() == 50 * 28
 
 
 def test_index_subset_prunes_by_shard(spark, store):
