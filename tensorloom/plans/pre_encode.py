@@ -24,6 +24,7 @@ class EncodeReport:
     problems: list[str] = field(default_factory=list)
     pending_shards: int = 0
     written: bool = False
+    incomplete_shards: int = 0  # still short after writing: items without a readable image
 
 
 def pre_encode(
@@ -81,4 +82,5 @@ def pre_encode(
         write_shards(encoded, store, storage=storage, placed=True)
     save_manifest(spark, manifest, narrow, models, store=store, shard_size=shard_size)
     report.written = True
+    report.incomplete_shards = resume_plan(plan_sizes, committed_shards(spark, store)).count()
     return report

@@ -22,7 +22,7 @@ from tensorloom.operators.shards import (
     shard_audit,
     shard_sizes,
 )
-from tensorloom.session import FILTER_INDICES, MAX_BROADCAST_ROWS, index_rows
+from tensorloom.session import FILTER_INDICES, MAX_BROADCAST_ROWS, index_rows, shuffle_width
 from tensorloom.sources.inventory import path_exists
 
 TENSORS = ("tokens", "gt_mean", "gt_logvar")
@@ -39,10 +39,13 @@ def place_rows(df: DataFrame, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
 
     Rows spread over (shard, file slot), so a large shard is written by many tasks.
     Do this while rows are still small (before encoding) and pass
-    ``placed=True`` to :func:`write_shards`: tensors then never cross the network.
+    ``placed=True`` to :func:`write_shards`: tensors then never cross the network. The
+    partition count is stated, so adaptive execution does not merge the compact rows
+    into fewer tasks than the encoding that follows can use.
     """
     slot = F.floor(F.col("offset") / F.lit(int(rows_per_file)))
-    return df.repartition("shard_id", slot).sortWithinPartitions("shard_id", "offset")
+    spread = df.repartition(shuffle_width(df.sparkSession), "shard_id", slot)
+    return spread.sortWithinPartitions("shard_id", "offset")
 
 
 def write_shards(

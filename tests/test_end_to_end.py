@@ -53,7 +53,8 @@ def test_pre_encode_resume_and_dry_run(spark, corpus, tmp_path):
     assert plan.estimated_bytes == 23 * 2 * (24 + 32 + 32) and not plan.written
     assert fs.committed_shards(spark, store).count() == 0
 
-    assert run(spark, corpus, store).written
+    report = run(spark, corpus, store)
+    assert report.written and report.incomplete_shards == 0
     done = {r["shard_id"]: r["n_images"] for r in fs.committed_shards(spark, store).collect()}
     assert done == {0: 5, 1: 5, 2: 5, 3: 5, 4: 3}
     before = {r["item_id"]: r["tokens"] for r in fs.read_store(spark, store).collect()}
@@ -75,6 +76,17 @@ def test_pre_encode_resume_and_dry_run(spark, corpus, tmp_path):
     assert run(spark, corpus, store, dry_run=True).problems == []
 
 
+def test_unreadable_images_leave_their_shard_incomplete(spark, tmp_path):
+    root = tmp_path / "in"
+    root.mkdir()
+    for i in range(7):
+        (root / f"{i}.png").write_bytes(png_bytes(np.full((8, 8, 3), i, np.uint8)))
+    (root / "1.png").write_bytes(b"not an image")
+    report = run(spark, str(root), str(tmp_path / "store"), shard_size=3)
+    assert (report.shard_count, report.incomplete_shards) == (3, 1)
+    assert run(spark, str(root), str(tmp_path / "store"), shard_size=3, dry_run=True).pending_shards == 1
+
+
 def test_other_models_or_items_are_refused(spark, corpus, tmp_path):
     store = str(tmp_path / "store")
     run(spark, corpus, store, subset=(0, 10))
