@@ -31,24 +31,28 @@ CHAIN = 2  # content words of a signature
 SKIP = 8  # common words passed over before a content word
 
 _STOP = "(?:" + "|".join(sorted(set(ANCHORS), key=lambda w: (-len(w), w))) + ") "
-_NEXT = f"(?:{_STOP}){{0,{SKIP}}}+[^ ]+ "
+_NEXT = f"(?:{_STOP}){{0,{SKIP}}}+(?!{_STOP})[^ ]+ "
 _SPOT = f"(?<= )(?=({_STOP}{_NEXT * CHAIN}))"
+FEW = 4  # spots below which every pair of neighbouring words is a signature
+_PAIR = "(?<= )(?=([^ ]+ [^ ]+ ))"
 
 
 def signatures(text: Column) -> Column:
     """Distinct signature hashes (32 bits) of a text, sorted.
 
-    A text in which no anchor is followed by enough words has one signature, of all its
-    words; a text without words has none.
+    A text with few spots (a table, a title) has all pairs of neighbouring words instead, one
+    of a single word that word; a text without words has none.
     """
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     spots = F.regexp_extract_all(words, F.lit(_SPOT), F.lit(1))
     # the anchor, then content words only
     chains = F.transform(spots, lambda s: _number(F.regexp_replace(s, f"(?<= ){_STOP}", "")))
-    whole = F.when(F.length(F.trim(words)) > 0, F.array(_number(F.concat(F.lit("="), words)))).otherwise(
+    pairs = F.transform(F.regexp_extract_all(words, F.lit(_PAIR), F.lit(1)), lambda s: _number(F.concat(F.lit("="), s)))
+    alone = F.when(F.length(F.trim(words)) > 0, F.array(_number(F.concat(F.lit("="), words)))).otherwise(
         F.expr("cast(array() as array<int>)")
     )
-    return F.when(F.size(chains) > 0, F.array_sort(F.array_distinct(chains))).otherwise(whole)
+    chosen = F.when(F.size(spots) >= FEW, chains).when(F.size(pairs) > 0, pairs).otherwise(alone)
+    return F.array_sort(F.array_distinct(chosen))
 
 
 def _number(chain: Column) -> Column:
