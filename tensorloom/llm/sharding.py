@@ -6,10 +6,10 @@ partition must give them one. Over the others we search the smallest capacity C
 greedy filling in that order needs no more shards than there are, and cut there.
 
 The search needs running sums of group sizes only near the cuts. Round by round the
-driver sees at most ``points`` of them: first evenly spaced over all, then those between
+driver sees about ``points`` of them: first evenly spaced over all, then those between
 the positions that greedy filling can reach for the capacities still possible. Rounding a
 cut to a seen point moves it by at most one bin, so each round narrows capacity and
-windows by a constant factor and the last one is exact. Executors only sum and sort
+windows by a constant factor, and the last one sees every group of its windows. Executors only sum and sort
 narrow rows; texts are read once and never shuffled.
 """
 
@@ -87,8 +87,10 @@ def _running(groups: DataFrame) -> DataFrame:
 def _minimax(running: DataFrame, total: int, largest: int, shards: int, points: int) -> list[str]:
     low, windows = max(-(-total // shards), largest), [(0, total)]
     known: dict[int, str] = {}
+    width, groups = max(1, -(-total // points)), points + 1
     while True:
-        width = max(1, -(-sum(b - a + 1 for a, b in windows) // points))
+        if groups <= points:  # few groups are left: see each
+            width = 1
         near = F.lit(False)
         for a, b in windows:  # one per cut at most
             near = near | F.col("stop").between(a, b)
@@ -105,6 +107,11 @@ def _minimax(running: DataFrame, total: int, largest: int, shards: int, points:
             break
         low = max(low, high - width)
         windows = _reach(stops, sorted((r["first"], r["top"]["stop"]) for r in bins), total, shards, low, high)
+        groups = sum(r["n"] for r in bins if any(r["first"] <= b and r["top"]["stop"] >= a for a, b in windows))
+        # windows can't get narrower than cuts differ between capacities a few bytes apart,
+        # by some of the largest groups each: then all groups there are few enough
+        narrower = -(-sum(b - a + 1 for a, b in windows) // points)
+        width = max(1, narrower) if narrower * 2 <= width else 1
     return [known[c] for c in _even_cuts(stops, total, shards, high)]
 
 
