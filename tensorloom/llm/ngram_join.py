@@ -40,7 +40,8 @@ SLACK = 5.0  # standard deviations below the threshold that a signature may show
 WORD = re.compile(r"\w+")
 CACHE = 500_000
 
-FEATURES = "doc_id long, key string, shingles long, items binary, signature binary"
+FEATURES = "doc_id long, key string, h long, items binary, signature binary, brief binary"
+BROADCAST_ROWS = 1_000_000  # pairs of longs: 16 MB
 
 
 class WordHash(dict):
@@ -83,22 +84,34 @@ def signature(items: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 def shingle_features(docs: DataFrame, words: int = WORDS, positions: int = POSITIONS, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, key, shingles, items, signature); ``key`` names the shingle set and is empty for texts without words."""
+    """(doc_id, key, h, items, signature, brief) of every document.
+
+    ``key`` names the shingle set (128 bits, empty for texts without words), ``h`` is a short
+    form of it for the search, where two sets under one h do no harm; ``items`` are the
+    hashed shingles, ``signature`` the min-hash values, ``brief`` their low bytes.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, factors = WordHash(), _multipliers(positions)
         for batch in batches:
-            keys, sizes, sets, signs = [], [], [], []
+            keys, short, sets, signs, briefs = [], [], [], [], []
             for text in batch.column(1):
                 items = shingle_set(text.as_py(), words, hashes)
                 data = items.astype("<u4").tobytes()
+                sign = signature(items, factors) if len(items) else np.zeros(0, np.uint32)
                 keys.append(xxhash.xxh3_128_hexdigest(data) if len(items) else "")
-                sizes.append(len(items))
+                short.append(xxhash.xxh64_intdigest(data) - (1 << 63))
                 sets.append(data)
-                signs.append(signature(items, factors).astype("<u4").tobytes() if len(items) else b"")
+                signs.append(sign.astype("<u4").tobytes())
+                briefs.append((sign & 0xFF).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(signs, pa.binary())],
-                ["doc_id", "key", "shingles", "items", "signature"],
+                [
+                    batch.column(0),
+                    pa.array(keys, pa.string()),
+                    pa.array(short, pa.int64()),
+                    *[pa.array(c, pa.binary()) for c in (sets, signs, briefs)],
+                ],
+                ["doc_id", "key", "h", "items", "signature", "brief"],
             )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(make, FEATURES)
@@ -124,12 +137,11 @@ def jaccard_join(
     rows count as other documents; of rows that share the least id of a class all are kept.
     """
     features = stored(shingle_features(docs, words, id_col=id_col, text_col=text_col), "ngram-features")
-    sets = stored(
-        features.where("key <> ''").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "ngram-sets"
-    )
-    signed = stored(_of_sets(features, sets, "signature"), "ngram-signed")
-    meets = stored(_buckets(signed, threshold, recall, bucket), "ngram-buckets")
-    links = stored(_compare(meets, signed, features, sets, threshold), "ngram-links")
+    full = features.where("key <> ''")
+    sets = full.groupBy("key", "h").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    sets = stored(sets, "ngram-sets")
+    meets = stored(_buckets(full, sets, threshold, recall, bucket), "ngram-buckets")
+    links = stored(_compare(meets, full, sets, threshold), "ngram-links")
     counted = links.groupBy("a").agg(F.sum("links").alias("links"))
     roots = components(links.where("a <> root").select(F.col("a").alias("u"), F.col("root").alias("v")))
     # the root of a component is its least key; its class is the least id below it
@@ -146,7 +158,7 @@ def jaccard_join(
         )
     )
     # wordless texts have no partner in `told`; a salted key keeps them from meeting in one task
-    own = F.when(F.col("key") == "", F.concat(F.lit("-"), F.col("doc_id").cast("string"))).otherwise(F.col("key"))
+    own = F.when(F.col("key") == "", F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).otherwise(F.col("key"))
     return (
         features.select("doc_id", own.alias("key"))
         .join(told, F.col("key") == F.col("key2"), "left")
@@ -160,11 +172,16 @@ def jaccard_join(
     )
 
 
-def _of_sets(features: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
-    """Columns of each set, from the row of its least id: a join on both, so copies don't meet in one task."""
-    own = sets.select(F.col("key").alias("key2"), "rep", *[c for c in columns if c == "n"])
-    at = (F.col("key") == F.col("key2")) & F.col("doc_id").eqNullSafe(F.col("rep"))
-    return features.join(own, at).select("key", *columns)
+def _of_sets(features: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
+    """Feature columns of the wanted sets (h, rep, ...), from the row of each one's least id.
+
+    The join is on both, so copies don't meet in one task. While the wanted sets are few they
+    go to the features, which then aren't shuffled at all.
+    """
+    own = wanted.withColumnsRenamed({"h": "h2"})
+    own = F.broadcast(own) if own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else own
+    at = (F.col("h") == F.col("h2")) & F.col("doc_id").eqNullSafe(F.col("rep"))
+    return features.select("doc_id", "h", *columns).join(own, at).drop("h2", "rep", "doc_id")
 
 
 # ---- the tree of chosen paths ----------------------------------------------------
@@ -205,29 +222,28 @@ def _signatures(column: pa.Array) -> np.ndarray:
 
 
 def _split(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Children (path, parent, key) of nodes (path, key, signature)."""
+    """Children (path, parent, h) of nodes (path, h, signature)."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             signs = _signatures(batch.column(2))
-            paths = batch.column(0).to_numpy()
+            paths, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for path in np.unique(paths).tolist():
                 own = np.flatnonzero(paths == path)
-                keys = batch.column(1).take(pa.array(own))
                 for position in _chosen(path, signs.shape[1], threshold):
                     child = _child(path, position, signs[own, position])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(child), pa.array(np.full(len(own), path)), keys], ["path", "parent", "key"]
+                        [pa.array(child), pa.array(np.full(len(own), path)), pa.array(h[own])], ["path", "parent", "h"]
                     )
 
-    ordered = nodes.select("path", "key", "signature").sortWithinPartitions("path")
-    return ordered.mapInArrow(split, "path long, parent long, key string")
+    ordered = nodes.select("path", "h", "signature").sortWithinPartitions("path")
+    return ordered.mapInArrow(split, "path long, parent long, h long")
 
 
-def _roots(signed: DataFrame, first: int, runs: int, threshold: float) -> DataFrame:
-    """First level of the runs numbered from ``first``: (path, parent, key)."""
+def _roots(features: DataFrame, first: int, runs: int, threshold: float) -> DataFrame:
+    """First level (path, h) of the runs numbered from ``first``, copies included."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,19 +253,17 @@ def _roots(signed: DataFrame, first: int, runs: int, threshold: float) -> DataFr
             for run in range(first, first + runs):
                 for position in _chosen(run, signs.shape[1], threshold):
                     child = _child(run, position, signs[:, position])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(child), pa.array(np.full(len(child), run, np.int64)), batch.column(0)], ["path", "parent", "key"]
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(child), batch.column(0)], ["path", "h"])
 
-    return signed.select("key", "signature").mapInArrow(split, "path long, parent long, key string")
+    return features.select("h", "signature").mapInArrow(split, "path long, h long")
 
 
-def _buckets(signed: DataFrame, threshold: float, recall: float, bucket: int) -> DataFrame:
-    """(path, tiles, key): the buckets to compare, in ``tiles`` tiles each, enough runs for the recall."""
+def _buckets(features: DataFrame, sets: DataFrame, threshold: float, recall: float, bucket: int) -> DataFrame:
+    """(path, tiles, h): the buckets to compare, in ``tiles`` tiles each, enough runs for the recall."""
     out, done, need = None, 0, RUNS
     while done < need:
-        level, deepest = _roots(signed, done, need - done, threshold), 1
-        parents = None
+        level = _roots(features, done, need - done, threshold).distinct().withColumn("parent", F.lit(None).cast("long"))
+        parents, deepest = None, 1
         for depth in range(1, DEPTH + 1):
             level = stored(level, "ngram-level")
             sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("parent").alias("parent")).where("size > 1")
@@ -260,38 +274,45 @@ def _buckets(signed: DataFrame, threshold: float, recall: float, bucket: int) ->
             sizes = stored(sizes.select("path", "size", "stuck"), "ngram-sizes")
             last = F.col("stuck") | (F.col("size") <= bucket) | F.lit(depth == DEPTH)
             here = sizes.where(last).select("path", F.ceil(F.col("size") / F.lit(bucket)).cast("int").alias("tiles"))
-            rows = level.join(here, "path").select("path", "tiles", "key")
+            rows = level.join(here, "path").select("path", "tiles", "h")
             out = rows if out is None else out.union(rows)
             deeper = sizes.where(~last)
             if deeper.isEmpty():
                 break
             deepest = depth + 1
             parents = deeper.select(F.col("path").alias("parent"), F.col("size").alias("parent_size"))
-            level = _split(level.join(deeper.select("path"), "path").join(signed, "key"), threshold)
+            going = stored(level.join(deeper.select("path"), "path").select("path", "h"), "ngram-going")
+            signed = _of_sets(features, sets.join(going.select("h").distinct(), "h").select("h", "rep"), "signature")
+            level = _split(going.join(signed, "h"), threshold).distinct()
         done, need = need, max(need, runs_needed(deepest, recall))
-    return out.distinct()
+    return out
 
 
 # ---- comparison ------------------------------------------------------------------
 
 
-def _compare(meets: DataFrame, signed: DataFrame, features: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _compare(meets: DataFrame, features: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(a, links, root) from all buckets."""
-    paths = meets.groupBy("key").agg(F.collect_list("path").alias("paths"))  # a set stands in few buckets
-    dealt = _tiled(meets).join(signed, "key").join(paths, "key")
+    # a set stands in few buckets: some per run and level
+    placed = stored(meets.groupBy("h").agg(F.collect_list(F.struct("path", "tiles")).alias("places")), "ngram-places")
+    briefs = _of_sets(features, sets.join(placed.select("h"), "h").select("h", "rep"), "brief")
+    dealt = _tiled(placed.join(briefs, "h"), "brief")
     agree = max(0, math.floor(POSITIONS * threshold - SLACK * math.sqrt(POSITIONS * threshold * (1 - threshold))))
-    near = _in_groups(dealt, "signature", _candidates(agree), "path long, i int, j int, t int, key string")
-    near = stored(near, "ngram-near")
-    wanted = sets.join(near.select("key").distinct(), "key")
-    exact = _of_sets(features, wanted, "n", "items").join(paths, "key")
-    return _in_groups(near.join(exact, "key"), "items", _verified(threshold), "a string, links long, root string", "n")
-
-
-def _tiled(meets: DataFrame) -> DataFrame:
-    """Each row goes to every pair of tiles (i <= j) of its bucket that holds its own tile t."""
-    own = meets.withColumn("t", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
-    return own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "path", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "key"
+    near = stored(_in_groups(dealt, "brief", _candidates(agree), "path long, i int, j int, t int, h long"), "ngram-near")
+    groups = near.distinct().groupBy("h").agg(F.collect_list(F.struct("path", "i", "j", "t")).alias("groups"))
+    paths = placed.select("h", F.transform("places", lambda p: p["path"]).alias("paths"))
+    wanted = stored(sets.join(groups, "h").join(paths, "h"), "ngram-wanted").drop("key")
+    exact = _of_sets(features, wanted, "key", "items").withColumn("g", F.explode("groups"))
+    exact = exact.select("g.*", "h", "paths", "items", "n", "key")
+    return _in_groups(exact, "items", _verified(threshold), "a string, links long, root string", "n", "key")
+
+
+def _tiled(rows: DataFrame, payload: str) -> DataFrame:
+    """Each row goes to every bucket it has a place in, there to the pairs of tiles (i <= j) that hold its own tile t."""
+    each = rows.select("h", F.transform("places", lambda p: p["path"]).alias("paths"), payload, F.explode("places").alias("p"))
+    own = each.withColumn("t", F.pmod(F.xxhash64("h"), F.col("p.tiles")).cast("int"))
+    return own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("p.tiles") - 1))).select(
+        F.col("p.path").alias("path"), F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "h", "paths", payload
     )
 
 
@@ -314,7 +335,7 @@ def _in_groups(rows: DataFrame, payload: str, work, shape: str, *more: str) -> D
             yield from work(held.combine_chunks())
 
     keys = ["path", "i", "j"]
-    placed = rows.select(*keys, "t", "key", "paths", payload, *more).repartition(*keys).sortWithinPartitions(*keys, "key")
+    placed = rows.select(*keys, "t", "h", "paths", payload, *more).repartition(*keys).sortWithinPartitions(*keys, "h")
     return placed.mapInArrow(run, shape)
 
 
@@ -337,15 +358,14 @@ def _first_meeting(paths: list, path: int) -> np.ndarray:
 
 def _pairs(table: pa.Table, a: int, b: int) -> np.ndarray:
     """Mask of the pairs of one group that this pair of tiles is the one to compare."""
-    keys = table.column(4).slice(a, b - a).to_pylist()
+    h = table.column(4).slice(a, b - a).to_numpy()
     tile = table.column(3).slice(a, b - a).to_numpy()
     i, j, path = (table.column(k)[a].as_py() for k in (1, 2, 0))
     ours = np.triu(np.ones((b - a, b - a), bool), 1)
     if i != j:
         ours &= tile[:, None] != tile[None, :]
-    for k in range(1, len(keys)):  # a set that stands twice in a group (repeated rows) doesn't meet itself
-        if keys[k] == keys[k - 1]:
-            ours[k, :] = ours[:, k] = False
+    again = np.flatnonzero(h[1:] == h[:-1]) + 1  # a set that stands twice (repeated rows) doesn't meet itself
+    ours[again, :] = ours[:, again] = False
     return ours & _first_meeting(table.column(5).slice(a, b - a).to_pylist(), path)
 
 
@@ -353,7 +373,8 @@ def _candidates(agree: int):
     """Rows of which a pair's signatures agree in at least ``agree`` positions."""
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        signs = _signatures(table.column(6).combine_chunks())
+        rows = table.column(6).to_pylist()
+        signs = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
         keep = np.zeros(table.num_rows, bool)
         for a, b in _groups(table):
             n = b - a
@@ -368,7 +389,7 @@ def _candidates(agree: int):
                 alike &= _pairs(table, a, b)
                 keep[a:b] = alike.any(axis=0) | alike.any(axis=1)
         if keep.any():
-            chosen = table.select(["path", "i", "j", "t", "key"]).take(pa.array(np.flatnonzero(keep)))
+            chosen = table.select(["path", "i", "j", "t", "h"]).take(pa.array(np.flatnonzero(keep)))
             yield from chosen.combine_chunks().to_batches()
 
     return work
@@ -391,7 +412,7 @@ def _verified(threshold: float):
             hit = hit | hit.T
             n = table.column(7).slice(a, b - a).to_numpy()
             links = hit @ n
-            keys = table.column(4).slice(a, b - a).to_pylist()
+            keys = table.column(8).slice(a, b - a).to_pylist()
             for k, root in _forest(hit, keys):
                 out_keys.append(keys[k])
                 out_links.append(int(links[k]))
