@@ -16,6 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tensorloom.functions.arrays import bind
 from tensorloom.functions.ranking import bucket_of, sample_borders
 from tensorloom.llm.common import components, stored, text_of
 from tensorloom.session import shuffle_width
@@ -30,11 +31,25 @@ ANCHORS = (
 CHAIN = 2  # content words of a signature
 SKIP = 8  # common words passed over before a content word
 
-_STOP = "(?:" + "|".join(sorted(set(ANCHORS), key=lambda w: (-len(w), w))) + ") "
-_NEXT = f"(?:{_STOP}){{0,{SKIP}}}+(?!{_STOP})[^ ]+ "
-_SPOT = f"(?<= )(?=({_STOP}{_NEXT * CHAIN}))"
+
+
+def _any_of(words: list[str]) -> str:
+    """A pattern for exactly these words that shares their beginnings, so a mismatch fails at once."""
+    ends: dict[str, list[str]] = {}
+    for word in words:
+        if word:
+            ends.setdefault(word[0], []).append(word[1:])
+    if not ends:
+        return ""
+    branches = "|".join(first + _any_of(rest) for first, rest in sorted(ends.items()))
+    return f"(?:{branches}){'?' if '' in words else ''}"
+
+
+_STOP = _any_of(sorted(set(ANCHORS))) + " "
+_NEXT = f"(?:{_STOP}){{0,{SKIP}}}+(?!{_STOP})[^ ]++ "
+_SPOT = f" (?=({_STOP}{_NEXT * CHAIN}))"
 FEW = 4  # spots below which every pair of neighbouring words is a signature
-_PAIR = "(?<= )(?=([^ ]+ [^ ]+ ))"
+_PAIR = " (?=([^ ]++ [^ ]++ ))"
 
 
 def signatures(text: Column) -> Column:
@@ -44,14 +59,20 @@ def signatures(text: Column) -> Column:
     of a single word that word; a text without words has none.
     """
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    spots = F.regexp_extract_all(words, F.lit(_SPOT), F.lit(1))
-    # the anchor, then content words only
-    chains = F.transform(spots, lambda s: _number(F.regexp_replace(s, f"(?<= ){_STOP}", "")))
-    pairs = F.transform(F.regexp_extract_all(words, F.lit(_PAIR), F.lit(1)), lambda s: _number(F.concat(F.lit("="), s)))
-    alone = F.when(F.length(F.trim(words)) > 0, F.array(_number(F.concat(F.lit("="), words)))).otherwise(
-        F.expr("cast(array() as array<int>)")
-    )
-    chosen = F.when(F.size(spots) >= FEW, chains).when(F.size(pairs) > 0, pairs).otherwise(alone)
+
+    def sparse(w: Column) -> Column:
+        pairs = F.transform(F.regexp_extract_all(w, F.lit(_PAIR), F.lit(1)), lambda s: _number(F.concat(F.lit("="), s)))
+        none = F.expr("cast(array() as array<int>)")
+        alone = F.when(F.length(F.trim(w)) > 0, F.array(_number(F.concat(F.lit("="), w)))).otherwise(none)
+        return F.when(F.size(pairs) > 0, pairs).otherwise(alone)
+
+    def chains(spots: Column, w: Column) -> Column:
+        # the anchor, then content words only
+        found = F.transform(spots, lambda s: _number(F.regexp_replace(s, f" (?:{_STOP})+", " ")))
+        return F.when(F.size(spots) >= FEW, found).otherwise(sparse(w))
+
+    # bound values: normalising and spotting run once per text
+    chosen = bind(words, lambda w: bind(F.regexp_extract_all(w, F.lit(_SPOT), F.lit(1)), lambda spots: chains(spots, w)))
     return F.array_sort(F.array_distinct(chosen))
 
 
@@ -126,10 +147,13 @@ def _with_next(rows: DataFrame) -> DataFrame:
     is_head = F.col("doc_id").eqNullSafe(F.element_at(first, F.col("_range")))
     own = F.struct(F.col("_range").alias("r"), F.lit(0).alias("ghost"))
     ghost = F.struct(F.element_at(table, F.col("_range")).alias("r"), F.lit(1).alias("ghost"))
-    both = signed.withColumn("_to", F.explode(F.when(is_head, F.array(own, ghost)).otherwise(F.array(own))))
-    within = Window.partitionBy("_to.r").orderBy(F.col("_to.ghost"), F.desc_nulls_last("doc_id"), "text")
-    moved = both.withColumn("next_text", F.lead("text").over(within)).withColumn("next_signs", F.lead("signs").over(within))
-    return moved.where("_to.ghost = 0").select("doc_id", "text", "signs", "next_text", "next_signs")
+    to = F.explode(F.when(is_head, F.array(own, ghost)).otherwise(F.array(own)))
+    both = signed.withColumn("_to", to).select("_to.r", "_to.ghost", "doc_id", "text", "signs")
+    within = Window.partitionBy("r").orderBy("ghost", F.desc_nulls_last("doc_id"), "text")
+    moved = both.withColumn("_next", F.lead(F.struct("text", "signs")).over(within)).where("ghost = 0")
+    return moved.select(
+        "doc_id", "text", "signs", F.col("_next.text").alias("next_text"), F.col("_next.signs").alias("next_signs")
+    )
 
 
 def spot_join(docs: DataFrame, threshold: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
