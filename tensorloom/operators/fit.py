@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.operators.latent import upsample_matrix
@@ -24,6 +24,7 @@ from tensorloom.operators.mappers import (
     affine,
     erf,
     init_weights,
+    noise_key,
     param_shapes,
     row_chunks,
     row_noise,
@@ -66,7 +67,7 @@ def sum_vectors(df: DataFrame, columns: list[str], fold: Callable[[Iterator[pa.R
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"block": [key[0]], "v": [np.sum(np.stack(pdf["v"].to_list()), axis=0)]})
 
-    narrow = df.select(*columns).coalesce(2 * task_slots(df.sparkSession))
+    narrow = _large_enough(df.select(*columns), 8 * size)
     sums = narrow.mapInArrow(partial, "block int, salt int, v array<double>")
     for keys in (["block", "salt"], ["block"]):
         sums = sums.groupBy(*keys).applyInPandas(add, "block int, v array<double>")
@@ -76,6 +77,20 @@ def sum_vectors(df: DataFrame, columns: list[str], fold: Callable[[Iterator[pa.R
     return out[:size]
 
 
+def _large_enough(rows: DataFrame, vector_bytes: int) -> DataFrame:
+    """``rows`` with the scan's own partitions, merged only as far as a task's input outweighs its sum 16 times.
+
+    A usual model is far smaller than a scan split, so nothing is merged; with a very large
+    one, sums of single splits would be as much data as the store itself.
+    """
+    spark = rows.sparkSession
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    merge = 16 * vector_bytes // split
+    if merge < 2:
+        return rows
+    return rows.coalesce(max(rows._jdf.rdd().getNumPartitions() // merge, 2 * task_slots(spark)))
+
+
 def peek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch] | None:
     """None for a task without rows."""
     for first in batches:
@@ -247,14 +262,15 @@ def gradient_step(
                     for c in ("gt_mean", "gt_logvar")
                 )
                 noise = row_noise(
-                    seed * 1_000_003 + step, batch.column("item_id").to_numpy(zero_copy_only=False), (n_tokens, spec.latent)
+                    seed * 1_000_003 + step, batch.column("_noise").to_numpy(zero_copy_only=False), (n_tokens, spec.latent)
                 )
                 grad, mse_sum, kl_sum = loss_and_gradient(spec, p, x, mean, logvar, noise, beta)
                 out[:size] += to_vector(grad)
                 out[size:] += (mse_sum, kl_sum, n)
         return out
 
-    total = sum_vectors(rows, ["item_id", "tokens", "gt_mean", "gt_logvar"], fold, size + 3)
+    keyed = rows.withColumn("_noise", noise_key(rows, "item_id"))
+    total = sum_vectors(keyed, ["_noise", "tokens", "gt_mean", "gt_logvar"], fold, size + 3)
     shared.unpersist()
     n = int(round(total[-1]))
     if n == 0:
@@ -301,6 +317,7 @@ def fit_gradient(
     optimizer: AdamW | None = None,
     start_epoch: int = 0,
     cache: StorageLevel | None = None,
+    batches: Callable[[int], DataFrame] | None = None,
     on_epoch: Callable[[int, Params, AdamW, float], None] | None = None,
 ) -> tuple[Params, list[tuple[int, int, int, float, float, float, float]]]:
     """Synchronous data-parallel AdamW on mse + beta * kl; linear and MLP mappers.
@@ -308,24 +325,30 @@ def fit_gradient(
     Each step is one job over its share of the rows: a global batch. Shares are whole
     shards, dealt anew each epoch by a seeded hash, so a step on a partitioned store
     reads only its own shards (rows without a shard_id are dealt one by one). State
-    between steps is the flat parameter vector, never a growing plan. ``cache`` keeps
+    between steps is the flat parameter vector, never a growing plan. ``batches`` deals rows
+    by position instead: for an epoch it gives (shard_id, offset, batch_id), and a step reads
+    the rows of its batch, found by constant filters. ``cache`` keeps
     the rows between steps; leave it out when the store exceeds the cluster's storage.
     Returns parameters and a log of (epoch, batch, global step, loss, mse, kl, lr).
     """
     params = params or init_weights(spec, seed)
     optimizer = optimizer or AdamW(sum(a.size for a in params.values()))
     deal_by = "shard_id" if "shard_id" in store.columns else "item_id"
-    rows = store.select(*dict.fromkeys([deal_by, "item_id", "tokens", "gt_mean", "gt_logvar"]))
+    places = ["offset"] if batches is not None else []
+    rows = store.select(*dict.fromkeys([deal_by, *places, "item_id", "tokens", "gt_mean", "gt_logvar"]))
     if cache is not None:
         rows = rows.persist(cache)
     log = []
     try:
         for epoch in range(start_epoch, epochs):
             losses, seen = 0.0, 0
+            dealt = batches(epoch) if batches is not None else None
             for batch in range(steps_per_epoch):
                 step = epoch * steps_per_epoch + batch
                 part = rows
-                if steps_per_epoch > 1:
+                if dealt is not None:
+                    part = rows.where(_at_places(dealt.where(F.col("batch_id") == batch)))
+                elif steps_per_epoch > 1:
                     lane = F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), F.col(deal_by)), F.lit(steps_per_epoch))
                     part = rows.where(lane == batch)
                 grad, mse_mean, kl_mean, n = gradient_step(part, spec, params, step, seed, beta)
@@ -344,6 +367,17 @@ def fit_gradient(
     return params, log
 
 
+def _at_places(batch: DataFrame) -> Column:
+    """Constant filter for the (shard_id, offset) pairs of one batch, of which there are ``batch_size``."""
+    places: dict[int, list[int]] = {}
+    for row in batch.select("shard_id", "offset").collect():
+        places.setdefault(row["shard_id"], []).append(row["offset"])
+    found = F.lit(False)
+    for shard, offsets in sorted(places.items()):
+        found = found | ((F.col("shard_id") == shard) & F.col("offset").isin(sorted(offsets)))
+    return F.col("shard_id").isin(sorted(places)) & found
+
+
 STEP_LOG_SCHEMA = "epoch int, batch int, step int, loss double, mse double, kl double, lr double"
 
 

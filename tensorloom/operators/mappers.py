@@ -14,7 +14,8 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tensorloom.operators.latent import upsample_matrix
@@ -241,6 +242,12 @@ def row_noise(seed: int, items: np.ndarray, shape: tuple[int, ...]) -> np.ndarra
     )
 
 
+def noise_key(df: DataFrame, item: str) -> Column:
+    """What keys an item's noise: the id itself when it is a number, else a hash of it."""
+    whole = dict(df.dtypes)[item] in ("bigint", "int", "smallint", "tinyint")
+    return F.col(item).cast("long") if whole else F.xxhash64(item)
+
+
 # ---- scoring --------------------------------------------------------------
 
 
@@ -279,7 +286,8 @@ def score(
     ``keep`` names the columns to carry along (default: all but the tokens).
     """
     keep = [c for c in df.columns if c != tokens] if keep is None else keep
-    inputs = df.select(*keep, *[c for c in dict.fromkeys([tokens, item]) if c not in keep])
+    keyed = df.withColumn("_noise", noise_key(df, item)) if sample else df
+    inputs = keyed.select(*keep, *[c for c in dict.fromkeys([tokens, *(["_noise"] if sample else [])]) if c not in keep])
     out_names = ["pred_z", "pred_mean", "pred_logvar"]
     schema = T.StructType(
         [df.schema[c] for c in keep] + [T.StructField(n, T.ArrayType(T.FloatType())) for n in out_names]
@@ -294,7 +302,7 @@ def score(
                 x = stack(batch.column(tokens), n_tokens * spec.dim).reshape(-1, n_tokens, spec.dim).astype(np.float64)
                 noise = None
                 if sample:
-                    noise = row_noise(seed, batch.column(item).to_numpy(zero_copy_only=False), (n_tokens, spec.latent))
+                    noise = row_noise(seed, batch.column("_noise").to_numpy(zero_copy_only=False), (n_tokens, spec.latent))
                 outs = forward(spec, p, x, noise)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c) for c in keep] + [unstack(o) for o in outs], names=keep + out_names

@@ -109,6 +109,19 @@ def decode_samples(
     return levels.mapInArrow(encode, schema)
 
 
+def encode_pngs(rows: DataFrame, key: str = "vec_id") -> DataFrame:
+    """(key, png) from (key, height, width, data), data as interleaved B, G, R bytes."""
+    schema = T.StructType([rows.schema[key], T.StructField("png", T.BinaryType())])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shapes = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True)
+            pngs = [png_bytes(np.frombuffer(d.as_buffer(), np.uint8).reshape(h, w, 3)[:, :, ::-1]) for h, w, d in shapes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pngs, pa.binary())], names=[key, "png"])
+
+    return rows.select(key, "height", "width", "data").mapInArrow(encode, schema)
+
+
 def error_grid(errors: DataFrame, indices: list[int]) -> DataFrame:
     """One row per epoch, one column per panel index."""
     return errors.groupBy("epoch").pivot("idx", indices).agg(F.first("mse"))

@@ -12,7 +12,6 @@ from tensorloom.functions.ranking import order_rank, running_offsets
 
 SHARD_SIZE = 1000
 FINGERPRINT_HEX = 16  # fixed value: fingerprint length in hex digits
-LISTED_FINGERPRINT_MAX = 5_000_000
 BLOCK = 1 << 12  # rows; a few shards of the usual size
 
 
@@ -30,16 +29,18 @@ def assign_shards(
     )
 
 
-def shard_meta(store: DataFrame, shard_size: int = SHARD_SIZE, path: str = "path") -> DataFrame:
+def shard_meta(store: DataFrame, shard_size: int | None = None, path: str = "path") -> DataFrame:
     """Rows and ordered paths per shard.
 
-    A path list is at most ``shard_size`` long; a row with a larger offset fails
-    the job before anything is collected. Use :func:`shard_sizes` where only the
+    A path list is as long as its shard. With ``shard_size``, a row with a larger offset
+    fails the job before anything is collected. Use :func:`shard_sizes` where only the
     counts matter.
     """
-    checked = F.when(F.col("offset") < shard_size, F.col("offset")).otherwise(
-        F.raise_error(F.lit(f"offset beyond shard_size {shard_size}")).cast("long")
-    )
+    checked = F.col("offset")
+    if shard_size is not None:
+        checked = F.when(checked < shard_size, checked).otherwise(
+            F.raise_error(F.lit(f"offset beyond shard_size {shard_size}")).cast("long")
+        )
     return store.groupBy("shard_id").agg(
         F.count(F.lit(1)).alias("n_images"),
         F.transform(
@@ -54,6 +55,20 @@ def shard_sizes(store: DataFrame) -> DataFrame:
     return store.groupBy("shard_id").agg(F.count(F.lit(1)).alias("n_images"))
 
 
+CONTENT = [f"word_{i}" for i in range(4)]  # sums of the four md5 words of a shard's item ids
+
+
+def shard_contents(rows: DataFrame, item: str = "item_id") -> DataFrame:
+    """Rows per shard and what they are: sums of the md5 words of (offset, item).
+
+    Two shards with equal counts and sums hold the same items in the same places.
+    """
+    d = digest(F.col("offset"), F.col(item))
+    return rows.groupBy("shard_id").agg(
+        F.count(F.lit(1)).alias("n_images"), *[F.sum(word(d, i)).cast("long").alias(c) for i, c in enumerate(CONTENT)]
+    )
+
+
 def shard_bases(meta: DataFrame) -> DataFrame:
     """meta with ``base``, the global index of each shard's first row."""
     return running_offsets(meta, "shard_id", "n_images", out="base")
@@ -110,38 +125,19 @@ def locate(meta: DataFrame, indices: DataFrame, block: int = BLOCK) -> DataFrame
     )
 
 
-def dataset_fingerprint(
-    items: DataFrame, mode: str = "multiset", file_name: str = "file_name", parent: str = "parent"
-) -> DataFrame:
+def dataset_fingerprint(items: DataFrame, file_name: str = "file_name", parent: str = "parent") -> DataFrame:
     """One-row identity of a corpus, independent of row order.
 
-    ``multiset`` (default): row count and sums of the four md5 words of each entry;
-    merges like any sum, so it works at any size. ``listed``: sha256 over the sorted,
-    newline-joined entries, the interchange value of small corpora. That digest is
-    sequential by definition, so larger corpora are refused rather than cut.
+    Row count and sums of the four md5 words of each entry; merges like any sum, so it
+    works at any size.
     """
-    if mode == "multiset":
-        d = digest(F.col(parent), F.col(file_name))
-        return items.agg(
-            F.count(F.lit(1)).alias("n_items"),
-            *[F.coalesce(F.sum(word(d, i)), F.lit(0)).cast("long").alias(f"word_{i}") for i in range(4)],
-        ).withColumn(
-            "fingerprint",
-            F.substring(
-                F.sha2(F.concat_ws(":", "n_items", "word_0", "word_1", "word_2", "word_3"), 256), 1, FINGERPRINT_HEX
-            ),
-        )
-    if mode != "listed":
-        raise ValueError(f"unknown fingerprint mode {mode!r}")
-    n = items.count()
-    if n > LISTED_FINGERPRINT_MAX:
-        raise ValueError(f"{n} items: 'listed' is limited to {LISTED_FINGERPRINT_MAX}; use mode='multiset'")
-    entries = items.select(F.concat(file_name, parent).alias("entry"))
-    return entries.agg(
+    d = digest(F.col(parent), F.col(file_name))
+    return items.agg(
         F.count(F.lit(1)).alias("n_items"),
-        F.substring(F.sha2(F.coalesce(F.expr("listagg(entry, '\n') within group (order by entry)"), F.lit("")), 256), 1, FINGERPRINT_HEX).alias(
-            "fingerprint"
-        ),
+        *[F.coalesce(F.sum(word(d, i)), F.lit(0)).cast("long").alias(f"word_{i}") for i in range(4)],
+    ).withColumn(
+        "fingerprint",
+        F.substring(F.sha2(F.concat_ws(":", "n_items", "word_0", "word_1", "word_2", "word_3"), 256), 1, FINGERPRINT_HEX),
     )
 
 
@@ -153,10 +149,15 @@ def model_diff(recorded: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def resume_plan(planned: DataFrame, committed: DataFrame) -> DataFrame:
-    """Planned shards without a committed copy of the same row count."""
-    left = planned.select("shard_id", "n_images")
-    right = committed.select("shard_id", "n_images")
-    return left.join(right, ["shard_id", "n_images"], "left_anti")
+    """Planned shards without a committed copy of the same content.
+
+    Content is the row count and, where both sides have them (:func:`shard_contents`),
+    the item sums: a shard of the right length that holds other items is planned again.
+    """
+    told = [c for c in CONTENT if c in planned.columns and c in committed.columns]
+    left = planned.select("shard_id", "n_images", *told)
+    right = committed.select("shard_id", "n_images", *told)
+    return left.join(right, ["shard_id", "n_images", *told], "left_anti").select("shard_id", "n_images")
 
 
 def estimate_store(
@@ -186,12 +187,23 @@ def default_logvar(df: DataFrame, logvar: str = "gt_logvar", mean: str = "gt_mea
 
 
 def store_info(store: DataFrame) -> DataFrame:
-    """One row: samples, shards, shard size range, tensor lengths."""
+    """One row: samples, shards, shard size range, tensor lengths.
+
+    Takes any store: tensors as float arrays or packed, log-variances or none.
+    """
+    kinds = dict(store.dtypes)
+
+    def values(name: str) -> Column:
+        if name not in kinds:
+            return F.lit(None).cast("int")
+        packed = (F.octet_length(name) / F.lit(2)).cast("int")  # two bytes a value
+        return packed if kinds[name] == "binary" else F.when(F.col(name).isNotNull(), F.size(name))
+
     per_shard = store.groupBy("shard_id").agg(
         F.count(F.lit(1)).alias("n"),
-        F.max(F.size("tokens")).alias("token_values"),
-        F.max(F.size("gt_mean")).alias("latent_values"),
-        F.count("gt_logvar").alias("n_logvar"),
+        F.max(values("tokens")).alias("token_values"),
+        F.max(values("gt_mean")).alias("latent_values"),
+        (F.count("gt_logvar") if "gt_logvar" in kinds else F.lit(0).cast("long")).alias("n_logvar"),
     )
     return per_shard.agg(
         F.sum("n").alias("total_samples"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.functions.arrays import bind
 from tensorloom.functions.ranking import order_rank
+from tensorloom.operators import panel
 from tensorloom.plans.catalog import h32, query, table, unnest_sql, written
 from tensorloom.session import scratch_path
 from tensorloom.sources import images, inventory
@@ -60,6 +61,43 @@ def a1_scan_items(spark: SparkSession, sf: str) -> DataFrame:
     return items.groupBy("parent").agg(F.sum("length").alias("n_bytes"))
 
 
+NAMED_SQL = """CASE doc_id % 5 WHEN 0 THEN 'tree/' WHEN 1 THEN '_kept/' WHEN 2 THEN '.dot/' WHEN 3 THEN 'plain/tree/'
+  ELSE 'plain/' END || CASE doc_id % 3 WHEN 0 THEN '_' WHEN 1 THEN '.' ELSE '' END || 'doc_' || doc_id || '.txt'"""
+
+
+def named_tree(spark: SparkSession, sf: str) -> str:
+    """The documents as files below a folder ``tree``: one inside bears its name, and many names start with ``_`` or ``.``."""
+    folder = F.element_at(F.array(*map(F.lit, ("tree/", "_kept/", ".dot/", "plain/tree/", "plain/"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    mark = F.element_at(F.array(*map(F.lit, ("_", ".", ""))), (F.col("doc_id") % 3 + 1).cast("int"))
+    below = F.concat(folder, mark, F.format_string("doc_%d.txt", "doc_id"))
+
+    def write(path: str) -> None:
+        files = table(spark, sf, "documents").select(below.alias("below"), F.encode("text", "utf-8").alias("content"))
+        inventory.write_files(files, f"{path}/tree")
+
+    return written(spark, sf, "named", write) + "/tree"
+
+
+@query(
+    "a1_scan_names",
+    f"""WITH f AS (SELECT {NAMED_SQL} AS below, strlen(text)::BIGINT AS n FROM documents)
+SELECT 'all' AS pattern, regexp_extract(below, '([^/]+)/[^/]+$', 1) AS parent, count(*)::BIGINT AS n_files, sum(n)::BIGINT AS n_bytes
+FROM f GROUP BY 2
+UNION ALL SELECT 'tree', 'tree', count(*)::BIGINT, sum(n)::BIGINT FROM f WHERE regexp_matches(below, '(^|/)tree/[^/]+$')
+UNION ALL SELECT 'hidden', regexp_extract(below, '([^/]+)/[^/]+$', 1), count(*)::BIGINT, sum(n)::BIGINT FROM f
+  WHERE regexp_matches(below, '/_[^/]+$') GROUP BY 2""",
+)
+def a1_scan_names(spark: SparkSession, sf: str) -> DataFrame:
+    """No file is lost for its name, and a pattern sees only what is below the root."""
+    root = named_tree(spark, sf)
+    out = None
+    for name, pattern in (("all", "**/*.txt"), ("tree", "tree/*.txt"), ("hidden", "**/_*.txt")):
+        rows = inventory.scan_items(spark, root, pattern).groupBy("parent")
+        rows = rows.agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes")).withColumn("pattern", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(
     "a2_inventory_signature",
     """SELECT page_id, substr(sha256(concat_ws(':::', url, '**/*.jpg')), 1, 16) AS sig FROM pages""",
@@ -86,8 +124,10 @@ SELECT vec_id, sum(r)::BIGINT AS sum_r, sum(255 - r)::BIGINT AS sum_g, sum(r)::B
 FROM lv GROUP BY vec_id""",
 )
 def a3_load_images(spark: SparkSession, sf: str) -> DataFrame:
-    pixels = images.load_images(image_rows(spark, sf))
+    return plane_sums(images.load_images(image_rows(spark, sf)))
 
+
+def plane_sums(pixels: DataFrame) -> DataFrame:
     def level(v: Column) -> Column:
         return F.round(v.cast("double") * 255.0).cast("long")
 
@@ -132,6 +172,35 @@ def a4_resize_center_crop(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "a3_read_files",
+    """WITH lv AS (SELECT vec_id, unnest(range(len(embedding))) AS i,
+  floor((unnest(embedding)::DOUBLE + 1.0) * 127.5)::BIGINT AS r FROM embeddings)
+SELECT vec_id, sum(r)::BIGINT AS sum_r, sum(255 - r)::BIGINT AS sum_g, sum(r)::BIGINT AS sum_b,
+  max(CASE WHEN i = 0 THEN r END)::BIGINT AS first_r, max(CASE WHEN i = 63 THEN r END)::BIGINT AS first_b,
+  NULL::VARCHAR AS reason FROM lv WHERE vec_id % 10 <> 3 GROUP BY vec_id
+UNION ALL SELECT vec_id, NULL, NULL, NULL, NULL, NULL, CASE WHEN vec_id % 20 = 3 THEN 'undecodable' ELSE 'not_read' END
+FROM embeddings WHERE vec_id % 10 = 3""",
+)
+def a3_read_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Pictures written as PNG files and decoded from them; broken and hidden files are told, not lost."""
+    broken, hidden = F.col("vec_id") % 20 == 3, F.col("vec_id") % 20 == 13
+
+    def write(path: str) -> None:
+        rows = image_rows(spark, sf)
+        png = panel.encode_pngs(rows.select("vec_id", "image.height", "image.width", "image.data"))
+        name = F.concat(F.when(hidden, "_").otherwise(""), F.format_string("%d.png", "vec_id"))
+        content = F.when(broken, F.encode(F.lit("no image"), "utf-8")).otherwise(F.col("png"))
+        inventory.write_files(png.select(name.alias("below"), content.alias("content")), path)
+
+    root = written(spark, sf, "pictures", write)
+    key = lambda path: F.regexp_extract(path, r"_?(\d+)\.png$", 1).cast("long").alias("vec_id")
+    items = inventory.scan_items(spark, root, "**/*.png").select(key("path"), "path")
+    pictures = images.read_images(spark, root).select(key("image.origin"), "image")
+    refused = images.rejected_images(items, pictures, "vec_id").select("vec_id", "reason")
+    return plane_sums(images.load_images(pictures.where("image.height > 0"))).unionByName(refused, allowMissingColumns=True)
+
+
 COIN_SQL = "({h} + 0.5::DOUBLE) / 4294967296.0::DOUBLE < 0.5"
 
 

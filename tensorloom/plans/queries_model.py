@@ -189,27 +189,6 @@ def e5_score_transformer_resnet(spark: SparkSession, sf: str) -> DataFrame:
     return score_summary(spark, sf, "transformer_resnet")
 
 
-@query(
-    "e6_param_count",
-    """WITH g AS (SELECT max(len(embedding))::BIGINT AS d, count(*)::BIGINT AS n FROM embeddings)
-SELECT 'linear' AS mapper, n AS n_rows, 2 * (d * 16 + 16) AS n_params FROM g UNION ALL
-SELECT 'mlp', n, d * 256 + 256 + 3 * (256 * 256 + 256) + 4 * 512 + 2 * (256 * 16 + 16) FROM g UNION ALL
-SELECT 'transformer', n, 4 * d + (3 * d * d + 3 * d) + (d * d + d) + (4 * d * d + 4 * d) + (4 * d * d + d) + 4 * d
-  + 2 * (d * 16 + 16) FROM g""",
-)
-def e6_param_count(spark: SparkSession, sf: str) -> DataFrame:
-    """Sizes of mappers made for the token width found in the data, counted in
-    their parameter tables."""
-    found = table(spark, sf, "embeddings").agg(F.max(F.size("embedding")).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    tables = [
-        weights_table(spark, init_weights(create_mapper(name, dim=found["d"])), name, 0)
-        for name in ("linear", "mlp", "transformer")
-    ]
-    every = tables[0].unionByName(tables[1]).unionByName(tables[2])
-    counts = every.groupBy(F.col("run_id").alias("mapper")).agg(F.sum(F.size("values")).alias("n_params"))
-    return counts.withColumn("n_rows", F.lit(found["n"]).cast("long"))
-
-
 # ---- loss -----------------------------------------------------------------
 
 

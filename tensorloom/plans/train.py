@@ -13,6 +13,7 @@ from tensorloom.operators.mappers import MapperSpec, Params, init_weights, score
 from tensorloom.operators.panel import sample_panel, write_panel
 from tensorloom.operators.registry import RunConfig, checkpoint_load, checkpoint_save, run_config
 from tensorloom.operators.split import assign_batches, first_n, ordered_split, shard_shuffle, tail_holdout
+from tensorloom.session import stored
 from tensorloom.sources.store import read_keys, read_store
 
 
@@ -42,25 +43,30 @@ def run_training(
     run_id: str,
     out: str,
     *,
-    steps_per_epoch: int = 1,
+    steps_per_epoch: int | None = None,
     resume: bool = False,
     closed_form: bool = False,
 ) -> RunResult:
     """Fit a mapper on a store; writes config, steps, checkpoints and panels below ``out``.
 
+    An epoch visits every training row in batches of ``config.batch_size``, in the
+    shard-aware order of that epoch. ``steps_per_epoch`` replaces that by as many global
+    batches, each all rows of its share of the shards. Writing the same run again replaces
+    what it wrote before.
     ``closed_form`` starts a linear mapper from its least-squares solution.
     """
     if config.debug:
         config = config.for_debug()
-    run_config(spark, run_id, config).write.mode("append").parquet(f"{out}/configs")
+    _replace(run_config(spark, run_id, config), f"{out}/configs", "run_id")
 
     rows = read_store(spark, store)
     keys = read_keys(spark, store)
     if config.subset_size is not None:
         rows, keys = first_n(rows, config.subset_size), first_n(keys, config.subset_size)
     validation = None
+    n = keys.count()
     if not config.no_val:
-        n = keys.count()
+        keys = tail_holdout(keys, config.val_ratio, n).where(F.col("split").isin("train", "all")).drop("split")
         marked = tail_holdout(rows, config.val_ratio, n)
         validation = marked.where(F.col("split").isin("val", "all")).drop("split")
         rows = marked.where(F.col("split").isin("train", "all")).drop("split")
@@ -83,11 +89,21 @@ def run_training(
 
     if not resume:
         panel(0, params)
+    batches = None
+    if steps_per_epoch is None:
+        n_train = keys.count() if not config.no_val else n
+        steps_per_epoch = max(1, -(-n_train // config.batch_size))
+
+        def batches(epoch: int) -> DataFrame:
+            dealt = epoch_batches(keys, config.batch_size, config.seed, epoch, train_ratio=1.0, drop_last=False)
+            return stored(dealt.select("shard_id", "offset", "batch_id"), "epoch-batches")
+
     params, log = fit_gradient(
         rows,
         spec,
         epochs=config.epochs,
         steps_per_epoch=steps_per_epoch,
+        batches=batches,
         lr=config.lr,
         warmup_steps=config.warmup_steps,
         beta=config.beta,
@@ -98,6 +114,12 @@ def run_training(
         on_epoch=after,
     )
     steps = spark.createDataFrame(log, STEP_LOG_SCHEMA).withColumn("run_id", F.lit(run_id))
-    steps.write.mode("append").partitionBy("run_id").parquet(f"{out}/steps")
+    _replace(steps, f"{out}/steps", "run_id", "epoch")
     held_out = evaluate(score_losses(validation, spec, params, keep=[]), config.beta) if validation is not None else None
     return RunResult(params, steps, held_out)
+
+
+def _replace(rows: DataFrame, path: str, *by: str) -> None:
+    """Write ``rows``, replacing the partitions they belong to and no others."""
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*by).parquet(path)

@@ -20,7 +20,7 @@ def build_session(app_name: str = "tensorloom", master: str | None = None, **con
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # full-size tensor rows are ~2 MB; keep one Arrow batch near 64 MB
+        # rows of a few KB: one Arrow batch stays near 10 MB; lower it to some tens for full-size tensor rows
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
         "spark.sql.parquet.compression.codec": "zstd",
         **conf,
@@ -36,12 +36,15 @@ def build_session(app_name: str = "tensorloom", master: str | None = None, **con
 def scratch_root(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from the session.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only when the session has
-    neither that setting nor a checkpoint dir (local tests) do we make our own
-    and register it, so later calls share it.
+    The cluster names it in ``spark.checkpoint.dir``. Only in local mode, where driver
+    and executors are one process, do we make our own and register it, so later calls
+    share it; elsewhere a session without the setting is an error, because executors
+    would write to their own disks.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tensorloom-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
@@ -53,6 +56,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written below :func:`scratch_root` and read back, so its lineage ends there."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """How many shuffle partitions this session plans for."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)

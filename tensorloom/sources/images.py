@@ -8,6 +8,7 @@ everything that is plain arithmetic or a decision is a Catalyst expression.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +27,29 @@ PIXEL_FIELDS = [
 
 
 def read_images(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """JPEG/PNG files through the JVM decoder; undecodable files are dropped."""
+    """JPEG/PNG files through the JVM decoder; an undecodable file keeps its row, with height -1.
+
+    The image source passes over names that start with ``_`` or ``.``:
+    :func:`rejected_images` finds both kinds.
+    """
     return (
-        spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(paths)
+        spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(paths)
     )
 
 
+def rejected_images(items: DataFrame, pictures: DataFrame, key: str = "item_id", image: str = "image") -> DataFrame:
+    """(key, path, reason) of items without pixels: ``undecodable`` or ``not_read``."""
+    seen = pictures.select(key, (F.col(f"{image}.height") > 0).alias("_readable"))
+    joined = items.select(key, "path").join(seen, key, "left")
+    reason = F.when(F.col("_readable").isNull(), "not_read").when(~F.col("_readable"), "undecodable")
+    return joined.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(key, "path", "reason")
+
+
 def load_images(df: DataFrame, image: str = "image") -> DataFrame:
-    """Decode an image-source struct (BGR bytes) into RGB floats in [0, 1]."""
+    """Decode an image-source struct (BGR bytes) into RGB floats in [0, 1].
+
+    Rows without a decoded image get null height, width and pixels.
+    """
     keep = [c for c in df.columns if c != image]
     flat = df.select(
         *keep,
@@ -44,28 +60,25 @@ def load_images(df: DataFrame, image: str = "image") -> DataFrame:
         F.col(f"{image}.data").alias("_data"),
     )
 
-    def decode(row: dict) -> tuple[int, int, np.ndarray]:
-        raw = np.frombuffer(row["_data"], dtype=np.uint8).reshape(row["height"], row["width"], row["_channels"])
+    def decode(block: np.ndarray, _: dict) -> np.ndarray:
         # grey -> three equal planes; BGR(A) -> RGB
-        rgb = np.repeat(raw, 3, axis=2) if row["_channels"] == 1 else raw[:, :, 2::-1]
-        planes = rgb.astype(np.float32) / np.float32(255.0)
-        return row["height"], row["width"], planes.transpose(2, 0, 1)
+        rgb = np.repeat(block, 3, axis=3) if block.shape[3] == 1 else block[..., 2::-1]
+        return (rgb.astype(np.float32) / np.float32(255.0)).transpose(0, 3, 1, 2)
 
-    return _map_pixels(flat, decode, drop=["_channels", "_data"])
+    return _map_blocks(flat, decode, drop=["_channels", "_data"])
 
 
 def resize_center_crop(df: DataFrame, size: int) -> DataFrame:
     """Shorter side -> ``size`` (antialiased triangle filter), then centre crop."""
 
-    def resample(row: dict) -> tuple[int, int, np.ndarray]:
-        h, w = row["height"], row["width"]
-        img = np.asarray(row["pixels"], dtype=np.float64).reshape(-1, h, w)
+    def resample(block: np.ndarray, _: dict) -> np.ndarray:
+        h, w = block.shape[2:]
         new_h, new_w = scaled_size(h, w, size)
-        img = triangle_weights(h, new_h) @ img @ triangle_weights(w, new_w).T
+        img = triangle_weights(h, new_h) @ block.astype(np.float64) @ triangle_weights(w, new_w).T
         top, left = round((new_h - size) / 2), round((new_w - size) / 2)
-        return size, size, img[:, top : top + size, left : left + size].astype(np.float32)
+        return img[:, :, top : top + size, left : left + size].astype(np.float32)
 
-    return _map_pixels(df, resample)
+    return _map_blocks(df, resample)
 
 
 def scaled_size(height: int, width: int, size: int) -> tuple[int, int]:
@@ -75,6 +88,7 @@ def scaled_size(height: int, width: int, size: int) -> tuple[int, int]:
     return int(size * height / width), size
 
 
+@lru_cache(maxsize=256)
 def triangle_weights(n_in: int, n_out: int) -> np.ndarray:
     """Row-stochastic [n_out, n_in] resampling matrix.
 
@@ -105,13 +119,14 @@ def random_flip(
     if train is not None:
         marked = marked.withColumns({c: F.col(c) & train for c in ("flip_h", "flip_v")})
 
-    def flip(row: dict) -> tuple[int, int, np.ndarray]:
-        img = np.asarray(row["pixels"], dtype=np.float32).reshape(-1, row["height"], row["width"])
-        img = img[:, :, ::-1] if row["flip_h"] else img
-        img = img[:, ::-1, :] if row["flip_v"] else img
-        return row["height"], row["width"], img
+    def flip(block: np.ndarray, flags: dict) -> np.ndarray:
+        out = block.copy()
+        for name, axis in (("flip_h", 3), ("flip_v", 2)):
+            rows = np.flatnonzero(flags[name])
+            out[rows] = np.flip(out[rows], axis)
+        return out
 
-    return _map_pixels(marked, flip)
+    return _map_blocks(marked, flip, flags=("flip_h", "flip_v"))
 
 
 def normalize_channels(pixels: Column, mean: list[float], std: list[float]) -> Column:
@@ -145,33 +160,50 @@ def get_batch(items: DataFrame, index_col: str, indices: list[int] | DataFrame)
     return wanted.join(items, wanted["idx"] == items[index_col]).drop("idx")
 
 
-def _map_pixels(df: DataFrame, fn, drop: tuple | list = ()) -> DataFrame:
-    """Replace (height, width, pixels) row by row inside Arrow batches."""
+def _map_blocks(df: DataFrame, fn, flags: tuple = (), drop: tuple | list = ()) -> DataFrame:
+    """Replace (height, width, pixels) block by block inside Arrow batches.
+
+    Rows of one size form a block [B, C, H, W] (decoding: bytes [B, H, W, C]); ``fn`` gets it
+    with the ``flags`` columns of its rows. Rows without pixels stay without.
+    """
     keep = [f for f in df.schema.fields if f.name not in {"height", "width", "pixels", *drop}]
     schema = T.StructType(keep + PIXEL_FIELDS)
     names = [f.name for f in keep]
-    inputs = [c for c in df.columns if c not in names]
+    raw = "_data" in df.columns
+
+    def blocks(batch: pa.RecordBatch, shape: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for size in np.unique(shape[shape[:, 0] > 0], axis=0):
+            rows = np.flatnonzero((shape == size).all(axis=1))
+            h, w = size[:2]
+            if raw:
+                data = batch.column("_data")
+                flat = b"".join(data[int(k)].as_buffer() for k in rows)
+                yield rows, np.frombuffer(flat, np.uint8).reshape(len(rows), h, w, size[2])
+            else:
+                taken = batch.column("pixels").take(pa.array(rows)).flatten()
+                yield rows, taken.to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(len(rows), -1, h, w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = {c: batch.column(c) for c in inputs if c != "pixels"}
-            pixels = batch.column("pixels") if "pixels" in inputs else None
-            extra = {c: batch.column(c) for c in ("flip_h", "flip_v") if c in names}
-            heights, widths, planes = [], [], []
-            for i in range(batch.num_rows):
-                row = {c: a[i].as_py() for c, a in {**lists, **extra}.items()}
-                if pixels is not None:
-                    row["pixels"] = pixels[i].values.to_numpy(zero_copy_only=False)
-                h, w, img = fn(row)
-                heights.append(h)
-                widths.append(w)
-                planes.append(np.ascontiguousarray(img, dtype=np.float32).ravel())
-            ends = np.cumsum([0] + [len(p) for p in planes]).astype(np.int32)
-            flat = np.concatenate(planes) if planes else np.empty(0, np.float32)
+            columns = ["height", "width"] + (["_channels"] if raw else [])
+            shape = np.stack([batch.column(c).fill_null(-1).to_numpy(zero_copy_only=False) for c in columns], axis=1)
+            if not raw:
+                shape[batch.column("pixels").is_null().to_numpy(zero_copy_only=False)] = -1
+            marks = {c: batch.column(c).fill_null(False).to_numpy(zero_copy_only=False) for c in flags}
+            height, width = np.full(batch.num_rows, -1, np.int32), np.full(batch.num_rows, -1, np.int32)
+            parts: list[np.ndarray] = [np.empty(0, np.float32)] * batch.num_rows
+            for rows, block in blocks(batch, shape):
+                out = fn(block, {c: v[rows] for c, v in marks.items()})
+                height[rows], width[rows] = out.shape[2:]
+                for k, flat in zip(rows, np.ascontiguousarray(out, np.float32).reshape(len(rows), -1), strict=True):
+                    parts[k] = flat
+            none = pa.array(height < 0)
+            ends = np.cumsum([0] + [len(p) for p in parts]).astype(np.int32)
+            flat = np.concatenate(parts) if parts else np.empty(0, np.float32)
             arrays = [batch.column(n) for n in names] + [
-                pa.array(heights, pa.int32()),
-                pa.array(widths, pa.int32()),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                pa.array(height, pa.int32(), mask=height < 0),
+                pa.array(width, pa.int32(), mask=height < 0),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=none),
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=names + ["height", "width", "pixels"])
 

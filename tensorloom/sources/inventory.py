@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import fnmatch
 import re
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorloom.session import stored
+
 SIGNATURE_HEX = 16  # fixed value: signature length in hex digits
 SIGNATURE_JOIN = ":::"  # fixed value: separator between root and pattern
 
@@ -27,15 +33,103 @@ def with_path_parts(df: DataFrame, path: str = "path") -> DataFrame:
 def scan_items(spark: SparkSession, root: str, patterns: str | list[str] = "**/*.jpg") -> DataFrame:
     """Recursive listing of ``root``; several glob patterns are concatenated.
 
-    Only path, length and mtime are read (the content column is pruned), so no
-    file is opened. The file-name part of a pattern is pushed into the listing;
-    a directory part becomes a path filter.
+    Patterns see the path below the root, so a folder named like the root is no match by
+    itself. Names that start with ``_`` or ``.`` are files like any other. Rows hold path,
+    length and mtime; no file is opened.
     """
-    listings = [_scan_one(spark, root, p) for p in ([patterns] if isinstance(patterns, str) else patterns)]
+    files = list_files(spark, root)
+    listings = [
+        files.where(F.concat(F.lit("/"), F.col("below")).rlike(glob_to_regex(p)))
+        for p in ([patterns] if isinstance(patterns, str) else patterns)
+    ]
     out = listings[0]
     for more in listings[1:]:
         out = out.unionByName(more)
-    return out
+    return with_path_parts(out.drop("below"))
+
+
+LISTED = "below string, length long, mtime timestamp, folder boolean"
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, below, length, mtime) of every file under ``root``; ``below`` is the path from the root.
+
+    Spark's own file index leaves out names that start with ``_`` or ``.`` and keeps the
+    whole tree on the driver. Here tasks list directories, one level of the tree per
+    round; each level is written to the shared folder, and the driver only asks whether
+    there is a next one.
+    """
+    base = qualified(spark, root)
+    levels, now = [], stored(_listed(spark.createDataFrame([("",)], "below string"), base), "listing")
+    while True:
+        levels.append(now)
+        folders = now.where("folder").select("below")
+        if folders.isEmpty():
+            break
+        now = stored(_listed(folders.repartition("below"), base), "listing")
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.union(level)
+    path = F.concat(F.lit(base.rstrip("/") + "/"), F.col("below"))
+    return out.where("not folder").select(path.alias("path"), "below", "length", "mtime")
+
+
+def _listed(folders: DataFrame, base: str) -> DataFrame:
+    """Entries of each folder, itself given as a path below ``base``."""
+
+    def ls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = open_root(base)
+        for batch in batches:
+            for below in batch.column(0).to_pylist():
+                found = system.get_file_info(fs.FileSelector(f"{top}/{below}" if below else top))
+                names = [f"{below}/{i.base_name}" if below else i.base_name for i in found]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(names, pa.string()),
+                        pa.array([i.size for i in found], pa.int64()),
+                        pa.array([i.mtime for i in found], pa.timestamp("us", "UTC")),
+                        pa.array([i.type == fs.FileType.Directory for i in found], pa.bool_()),
+                    ],
+                    ["below", "length", "mtime", "folder"],
+                )
+
+    return folders.mapInArrow(ls, LISTED)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Spark's readers show it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
+
+
+def open_root(base: str) -> tuple[fs.FileSystem, str]:
+    """File system and plain path of a qualified folder, usable inside tasks."""
+    if base.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + base.removeprefix("file:").strip("/")
+    system, top = fs.FileSystem.from_uri(base)
+    return system, top.rstrip("/")
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Write ``content`` (binary) to ``below`` (a path under ``root``) in tasks; returns the number of files.
+
+    A file appears under its name when complete, so a repeated task leaves the same tree.
+    """
+    base = qualified(files.sparkSession, root)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = open_root(base)
+        for batch in batches:
+            for below, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                folder, _, name = f"{top}/{below}".rpartition("/")
+                system.create_dir(folder, recursive=True)
+                own = f"{folder}/.{name}-{uuid.uuid4().hex}"
+                with system.open_output_stream(own, compression=None) as out:
+                    out.write(content.as_buffer())
+                system.move(own, f"{folder}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    return files.select("below", "content").mapInArrow(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def glob_to_regex(pattern: str) -> str:
@@ -80,19 +174,6 @@ def inventory_snapshot(
     return spark.read.parquet(store).where(F.col("sig") == sig)
 
 
-def _scan_one(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    name_glob = pattern.rsplit("/", 1)[-1]
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if name_glob != "**":
-        reader = reader.option("pathGlobFilter", name_glob)
-    listed = reader.load(root).select(
-        "path", F.col("length").cast("long").alias("length"), F.col("modificationTime").alias("mtime")
-    )
-    if "/" in pattern.removeprefix("**/"):
-        listed = listed.where(F.col("path").rlike(glob_to_regex(pattern)))
-    return with_path_parts(listed)
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on whatever file system it names."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,16 +1,15 @@
-"""Incremental ingestion and live logs as Structured Streaming jobs.
-
-Both are stateless: the checkpoint remembers which files were seen, nothing else.
-"""
+"""Incremental ingestion, and live logs as Structured Streaming jobs."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tensorloom.operators.telemetry import RUN_IN_PATH, parse_steps, with_run
-from tensorloom.sources.inventory import with_path_parts
+from tensorloom.sources.inventory import path_exists, scan_items, with_path_parts
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -18,7 +17,11 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length long, content bin
 def new_items(
     spark: SparkSession, root: str, name_glob: str = "*", max_files_per_trigger: int = 100_000
 ) -> DataFrame:
-    """Stream of items under ``root``; each file appears once, content is not read."""
+    """Stream of items under ``root``; each file appears once, content is not read.
+
+    Spark's file stream passes over names that start with ``_`` or ``.``; use
+    :func:`incremental_ingest` where those count.
+    """
     return with_path_parts(
         spark.readStream.format("binaryFile")
         .schema(FILE_SCHEMA)
@@ -31,17 +34,18 @@ def new_items(
 
 
 def incremental_ingest(spark: SparkSession, root: str, sink: str, checkpoint: str, name_glob: str = "*") -> None:
-    """Append the files that arrived since the last call to the Parquet sink."""
-    query = (
-        new_items(spark, root, name_glob)
-        .writeStream.format("parquet")
-        .option("path", sink)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    """Append the files that arrived since the last call to the Parquet sink.
+
+    The sink is its own record of what was seen: a file is new when its path is not in
+    it, so a call that fails appends nothing twice. The listing of a call is kept under
+    ``checkpoint``. Names that start with ``_`` or ``.`` count (see ``list_files``).
+    """
+    run = f"{checkpoint.rstrip('/')}/listing-{uuid.uuid4().hex}"
+    scan_items(spark, root, name_glob).write.parquet(run)
+    listed = spark.read.parquet(run)
+    if path_exists(spark, sink):
+        listed = listed.join(spark.read.parquet(sink).select("path"), "path", "left_anti")
+    listed.write.mode("append").parquet(sink)
 
 
 def tail_steps(

@@ -44,9 +44,21 @@ def test_scan_several_patterns_and_parts(spark, tree):
     assert (row["ext"], row["length"]) == ("jpg", 24)
 
 
-def test_scan_reads_no_content(spark, tree):
-    plan = inventory.scan_items(spark, str(tree), "**/*.jpg")._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in plan
+def test_scan_sees_below_the_root_and_every_name(spark, tmp_path):
+    root = tmp_path / "train"
+    names = ["a.jpg", "train/b.jpg", "x/_c.jpg", "x/.g.jpg", "_hid/e.jpg", "x/deep/train/f.jpg"]
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"1")
+
+    def below(pattern):
+        return sorted(r["path"].split("/train/", 1)[1] for r in inventory.scan_items(spark, str(root), pattern).collect())
+
+    assert below("**/*.jpg") == sorted(names)
+    assert below("train/*.jpg") == ["train/b.jpg", "x/deep/train/f.jpg"]
+    assert below("_hid/*") == ["_hid/e.jpg"]
+    (tmp_path / "empty").mkdir()
+    assert inventory.scan_items(spark, str(tmp_path / "empty"), "*").count() == 0
 
 
 def test_snapshot_reuses_and_refreshes(spark, tree, tmp_path):
@@ -67,12 +79,12 @@ def test_incremental_ingest_takes_only_new_files(spark, tmp_path):
     args = (str(root), str(tmp_path / "sink"), str(tmp_path / "ckpt"), "*.jpg")
     (root / "d" / "a.jpg").write_bytes(b"1")
     incremental_ingest(spark, *args)
-    (root / "d" / "b.jpg").write_bytes(b"22")
+    (root / "d" / "_b.jpg").write_bytes(b"22")
     (root / "d" / "c.txt").write_bytes(b"3")
     incremental_ingest(spark, *args)
     incremental_ingest(spark, *args)
-    rows = spark.read.parquet(args[1]).orderBy("path").collect()
-    assert [(r["file_name"], r["parent"], r["length"]) for r in rows] == [("a.jpg", "d", 1), ("b.jpg", "d", 2)]
+    rows = spark.read.parquet(args[1]).orderBy("length").collect()
+    assert [(r["file_name"], r["parent"], r["length"]) for r in rows] == [("a.jpg", "d", 1), ("_b.jpg", "d", 2)]
 
 
 @pytest.fixture(scope="module")
@@ -90,8 +102,11 @@ def named(df):
 def test_load_png(spark, pictures):
     root, arrays = pictures
     rows = named(images.load_images(images.read_images(spark, str(root)))).collect()
-    assert len(rows) == len(arrays)  # junk dropped
+    assert len(rows) == len(arrays) + 1
+    assert [r["name"] for r in rows if r["pixels"] is None and r["height"] is None] == ["junk.png"]
     for r in rows:
+        if r["name"] == "junk.png":
+            continue
         want = arrays[r["name"]].transpose(2, 0, 1) / np.float32(255)
         assert (r["height"], r["width"]) == want.shape[1:]
         assert np.array_equal(np.array(r["pixels"], np.float32).reshape(want.shape), want.astype(np.float32))
@@ -122,7 +137,7 @@ def test_grey_and_alpha(spark):
 def test_resize_center_crop(spark, pictures):
     root, arrays = pictures
     df = images.resize_center_crop(images.load_images(images.read_images(spark, str(root))), 8)
-    for r in named(df).collect():
+    for r in named(df).where("pixels is not null").collect():
         h, w = arrays[r["name"]].shape[:2]
         got = np.array(r["pixels"]).reshape(3, 8, 8)
         new_h, new_w = images.scaled_size(h, w, 8)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tensorloom.functions.ranking import hash_rank, order_rank
-from tensorloom.operators import locality, shards, split
+from tensorloom.operators import shards, split
 from tensorloom.sources import store as fs
 from tests_support import make_store
 
@@ -56,10 +56,12 @@ def test_lookup_prunes_shards_and_row_groups(spark, store):
     assert re.search(r"PushedFilters: \[.*In\(offset", text)
 
 
-def test_long_lookup_prunes_at_run_time(spark, store):
+@pytest.mark.parametrize("as_table", [False, True])
+def test_long_lookup_prunes_to_its_shards(spark, store, as_table):
     meta = spark.createDataFrame([(0, 10), (1, 10), (2, 8)], "shard_id int, n_images long")
-    rows = fs.lookup(spark, store, [i % 30 for i in range(1500)], meta)
-    assert "dynamicpruning" in plan(rows).lower() and rows.count() == 50 * 28
+    wanted = [i % 20 for i in range(1500)]
+    rows = fs.lookup(spark, store, spark.createDataFrame([(i,) for i in wanted], "idx long") if as_table else wanted, meta)
+    assert re.search(r"PartitionFilters: \[.*shard_id#\d+ IN \(0,1\)", plan(rows)) and rows.count() == 1500
 
 
 def test_index_subset_prunes_by_shard(spark, store):
@@ -68,9 +70,11 @@ def test_index_subset_prunes_by_shard(spark, store):
     assert re.search(r"PushedFilters: \[.*In\(global_idx", plan(split.index_subset(rows, [3, 25])))
 
 
-def test_committed_shards_reads_no_column(spark, store):
-    found = fs.committed_shards(spark, store)
-    assert scans(found) == ["struct<>"]
+def test_shards_are_not_counted_again(spark, store):
+    (table,) = scans(fs.committed_shards(spark, store))
+    assert "n_images" in table and "item_id" not in table
+    (counted,) = scans(fs.counted_shards(spark, store))  # ids and positions, no tensor
+    assert counted == "struct<item_id:bigint,offset:bigint>"
 
 
 def test_step_share_prunes_partitions(spark, store):
@@ -79,10 +83,9 @@ def test_step_share_prunes_partitions(spark, store):
     assert re.search(r"PartitionFilters: \[.*xxhash64", text)
 
 
-@pytest.mark.parametrize("mode", ["multiset"])
-def test_fingerprint_aggregates_partially(spark, mode):
+def test_fingerprint_aggregates_partially(spark):
     df = spark.range(100).selectExpr("concat(id, '.jpg') file_name", "'d' parent").repartition(4)
-    text = plan(shards.dataset_fingerprint(df, mode))
+    text = plan(shards.dataset_fingerprint(df))
     assert "partial_sum" in text
 
 
@@ -105,13 +108,6 @@ def test_broadcast_list_is_bounded(spark, monkeypatch):
     assert "ResolvedHint" not in logical
 
 
-def test_locality_never_groups_a_whole_worker(spark):
-    rows = [("w", i, i % 5) for i in range(5000)]
-    trace = spark.createDataFrame(rows, "worker string, seq long, shard_id int")
-    text = plan(locality.locality_report(trace, [2], chunk=100))
-    assert re.search(r"HashAggregate\(keys=\[worker#\d+, _chunk#\d+L\]", text) or "ObjectHashAggregate" in text
-
-
 def test_rank_borders_are_a_literal(spark):
     df = spark.range(1000).withColumn("s", F.col("id").cast("string"))
     text = order_rank(df, ["s", "id"])._jdf.queryExecution().optimizedPlan().toString()

@@ -51,10 +51,68 @@ def test_rewrite_replaces_only_its_shards(spark, store):
     assert len(got) == 28 and got[12] == rows[2][5] and got[2] == make_rows()[2][5]
 
 
-def test_large_shard_is_written_by_several_files(spark, tmp_path):
+def test_files_keep_to_their_size(spark, tmp_path):
+    import pyarrow.parquet as pq
+
     path = tmp_path / "s"
     fs.write_shards(spark.createDataFrame(make_rows((40,)), SCHEMA), str(path), rows_per_file=10)
-    assert len(list((path / "shard_id=0").glob("*.parquet"))) > 1
+    sizes = [pq.read_metadata(f).num_rows for f in (path / "shard_id=0").glob("*.parquet")]
+    assert sum(sizes) == 40 and max(sizes) <= 10
+
+
+def test_shard_table_follows_the_store(spark, store):
+    def told(df):
+        return sorted(map(tuple, df.select(fs.counted_shards(spark, store).columns).collect()))
+
+    assert told(fs.committed_shards(spark, store)) == told(fs.counted_shards(spark, store))
+    rows = [(r[0], r[1] + 1000, *r[2:]) for r in make_rows() if r[3] == 1]  # as many rows, other items
+    before = told(fs.committed_shards(spark, store))
+    fs.write_shards(spark.createDataFrame(rows, SCHEMA), store)
+    after = told(fs.committed_shards(spark, store))
+    assert after == told(fs.counted_shards(spark, store)) and before != after
+    assert fs.drop_shards(spark, store, spark.createDataFrame([(0,), (1,)], "shard_id int")) == 1
+    assert [r[0] for r in told(fs.committed_shards(spark, store))] == [0, 1]
+    assert fs.read_store(spark, store).count() == 20
+
+
+def test_resume_tells_content_from_count(spark):
+    rows = spark.range(40).selectExpr("id AS item_id", "cast(id DIV 10 AS int) AS shard_id", "id % 10 AS offset")
+    shifted = rows.selectExpr("item_id + (shard_id = 2)::int AS item_id", "shard_id", "offset")
+    moved = rows.selectExpr("item_id", "shard_id", "if(shard_id = 3, 9 - offset, offset) AS offset")
+    plan = shards.shard_contents(rows)
+    assert [r["shard_id"] for r in shards.resume_plan(plan, shards.shard_contents(shifted)).collect()] == [2]
+    assert [r["shard_id"] for r in shards.resume_plan(plan, shards.shard_contents(moved)).collect()] == [3]
+    assert shards.resume_plan(plan, plan).count() == 0
+
+
+def test_mixed_storage_is_refused(spark, store):
+    rows = spark.createDataFrame([r for r in make_rows() if r[3] == 1], SCHEMA)
+    with pytest.raises(ValueError, match="tokens"):
+        fs.write_shards(rows, store, storage="half")
+    assert fs.read_store(spark, store).count() == 28
+
+
+def test_columns_of_some_shards_are_kept(spark, tmp_path):
+    path = str(tmp_path / "s")
+    rows = spark.createDataFrame(make_rows(), SCHEMA)
+    fs.write_shards(rows.where("shard_id = 0"), path)
+    fs.write_shards(rows.where("shard_id > 0").withColumn("label", F.lit(7)), path)
+    got = fs.read_store(spark, path).groupBy("shard_id").agg(F.count("label").alias("n")).collect()
+    assert {r["shard_id"]: r["n"] for r in got} == {0: 0, 1: 10, 2: 8}
+    import shutil
+
+    (tmp_path / "old").mkdir()
+    shutil.copytree(path, tmp_path / "old" / "s")  # without the files beside it
+    assert "label" in fs.read_store(spark, str(tmp_path / "old" / "s")).columns
+
+
+def test_store_info_of_any_store(spark, tmp_path):
+    rows = spark.createDataFrame(make_rows(), SCHEMA)
+    fs.write_shards(rows, str(tmp_path / "packed"), storage="half")
+    fs.write_shards(rows.drop("gt_logvar"), str(tmp_path / "old"))
+    for name, logvars in (("packed", 28), ("old", 0)):
+        info = shards.store_info(spark.read.parquet(str(tmp_path / name))).first()
+        assert (info["token_values"], info["latent_values"], info["with_logvar"]) == (6, 4, logvars)
 
 
 def test_lookup(spark, store):
@@ -143,35 +201,20 @@ def items(spark, pairs):
     return spark.createDataFrame(pairs, "file_name string, parent string")
 
 
-@pytest.mark.parametrize("mode", ["multiset", "listed"])
-def test_fingerprint(spark, mode):
+def test_fingerprint(spark):
     def of(pairs):
-        return shards.dataset_fingerprint(items(spark, pairs), mode).first()["fingerprint"]
+        return shards.dataset_fingerprint(items(spark, pairs)).first()["fingerprint"]
 
     pairs = [(f"{i}.jpg", f"d{i % 3}") for i in range(50)]
     assert of(pairs) == of(pairs[::-1]) and len(of(pairs)) == 16
     assert of(pairs) != of(pairs[1:]) and of([("a.jpg", "x")]) != of([("a.jpg", "y")])
 
 
-def test_fingerprint_listed_value(spark):
-    import hashlib
-
-    pairs = [("b.jpg", "x"), ("a.jpg", "y"), ("a.jpg", "x")]
-    want = hashlib.sha256("\n".join(sorted(n + p for n, p in pairs)).encode()).hexdigest()[:16]
-    assert shards.dataset_fingerprint(items(spark, pairs), "listed").first()["fingerprint"] == want
-
-
 def test_fingerprint_delimits_names(spark):
     a, b = items(spark, [("ab", "c")]), items(spark, [("a", "bc")])
     assert shards.dataset_fingerprint(a).first() != shards.dataset_fingerprint(b).first()
 
 
-def test_listed_fingerprint_refuses_large(spark, monkeypatch):
-    monkeypatch.setattr(shards, "LISTED_FINGERPRINT_MAX", 1)
-    with pytest.raises(ValueError, match="multiset"):
-        shards.dataset_fingerprint(items(spark, [("a", "x"), ("b", "x")]), "listed")
-
-
 def test_manifest_and_validation(spark, store, tmp_path):
     manifest, models = str(tmp_path / "m"), {"encoder": "e1", "latent": "v1"}
     its = items(spark, [(f"{i}.jpg", "d") for i in range(28)])
@@ -180,7 +223,7 @@ def test_manifest_and_validation(spark, store, tmp_path):
     assert fs.validate_store(spark, manifest, its, models) == ["no_manifest"]
     fs.save_manifest(spark, manifest, its, models, store=store, shard_size=10, dataset_root="/data")
     row = fs.load_manifest(spark, manifest).first()
-    assert (row["total_shards"], row["shard_count"], row["completed_shards"]) == (3, 3, [0, 1, 2])
+    assert (row["total_shards"], row["shard_count"], row["last_shard"]) == (3, 3, 2)
     assert row["model_versions"] == models and row["dataset_root"] == "/data" and row["created_at"] is not None
     assert fs.validate_store(spark, manifest, its, models) == []
     assert fs.validate_store(spark, manifest, its.limit(5), models) == ["hash"]
