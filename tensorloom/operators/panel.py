@@ -127,15 +127,22 @@ def error_grid(errors: DataFrame, indices: list[int]) -> DataFrame:
     return errors.groupBy("epoch").pivot("idx", indices).agg(F.first("mse"))
 
 
-def comparison_grid(cells: DataFrame, columns: int = 32, rows: int = 64) -> DataFrame:
+PAGE_SIDE = 4096  # pixels: a page of 3 bytes a pixel is 50 MB at most
+
+
+def comparison_grid(cells: DataFrame, columns: int | None = None, rows: int | None = None, side: int = PAGE_SIDE) -> DataFrame:
     """Montage: one strip per epoch with cells ordered by idx, strips stacked by epoch.
 
     ``cells`` has run_id, epoch, idx, height, width, levels (H, W, 3 bytes); hand in a
     written table, since its keys are read several times. Cells of
-    a strip are resized to its largest height and width. Panels wider or longer than
-    ``columns`` / ``rows`` continue on further pages, so a page stays image-sized and
-    no cell is left out.
+    a strip are resized to its largest height and width. Pages hold as many cells of the
+    largest height and width as fit into ``side`` pixels each way (at least one, and no more
+    than ``columns`` / ``rows`` where given); panels continue on further pages, so a page has
+    a bounded size and no cell is left out.
     """
+    largest = cells.agg(F.max("height"), F.max("width")).first()
+    fits = [max(1, side // (size or 1)) for size in largest]
+    rows, columns = min(rows or fits[0], fits[0]), min(columns or fits[1], fits[1])
     by = "run_id"
     keys = [by, "epoch", "idx"]
     # positions come from the narrow keys, so a run or epoch with very many cells is
