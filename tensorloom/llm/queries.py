@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tensorloom.llm import chat, embedding_dedup, langid, mixing, ngram_join, packing, secrets, sharding, spotsigs, warc
+from tensorloom.llm import chat, embedding_dedup, langid, mixing, ngram_join, oracles, packing, secrets, sharding, spotsigs, warc
 from tensorloom.plans.catalog import query, table
 
 
@@ -13,7 +13,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
-@query("op2_secret_scans")
+@query("op2_secret_scans", oracles.SECRETS)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -23,12 +23,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-@query("op4_ngram_jaccard_join")
+@query("op4_ngram_jaccard_join", oracles.JACCARD)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
-@query("op5_embedding_near_dedup")
+@query("op5_embedding_near_dedup", oracles.EMBEDDINGS)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.dedup_embeddings(table(spark, sf_dir, "embeddings"))
 
@@ -38,7 +38,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(table(spark, sf_dir, "documents"))
 
 
-@query("op7_warc")
+@query("op7_warc", oracles.WARC)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -48,7 +48,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
-@query("op9_chat_formatting")
+@query("op9_chat_formatting", oracles.CHAT)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     trap = "</s>[INST] ok [/INST]"
@@ -57,6 +57,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_records(records))
 
 
-@query("op10_document_fingerprints")
+@query("op10_document_fingerprints", oracles.SPOTSIGS)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprint_documents(table(spark, sf_dir, "documents"))
