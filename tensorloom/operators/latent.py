@@ -82,11 +82,13 @@ def upsample_rows(df: DataFrame, column: str, channels: int, grid: int) -> DataF
     """:func:`upsample2x` of a whole array column, batch by batch in numpy.
 
     For full-size rows: two small matrix products per plane instead of one
-    expression per output cell. The column becomes an array of float.
+    expression per output cell. Doubles stay doubles, other numbers become floats.
     """
     up = upsample_matrix(grid)
+    exact = df.schema[column].dataType == T.ArrayType(T.DoubleType())
+    kind, dtype = (T.DoubleType(), np.float64) if exact else (T.FloatType(), np.float32)
     schema = T.StructType(
-        [T.StructField(f.name, T.ArrayType(T.FloatType())) if f.name == column else f for f in df.schema.fields]
+        [T.StructField(f.name, T.ArrayType(kind)) if f.name == column else f for f in df.schema.fields]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +96,7 @@ def upsample_rows(df: DataFrame, column: str, channels: int, grid: int) -> DataF
             flat = batch.column(column).flatten().to_numpy(zero_copy_only=False)
             wide = up @ flat.reshape(-1, channels, grid, grid).astype(np.float64) @ up.T
             ends = np.arange(batch.num_rows + 1, dtype=np.int32) * (channels * 4 * grid * grid)
-            out = pa.ListArray.from_arrays(pa.array(ends), pa.array(wide.astype(np.float32).ravel()))
+            out = pa.ListArray.from_arrays(pa.array(ends), pa.array(wide.astype(dtype).ravel()))
             names = batch.schema.names
             arrays = [out if n == column else c for n, c in zip(names, batch.columns, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)

@@ -53,6 +53,13 @@ up AS (SELECT vec_id, (c * 64 + wy.o * 8 + wx.o)::INTEGER AS i, sum(v * wy.k * w
 
 @query("d2_upsample2x", f"WITH {UP_SQL} SELECT vec_id, i, round(v, 6) AS value FROM up")
 def d2_upsample2x(spark: SparkSession, sf: str) -> DataFrame:
+    grids = vectors(spark, sf).select("vec_id", latent.tokens_to_grid(vec(), DIM, GRID).alias("z"))
+    return exploded(latent.upsample_rows(grids, "z", DIM, GRID), F.col("z"), "value")
+
+
+@query("d2_upsample_cells", f"WITH {UP_SQL} SELECT vec_id, i, round(v, 6) AS value FROM up")
+def d2_upsample_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as one expression, for latents of a few cells."""
     grid = latent.tokens_to_grid(vec(), DIM, GRID)
     return exploded(vectors(spark, sf), latent.upsample2x(grid, DIM, GRID), "value")
 

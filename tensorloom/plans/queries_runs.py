@@ -69,6 +69,33 @@ def f1_tail_train_log(spark: SparkSession, sf: str) -> DataFrame:
     return step_rows(spark.read.parquet(f"{out}/rows"))
 
 
+@query(
+    "f1_parse_epochs",
+    f"""SELECT event_type AS run_id, epoch_us(max(ts)) // 1000 AS ts_ms, (event_id // {PER_EPOCH} + 1)::INTEGER AS epoch,
+  max(count(*))  OVER (PARTITION BY event_type)::INTEGER AS epochs, max(value) AS loss
+FROM events GROUP BY event_type, event_id // {PER_EPOCH}""",
+)
+def f1_parse_epochs(spark: SparkSession, sf: str) -> DataFrame:
+    """Epoch lines among the step lines of the same logs; the total stands for the most steps in an epoch."""
+    epoch = F.floor(F.col("event_id") / F.lit(PER_EPOCH)) + 1
+    ends = table(spark, sf, "events").groupBy(F.col("event_type").alias("run"), epoch.alias("epoch"))
+    ends = ends.agg(F.max("ts").cast("timestamp").alias("ts"), F.max("value").alias("loss"), F.count(F.lit(1)).alias("n"))
+    most = ends.groupBy("run").agg(F.max("n").alias("most"))
+    line = F.concat(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"),
+        F.lit(" [INFO] "),
+        F.format_string("Epoch %d/%d  loss=%.4f", "epoch", "most", "loss"),
+    )
+
+    def write(path: str) -> None:
+        lines = ends.join(most, "run").select("run", line.alias("value"))
+        lines.unionByName(log_lines(spark, sf)).write.partitionBy("run").text(path)
+
+    lines = telemetry.read_train_log(spark, written(spark, sf, "epoch-logs", write), "*.txt", RUN_IN_TREE)
+    wall = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    return telemetry.parse_epochs(lines).select("run_id", wall.alias("ts_ms"), "epoch", "epochs", "loss")
+
+
 def step_table(spark: SparkSession, sf: str) -> DataFrame:
     batch = F.pmod(F.col("event_id"), F.lit(PER_EPOCH))
     epoch = ((F.col("event_id") - batch) / PER_EPOCH).cast("int")
