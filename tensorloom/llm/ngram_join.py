@@ -8,7 +8,7 @@ documents share about one chosen child per level, others almost never. Small buc
 compared by brute force; larger ones are split again. A bucket that splitting does not
 shrink (boilerplate, a large group of near copies) is compared in tiles instead, so no
 task ever holds more than two tiles. Runs repeat until a pair at the threshold is met
-with the target recall even at the deepest level that was needed.
+with the target recall even at the deepest level there is.
 
 A pair that meets in several buckets is counted in the least one only, so comparisons
 return link counts and spanning-forest edges per document, never pairs. Signatures decide
@@ -33,12 +33,11 @@ WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 POSITIONS = 128  # min-hash values of a signature
-RUNS = 12  # first batch of runs
 BUCKET = 256  # documents compared by brute force at once; also the side of a tile
 DEPTH = 4  # deepest level; larger buckets there are compared in tiles
 SLACK = 5.0  # standard deviations below the threshold that a signature may show
 WORD = re.compile(r"\w+")
-CACHE = 500_000
+CACHE = 100_000
 
 FEATURES = "doc_id long, key string, h long, items binary, signature binary, brief binary"
 BROADCAST_ROWS = 1_000_000  # pairs of longs: 16 MB
@@ -76,7 +75,7 @@ def signature(items: np.ndarray, factors: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(16))) * np.uint64(0xFF51AFD7ED558CCD)
     x ^= x >> np.uint64(33)
     least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
-    step = max(1, 2_000_000 // len(factors))
+    step = max(1, 500_000 // len(factors))
     for at in range(0, len(x), step):
         h = x[None, at : at + step] * factors[:, None]
         least = np.minimum(least, (h ^ (h >> np.uint64(31))).min(axis=1))
@@ -259,32 +258,33 @@ def _roots(features: DataFrame, first: int, runs: int, threshold: float) -> Data
 
 
 def _buckets(features: DataFrame, sets: DataFrame, threshold: float, recall: float, bucket: int) -> DataFrame:
-    """(path, tiles, h): the buckets to compare, in ``tiles`` tiles each, enough runs for the recall."""
-    out, done, need = None, 0, RUNS
-    while done < need:
-        level = _roots(features, done, need - done, threshold).distinct().withColumn("parent", F.lit(None).cast("long"))
-        parents, deepest = None, 1
-        for depth in range(1, DEPTH + 1):
-            level = stored(level, "ngram-level")
-            sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("parent").alias("parent")).where("size > 1")
-            if parents is None:
-                sizes = sizes.withColumn("stuck", F.lit(False))
-            else:  # splitting that leaves more than half of a bucket together doesn't help
-                sizes = sizes.join(parents, "parent", "left").withColumn("stuck", F.col("size") * 2 > F.col("parent_size"))
-            sizes = stored(sizes.select("path", "size", "stuck"), "ngram-sizes")
-            last = F.col("stuck") | (F.col("size") <= bucket) | F.lit(depth == DEPTH)
-            here = sizes.where(last).select("path", F.ceil(F.col("size") / F.lit(bucket)).cast("int").alias("tiles"))
-            rows = level.join(here, "path").select("path", "tiles", "h")
-            out = rows if out is None else out.union(rows)
-            deeper = sizes.where(~last)
-            if deeper.isEmpty():
-                break
-            deepest = depth + 1
-            parents = deeper.select(F.col("path").alias("parent"), F.col("size").alias("parent_size"))
-            going = stored(level.join(deeper.select("path"), "path").select("path", "h"), "ngram-going")
-            signed = _of_sets(features, sets.join(going.select("h").distinct(), "h").select("h", "rep"), "signature")
-            level = _split(going.join(signed, "h"), threshold).distinct()
-        done, need = need, max(need, runs_needed(deepest, recall))
+    """(path, tiles, h): the buckets to compare, in ``tiles`` tiles each.
+
+    There are as many runs as the recall takes at the deepest level, whatever the size of the
+    corpus, so a document stands in as many nodes in a large one as in a small one.
+    """
+    out = None
+    level = _roots(features, 0, runs_needed(DEPTH, recall), threshold).distinct().withColumn("parent", F.lit(None).cast("long"))
+    parents = None
+    for depth in range(1, DEPTH + 1):
+        level = stored(level, "ngram-level")
+        sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("parent").alias("parent")).where("size > 1")
+        if parents is None:
+            sizes = sizes.withColumn("stuck", F.lit(False))
+        else:  # splitting that leaves more than half of a bucket together doesn't help
+            sizes = sizes.join(parents, "parent", "left").withColumn("stuck", F.col("size") * 2 > F.col("parent_size"))
+        sizes = stored(sizes.select("path", "size", "stuck"), "ngram-sizes")
+        last = F.col("stuck") | (F.col("size") <= bucket) | F.lit(depth == DEPTH)
+        here = sizes.where(last).select("path", F.ceil(F.col("size") / F.lit(bucket)).cast("int").alias("tiles"))
+        rows = level.join(here, "path").select("path", "tiles", "h")
+        out = rows if out is None else out.union(rows)
+        deeper = sizes.where(~last)
+        if deeper.isEmpty():
+            break
+        parents = deeper.select(F.col("path").alias("parent"), F.col("size").alias("parent_size"))
+        going = stored(level.join(deeper.select("path"), "path").select("path", "h"), "ngram-going")
+        signed = _of_sets(features, sets.join(going.select("h").distinct(), "h").select("h", "rep"), "signature")
+        level = _split(going.join(signed, "h"), threshold).distinct()
     return out
 
 
