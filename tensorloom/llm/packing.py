@@ -17,14 +17,16 @@ chosen bins by binary search.
 
 from __future__ import annotations
 
+import base64
+import os
 import random
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,38 +35,49 @@ from tensorloom.session import shuffle_width
 
 LENGTH = 1024
 END_ID = 2
-#: the pre-tokenizer of byte-level BPE vocabularies of this family (fixed values)
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-CACHE = 300_000  # words kept encoded in a worker; beyond it the cache starts anew
+#: the pre-tokenizer of byte-level BPE vocabularies of this family (fixed value)
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class WordIds(dict):
-    """Word -> its token ids as little-endian 32-bit bytes, filled on demand."""
+class DocumentIds:
+    """Token ids of whole texts.
 
-    def __init__(self, path: str):
+    A file of the same vocabulary as ranks (``ranks``) lets the faster library encode; texts
+    that hold a special token's string, and all texts if there is no such file, go to the
+    tokenizer itself.
+    """
+
+    def __init__(self, path: str, ranks: str | None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = self.tokenizer.get_added_tokens_decoder().values()
-        self.special = [t.content for t in added]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast = None
+        if ranks is not None:
+            import tiktoken
+
+            with open(ranks, "rb") as lines:
+                table = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=table, special_tokens={})
+
+    def __call__(self, text: str) -> np.ndarray:
+        if self.fast is None or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.fast.encode_ordinary(text), "<u4")
+
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.whole(word)
-        if len(self) >= CACHE:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+@lru_cache(maxsize=2)
+def document_ids(path: str, ranks: str | None) -> DocumentIds:
+    """One per worker, kept over its tasks."""
+    return DocumentIds(path, ranks)
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def document(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, WORDS.findall(text)))
+def ranks_beside(path: str) -> str | None:
+    """The rank file of the same name, if there is one."""
+    ranks = path.removesuffix(".json") + ".tiktoken"
+    return ranks if os.path.exists(ranks) else None
 
 
 def default_tokenizer() -> str:
@@ -81,18 +94,18 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, *, length: int = L
     give one piece, the end id. Ids may be null or repeat; other columns are ignored.
     """
     path = tokenizer or default_tokenizer()
-    end = np.array([END_ID], "<u4").tobytes()
+    end = np.array([END_ID], "<u4")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        encode = document_ids(path, ranks_beside(path))
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = words.document(text.as_py() or "") + end
-                n = len(data) // 4
+                ids = np.concatenate([encode(text.as_py() or ""), end])
+                n = len(ids)
                 edges = [0, *range((n - 1) % length + 1, n + 1, length)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                    out.append((doc, k, a, b - a, zlib.crc32(data[4 * a : 4 * b])))
+                    out.append((doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
