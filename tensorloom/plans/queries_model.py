@@ -12,6 +12,7 @@ from tensorloom.operators import fit, latent, loss, registry
 from tensorloom.operators.mappers import MapperSpec, Params, create_mapper, init_weights, score, score_losses, weights_table
 from tensorloom.operators.split import assign_batches, uniform_shuffle
 from tensorloom.plans.catalog import h32, query, table, unnest_sql
+from tensorloom.plans.forward_sql import formula_params, score_sql
 from tensorloom.plans.queries_store import DIM, GRID, store_path
 from tensorloom.sources.store import read_store
 
@@ -163,35 +164,39 @@ def e1_score_linear(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def score_summary(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """Scores of a seeded mapper over every row, sampled and not."""
+    """Scores of a mapper with formula weights over every row."""
     spec = create_mapper(name, **SMALL)
-    params = init_weights(spec, seed=5)
-    scored = score(tokens(spark, sf), spec, params, item="vec_id", sample=True, seed=9)
+    scored = score(tokens(spark, sf), spec, formula_params(spec), item="vec_id")
     return scored.select(
         "vec_id",
         F.size("pred_z").alias("n_values"),
-        F.round(total(F.col("pred_z")), 3).alias("z_sum"),
-        F.round(total(F.col("pred_mean")), 3).alias("mean_sum"),
-        F.round(total(F.col("pred_logvar")), 3).alias("logvar_sum"),
+        F.round(total(F.col("pred_mean")) / F.size("pred_mean"), 3).alias("mean_avg"),
+        F.round(total(F.col("pred_logvar")) / F.size("pred_logvar"), 3).alias("logvar_avg"),
+        F.round(F.element_at("pred_z", 1).cast("double"), 3).alias("first_cell"),
+        F.round(F.element_at("pred_logvar", -1).cast("double"), 3).alias("last_cell"),
     )
 
 
-@query("e2_score_mlp")
+def deep_sql(name: str) -> str:
+    return score_sql(create_mapper(name, **SMALL), E, UP_SQL.split(",\ne AS")[0])
+
+
+@query("e2_score_mlp", deep_sql("mlp"))
 def e2_score_mlp(spark: SparkSession, sf: str) -> DataFrame:
     return score_summary(spark, sf, "mlp")
 
 
-@query("e3_score_resnet")
+@query("e3_score_resnet", deep_sql("resnet"))
 def e3_score_resnet(spark: SparkSession, sf: str) -> DataFrame:
     return score_summary(spark, sf, "resnet")
 
 
-@query("e4_score_transformer")
+@query("e4_score_transformer", deep_sql("transformer"))
 def e4_score_transformer(spark: SparkSession, sf: str) -> DataFrame:
     return score_summary(spark, sf, "transformer")
 
 
-@query("e5_score_transformer_resnet")
+@query("e5_score_transformer_resnet", deep_sql("transformer_resnet"))
 def e5_score_transformer_resnet(spark: SparkSession, sf: str) -> DataFrame:
     return score_summary(spark, sf, "transformer_resnet")
 
