@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import os
 import random
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,6 +39,11 @@ END_ID = 2
 #: the pre-tokenizer of byte-level BPE vocabularies of this family (fixed value)
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: the rank library fails on a million white-space characters in a row (its pattern looks ahead
+#: there); far shorter runs count, each tried from its first character only
+WIDE = 100_000
+WIDE_GAP = re.compile(rf"(?<!\s)\s{{{WIDE}}}")
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -45,8 +51,8 @@ class DocumentIds:
     """Token ids of whole texts.
 
     A file of the same vocabulary as ranks (``ranks``) lets the faster library encode; texts
-    that hold a special token's string, and all texts if there is no such file, go to the
-    tokenizer itself.
+    that hold a special token's string or a very long run of white space, and all texts if
+    there is no such file, go to the tokenizer itself.
     """
 
     def __init__(self, path: str, ranks: str | None):
@@ -63,7 +69,8 @@ class DocumentIds:
             self.fast = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=table, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is None or any(s in text for s in self.special):
+        wide = len(text) >= WIDE and WIDE_GAP.search(text)
+        if self.fast is None or wide or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         return np.array(self.fast.encode_ordinary(text), "<u4")
 

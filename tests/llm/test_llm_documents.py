@@ -285,6 +285,16 @@ def test_packing_awkward(awkward, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("gap", [" ", "\n", "\u3000"])
+def test_packing_of_long_white_space(gap):
+    path = packing.default_tokenizer()
+    encode = packing.DocumentIds(path, packing.ranks_beside(path))
+    assert encode.fast is not None
+    for text in (gap * 1_500_000 + "x", "a " + gap * 99_990 + "b", "a" + gap * 100_010 + " b c"):
+        want = encode.tokenizer.encode(text, add_special_tokens=False).ids
+        assert encode(text).tolist() == want
+
+
 def test_packing_awkward_ids(awkward):
     once = awkward.where("doc_id <> 10")
     packing_holds(packing.pack_documents(once, islands=2, epochs=1).collect(), {d: t for d, t, *_ in AWKWARD if d != 10})
