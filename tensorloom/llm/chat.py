@@ -12,6 +12,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain, groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -155,6 +156,62 @@ def _formatted(record: str | None) -> tuple:
     return print_, MAPPINGS[print_][0], len(turns), formatted, [{"start": a, "end": b} for a, b in spans]
 
 
+#: rows and code points that end an Arrow batch of slices
+SLICE_ROWS, SLICE_CHARS = 1000, 4_000_000
+
+
+def slice_records(rows: DataFrame, *, id_col="conv_id", turn_col="turn", role_col="role", text_col="text") -> DataFrame:
+    """(conv_id, slice, record): the records of :func:`gather_records` in slices, in order within a partition.
+
+    Records of two or three turns are one slice. A list of messages has a slice per turn, a
+    list of one: the layout's fingerprint doesn't depend on the length. A conversation lies in
+    one partition, sorted by Spark, and four of its turns at most are held at once.
+    """
+    clean = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    turns = rows.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), clean(role_col).alias("role"), clean(text_col).alias("text"))
+    placed = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    shape = StructType([*turns.select("conv_id").schema.fields, *StructType.fromDDL("slice long, record string").fields])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is None:
+            return
+        turns = (tuple(x.as_py() for x in row) for batch in chain([first], batches) for row in zip(*batch.columns, strict=True))
+        types = (first.schema.types[0], pa.int64(), pa.string())
+        for found in _bounded(_slices(turns)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], shape.names)
+
+    return placed.select("conv_id", "role", "text").mapInArrow(work, shape)
+
+
+def _slices(turns: Iterator[tuple]) -> Iterator[tuple]:
+    """(id, number, record as JSON) of sorted turns (id, role, text)."""
+    shown = lambda record: json.dumps(record, ensure_ascii=False)
+    message = lambda turn: shown({"messages": [{"role": turn[1], "content": turn[2]}]})
+    for conv, own in groupby(turns, key=lambda turn: turn[0]):
+        head = list(islice(own, 4))
+        roles, texts = [t[1] for t in head], [t[2] for t in head]
+        if roles == ["user", "assistant"]:
+            yield conv, 0, shown(dict(zip(("prompt", "response"), texts, strict=True)))
+        elif roles == ["system", "user", "assistant"]:
+            yield conv, 0, shown(dict(zip(("system", "instruction", "output"), texts, strict=True)))
+        else:
+            for k, turn in enumerate(chain(head, own)):
+                yield conv, k, message(turn)
+
+
+def _bounded(slices: Iterator[tuple]) -> Iterator[list[tuple]]:
+    held, size = [], 0
+    for row in slices:
+        held.append(row)
+        size += len(row[2])
+        if len(held) >= SLICE_ROWS or size >= SLICE_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 READ = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
@@ -181,8 +238,50 @@ def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
     return formatted.select(id_col, "formatted", "loss").mapInArrow(work, shape)
 
 
+def read_slices(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """:func:`read_back` of conversations in formatted slices, as :func:`slice_records` numbers and places them.
+
+    Digests grow slice by slice; slices out of place are an error.
+    """
+    shape = StructType([*formatted.select(id_col).schema.fields, *StructType.fromDDL(READ).fields])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is None:
+            return
+        slices = (tuple(x.as_py() for x in row) for batch in chain([first], batches) for row in zip(*batch.columns, strict=True))
+        types = (first.schema.types[0], pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        conversations = (_digests(conv, own) for conv, own in groupby(slices, key=lambda row: row[0]))
+        while out := list(islice(conversations, SLICE_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], shape.names)
+
+    return formatted.select(id_col, "slice", "formatted", "loss").mapInArrow(work, shape)
+
+
+def _digests(conv: object, slices: Iterator[tuple]) -> tuple:
+    told, loss = hashlib.sha256(), hashlib.sha256()
+    n_turns = loss_chars = formatted_chars = 0
+    for k, (_, number, text, spans) in enumerate(slices):
+        if number != k:
+            raise ValueError(f"slice {number} of {conv} in place of {k}")
+        text = text or ""
+        for role, body in parse(text):
+            told.update(_bytes(f"{role}\n{body}\n"))
+            n_turns += 1
+        for s in spans or []:
+            part = unescape(text[s["start"] : s["end"]])
+            loss.update(_bytes(part))
+            loss_chars += len(part)
+        formatted_chars += len(text)
+    return conv, n_turns, told.hexdigest(), loss_chars, loss.hexdigest(), formatted_chars
+
+
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
 def _sha(text: str) -> str:
-    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+    return hashlib.sha256(_bytes(text)).hexdigest()
 
 
 def gather_records(rows: DataFrame, *, id_col="conv_id", turn_col="turn", role_col="role", text_col="text") -> DataFrame:
@@ -191,7 +290,7 @@ def gather_records(rows: DataFrame, *, id_col="conv_id", turn_col="turn", role_c
     A user and an assistant turn make a prompt record, a system turn before them an
     instruction record, anything else a list of messages. Turns are ordered by number,
     then role and text; null texts and roles are empty. One conversation is one record, so
-    it has to fit a task.
+    it has to fit a task; :func:`slice_records` has no such limit.
     """
     clean = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turn = F.struct(F.col(turn_col).alias("turn"), clean(role_col).alias("role"), clean(text_col).alias("text"))

@@ -177,6 +177,25 @@ def test_chat_awkward(spark):
     assert chat.read_back(chat.format_records(chat.gather_records(frame.where("false")))).count() == 0
 
 
+def test_long_conversations_stay_in_slices(spark, sf):
+    roles = ["user", "assistant", "system", None, "[/INST]"]
+    rows = [(7, k, roles[k * k % 5], f"{TRAP} {k} \U0001f600" * (k % 4)) for k in range(5000)]
+    rows += [(None, 0, "user", "q"), (None, 1, "assistant", "a"), (8, 0, "system", "s"), (8, 1, "user", None), (8, 2, "assistant", "b")]
+    rows += [(9, None, "user", "q"), (9, 1, "assistant", "a"), (9, 1, "assistant", "a"), (10, 0, "system", "s"), (10, 1, "assistant", ""), (11, 0, "user", "q")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    formatted = chat.format_records(chat.slice_records(frame))
+    assert formatted.agg({"n_turns": "max"}).first()[0] == 3
+    assert formatted.where("conv_id = 7").count() == 5000
+    order = lambda r: (r[0] is not None, r[0] or 0)
+    out = sorted((tuple(r) for r in chat.read_slices(formatted).collect()), key=order)
+    old = sorted((tuple(r) for r in chat.read_back(chat.format_records(chat.gather_records(frame))).collect()), key=order)
+    assert out == old and len(out) == 6
+    with pytest.raises(Exception, match="in place of"):
+        chat.read_slices(formatted.where("slice <> 1")).collect()
+    assert chat.read_slices(chat.format_records(chat.slice_records(frame.where("false")))).count() == 0
+    assert "collect_list" not in queries.op9(spark, sf)._jdf.queryExecution().toString()
+
+
 control = st.lists(st.sampled_from(["<", "/", "s>", "</s>", "<s>", "[", "[INST]", "[/INST]", "\\", "<<SYS>>", "<|im_end|>", "|>", "x", "\n"]), max_size=14).map("".join)
 
 
