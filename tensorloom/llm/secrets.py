@@ -141,9 +141,10 @@ def linked_parts(parts: DataFrame, reach: int = REACH) -> DataFrame:
     """Weak parts (_k, kind, start, end) with a complementary part within ``reach``."""
     side = lambda which: F.coalesce(*[F.when(F.col("kind") == k, F.lit(v[0])) for k, v in KINDS.items() if which(v)])
     cell = lambda c: F.floor(c / F.lit(STRETCH)).cast("int")
-    # a part stands in each cell it covers, a weak one also in those it can reach
+    # a part stands in each cell it covers, a weak one also in those it can reach; a part that
+    # ends just at reach has its last code point one before it
     weak = parts.withColumn("class", side(lambda v: v[4])).where(F.col("class").isNotNull())
-    weak = weak.withColumn("cell", F.explode(F.sequence(cell(F.greatest(F.col("start") - reach, F.lit(0))), cell(F.col("end") + reach))))
+    weak = weak.withColumn("cell", F.explode(F.sequence(cell(F.greatest(F.col("start") - reach - 1, F.lit(0))), cell(F.col("end") + reach))))
     other = parts.select(
         "_k",
         side(lambda v: True).alias("class2"),

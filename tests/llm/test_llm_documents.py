@@ -188,6 +188,21 @@ def test_weak_parts_need_a_complement(spark):
     assert clean[1] == "[SECRET] then [SECRET]" and clean[0] == PARTS["alone"][0]
 
 
+@pytest.mark.parametrize("gap, linked", [(200, True), (201, False)])
+def test_links_at_full_reach(spark, gap, linked):
+    """The complement ends on a cell's border and the weak part starts ``gap`` after it, and the other way round."""
+    secret, weak = "password=hunter22x", "login=alice9"
+    texts = ["#" * (256 * k - len(secret)) + secret + "#" * gap + weak for k in (1, 2)]
+    texts += ["#" * (256 * k - len(weak)) + weak + "#" * gap + secret for k in (1, 2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.scan_secrets(docs).collect():
+        text = texts[r["doc_id"]]
+        spans = sorted((text.index(w), kind, len(w)) for w, kind in ((secret, "assign"), (weak, "ident")) if linked or kind == "assign")
+        assert r["spans"] == ",".join(f"{kind}:{at}:{at + n}" for at, kind, n in spans)
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(docs).collect()}
+    assert all(("login" in t) != linked for t in clean.values())
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text(alphabet="aA1 =:\"'_😀passwordtokenAKIA0f9\n", max_size=120), min_size=1, max_size=12))
 def test_positions_of_any_text(spark, found):
