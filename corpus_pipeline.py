@@ -13,16 +13,12 @@ from tensorloom.plans.catalog import query, table
 
 ORACLE_SQL = None  # random projections, min-hashes and a genetic search have no SQL form
 
-#: least cosine of an accepted document with its language's profile; prose scores far above
-#: it even at a few words, texts without letters score 0
-LEAST_SCORE = 0.05
-
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; texts without letters are rejected."""
     model = langid.learn_prototypes(docs.where(~langid.held_out()))
     judged = langid.predict_language(docs.withColumnsRenamed({"lang_pred": "_lp", "score": "_s"}), model)
-    accepted = judged.where((F.col("lang_pred") != langid.NONE) & (F.col("score") >= LEAST_SCORE))
+    accepted = judged.where(F.col("lang_pred") != langid.NONE)
     return accepted.drop("lang_pred", "score").withColumnsRenamed({"_lp": "lang_pred", "_s": "score"})
 
 

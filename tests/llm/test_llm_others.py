@@ -270,6 +270,14 @@ def test_pipeline_stages(spark, sf):
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in mixed.collect()}
 
 
+def test_short_texts_with_letters_stay(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = ["Avec.", "A.", "A. All rights reserved.", "\u0436", "\u03be 1", "\u3105", "12 - 3", "", None]
+    extra = spark.createDataFrame([(10**9 + k, t, None) for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    named = corpus_pipeline.identify(spark, docs.select(*extra.columns).union(extra), sf)
+    assert {r["text"] for r in named.where(f"doc_id >= {10**9}").collect()} == set(texts[:6])
+
+
 def test_pipeline_of_nothing(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
