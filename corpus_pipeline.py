@@ -23,9 +23,20 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group linked by word 5-grams at 0.8 or more."""
-    gone = ngram_join.jaccard_join(docs.select("doc_id", "text")).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document, that of the least id, of each group linked by word 5-grams at 0.8 or more.
+
+    Rows that repeat, have no id or share one count as rows of their own: null ids come
+    last, rows of one id are chosen by a hash. Texts without words link with nothing and stay.
+    """
+    doubled = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 OR doc_id IS NULL")
+    if doubled.isEmpty():  # ids name rows
+        gone = ngram_join.jaccard_join(docs.select("doc_id", "text")).where("not kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    classed = ngram_join.jaccard_join(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "class_id")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("h"), "_row")
+    least = classed.join(rows.select("_row", rank.alias("_rank")), "_row").groupBy("class_id").agg(F.min("_rank").alias("_rank"))
+    return rows.join(least.select("_rank._row"), "_row", "left_semi").select(*docs.columns)
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

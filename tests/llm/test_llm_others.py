@@ -278,6 +278,16 @@ def test_short_texts_with_letters_stay(spark, sf):
     assert {r["text"] for r in named.where(f"doc_id >= {10**9}").collect()} == set(texts[:6])
 
 
+def test_one_row_of_each_group_stays(spark, sf):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    a, b, c, d = map(words, range(4))
+    rows = [(1, a), (1, a), (1, a), (2, a + " more"), (None, b), (None, b), (5, a + " end"), (5, c), (None, d), (7, d), (8, None), (8, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    kept = [tuple(r) for r in corpus_pipeline.deduplicate(spark, docs, sf).collect()]
+    want = [(1, a), (None, b), (5, c), (7, d), (8, None), (8, None), (None, "")]
+    assert sorted(kept, key=repr) == sorted(want, key=repr)
+
+
 def test_pipeline_of_nothing(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
