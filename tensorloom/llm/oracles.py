@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tensorloom.llm import chat, embedding_dedup, ngram_join, secrets, spotsigs
+from tensorloom.llm import chat, embedding_dedup, fill_middle, ngram_join, periodic_runs, secrets, spotsigs
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _BASE32 = f"""array_to_string([substr('{_LETTERS}', 1 + ((('0x' || substr(sha1(h), 5 * (k // 4) + 1, 5))::BIGINT
@@ -118,3 +118,42 @@ SELECT j.doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha25
   CASE WHEN na = 0 AND nx = 0 THEN 1.0 ELSE coalesce(bx.k, 0) / (na + nx - coalesce(bx.k, 0))::DOUBLE END::DOUBLE AS near_next,
   floor(ln(greatest(na, 1)::DOUBLE) / -ln(0.8::DOUBLE) + 1e-9::DOUBLE)::INTEGER AS size_class
 FROM j LEFT JOIN be ON be.doc_id = j.doc_id LEFT JOIN bx ON bx.doc_id = j.doc_id"""
+
+# CRC-32 bit by bit: each character and seven zeros, one shift for each of the eight
+_CRC32 = """xor(list_reduce(flatten([[ord(c), 0, 0, 0, 0, 0, 0, 0]::BIGINT[] for c in string_split(coalesce(doc_id::VARCHAR, ''), '') if c <> '']),
+  lambda s, x: xor(xor(s, x) >> 1, 3988292384 * (xor(s, x) & 1)), 4294967295), 4294967295)"""
+_LEAST = periodic_runs.LEAST
+_HALF = _LEAST // 2  # words q apart that are equal in a row, in any run
+
+RUNS = rf"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_CRC32}::BIGINT AS h FROM documents),
+g AS (SELECT *, len(w) AS n, h // 10 AS g FROM d),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a FROM g),
+e AS (SELECT doc_id, n, a, 1 + (n - a) // (3 + g % 8) AS p, w FROM a),
+x AS (SELECT doc_id, n, CASE WHEN a = n THEN w ELSE [w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] for i in range(n)] END AS w FROM e),
+k AS (SELECT doc_id, unnest(range(greatest(n - {_HALF - 1}, 0))) AS i, unnest([array_to_string(w[j + 1:j + {_HALF}], ' ')
+  for j in range(greatest(n - {_HALF - 1}, 0))]) AS s FROM x),
+m AS (SELECT u.doc_id, u.i, v.i - u.i AS q FROM k u JOIN k v ON u.doc_id = v.doc_id AND u.s = v.s AND u.i < v.i),
+c AS (SELECT doc_id, q, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island, i FROM m),
+f AS (SELECT doc_id, q, min(i) AS start, count(*) + {_HALF - 1} AS chain FROM c GROUP BY doc_id, q, island),
+r AS (SELECT doc_id, start, chain + q AS length, min(q) AS period FROM f WHERE chain >= q AND chain + q >= {_LEAST} GROUP BY 1, 2, 3),
+b AS (SELECT doc_id, count(*) AS n_runs, first(struct_pack(start, length, period) ORDER BY length DESC, start, period) AS best,
+  string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM r GROUP BY doc_id),
+z AS (SELECT doc_id, unnest(range(n)) AS i, unnest(w) AS word FROM x),
+o AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM z
+  WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = z.doc_id AND z.i >= r.start + r.period AND z.i < r.start + r.length) GROUP BY doc_id)
+SELECT x.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length, best.period::BIGINT AS period,
+  (1000 * best.length // best.period)::BIGINT AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM x LEFT JOIN b ON b.doc_id = x.doc_id LEFT JOIN o ON o.doc_id = x.doc_id"""
+
+_P, _S, _M = fill_middle.PREFIX, fill_middle.SUFFIX, fill_middle.MIDDLE
+MIDDLE = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{fill_middle.UNIT}') AS u, [('0x' || substr(s, 8 * k + 1, 8))::BIGINT for k in range(4)] AS h FROM d),
+n AS (SELECT *, len(u)::BIGINT AS n FROM w),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '{_P}') OR contains(text, '{_S}') OR contains(text, '{_M}') OR h[3] % 100 >= 90 THEN 'plain'
+    WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{_P}' || prefix || '{_S}' || suffix || '{_M}' || middle
+    ELSE '{_S}' || suffix || '{_P}' || prefix || '{_M}' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""

@@ -3,8 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
-from tensorloom.llm import chat, embedding_dedup, langid, mixing, ngram_join, oracles, packing, secrets, sharding, spotsigs, warc
+from pyspark.sql import functions as F
+
+from tensorloom.llm import (
+    chat,
+    collision_search,
+    embedding_dedup,
+    fill_middle,
+    langid,
+    mixing,
+    ngram_join,
+    oracles,
+    packing,
+    periodic_runs,
+    secrets,
+    sharding,
+    spotsigs,
+    warc,
+)
 from tensorloom.plans.catalog import query, table
 
 
@@ -60,3 +76,29 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_document_fingerprints", oracles.SPOTSIGS)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op11_periodic_runs", oracles.RUNS)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = periodic_runs.extend_periodically(table(spark, sf_dir, "documents"))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(texts))
+
+
+@query("op12_fill_in_middle", oracles.MIDDLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    restored = fill_middle.restore(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored, 256).alias("restored_sha256"),
+    )
+
+
+@query("op13_nearest_neighbours")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_search.nearest_neighbours(table(spark, sf_dir, "embeddings"))
