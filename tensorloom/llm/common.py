@@ -16,6 +16,23 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_BYTES = 128 << 20  # of the rows that may be sent to every executor, as they lie in memory there
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def small(narrow: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of a stored, narrow table may be broadcast: the sum of ``row_bytes`` is within ``limit``."""
+    size = row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)
+    return (narrow.agg(F.sum(size.cast("long")).alias("bytes")).first()["bytes"] or 0) <= limit
+
+
 def text_of(column: str | Column = "text") -> Column:
     """The text with null as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

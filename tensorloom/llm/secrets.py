@@ -17,7 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import stored, text_of
+from tensorloom.functions.arrays import bind
+from tensorloom.llm.common import BROADCAST_BYTES, small, stored, text_of, unused
 
 REACH = 200  # code points between complementary parts
 STRETCH = 256  # code points of one join cell
@@ -45,7 +46,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     empty list. Repeated rows each get the same result; other columns are ignored.
     """
     keyed = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("_text"))
-    found = stored(keyed.select("doc_id", _key().alias("_k"), _matches(F.col("_text")).alias("_m")), "secret-matches")
+    found = stored(keyed.select("doc_id", _key("doc_id", F.col("_text")).alias("_k"), _matches(F.col("_text")).alias("_m")), "secret-matches")
     listed = _listed(found, reach)
     all_spans = F.coalesce("_spans", F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int>>)"))
     out = found.select("doc_id", "_k").join(listed, "_k", "left").withColumn("_spans", all_spans)
@@ -60,37 +61,74 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def redact_secrets(docs: DataFrame, *, text_col: str = "text", mask: str = "[SECRET]", reach: int = REACH) -> DataFrame:
+def redact_secrets(
+    docs: DataFrame, *, text_col: str = "text", mask: str = "[SECRET]", reach: int = REACH, limit: int = BROADCAST_BYTES
+) -> DataFrame:
     """``docs`` with every reported span of the text replaced by ``mask``.
 
-    Touching or overlapping spans give one mask. All columns and rows stay; rows without
-    spans, null texts included, are unchanged.
+    Touching or overlapping spans give one mask. All columns and rows stay, whatever the
+    names of the other columns; rows without spans, null texts included, are unchanged.
+
+    Texts don't move: the masked stretches, narrow rows keyed by text, go to the documents
+    while they are within ``limit`` bytes. Beyond that only documents with some match are
+    shuffled, all others pass by.
     """
-    keyed = docs.withColumn("_text", text_of(text_col)).withColumn("_k", _key(None))
-    found = stored(keyed.select("_k", _matches(F.col("_text")).alias("_m")).where(F.size("_m") > 0), "secret-matches")
-    text = F.col("_text")
-    built = F.aggregate(
-        "_spans",
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, s: F.struct(
-            F.when(
-                (s["start"] > acc["at"]) | (acc["at"] == 0),
-                F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    clean = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(built)
-    return keyed.join(_listed(found, reach), "_k", "left").withColumn(text_col, clean).select(*docs.columns)
+    key, spans = unused(docs, "_k"), unused(docs, "_masked")
+    text = text_of(text_col)
+    found = docs.select(_key(None, text).alias("_k"), _matches(text).alias("_m")).where(F.size("_m") > 0)
+    masked = stored(_masked(stored(found, "secret-matches"), reach), "secret-masks").withColumnsRenamed({"_k": key, "_masked": spans})
+    if small(masked, F.lit(160) + 24 * F.size(spans), limit):
+        met = docs.withColumn(key, _key(None, text)).join(F.broadcast(masked), key, "left")
+        return met.withColumn(text_col, _without(text_col, spans, mask)).select(*docs.columns)
+    may = F.size(_matches(text)) > 0
+    met = docs.where(may).withColumn(key, _key(None, text)).join(masked, key, "left")
+    return met.withColumn(text_col, _without(text_col, spans, mask)).select(*docs.columns).unionAll(docs.where(~may))
+
+
+PIECE = 1024  # code points
+
 
+def _without(text_col: str, spans: str, mask: str) -> Column:
+    """The text with its masked stretches, which don't touch, replaced.
 
-def _key(id_col: str | None = "doc_id") -> Column:
+    It is cut once into pieces of fixed length, so that a place far inside is found at
+    once: the work is linear in the text, however many stretches it has.
+    """
+    zero = F.lit(0)
+
+    def rebuilt(pieces: Column, total: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            i, j = F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")
+            first = F.substring(F.get(pieces, i), a % PIECE + 1, F.lit(PIECE))
+            last = F.substring(F.get(pieces, j), F.lit(1), (b - 1) % PIECE + 1)
+            whole = F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, zero)), "")
+            alone = F.substring(F.get(pieces, i), a % PIECE + 1, b - a)
+            return F.when(b <= a, F.lit("")).when(i == j, alone).otherwise(F.concat(first, whole, last))
+
+        at = F.col(spans)
+        kept = F.transform(at, lambda s, k: F.concat(between(F.when(k > 0, F.get(at, k - 1)["end"]).otherwise(zero), s["start"]), F.lit(mask)))
+        return F.concat(F.array_join(kept, ""), between(F.get(at, F.size(at) - 1)["end"], total))
+
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{PIECE}}}+"), zero)
+    masked = bind(pieces, lambda p: rebuilt(p, F.length(text_col)))
+    return F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(masked)
+
+
+def _masked(found: DataFrame, reach: int) -> DataFrame:
+    """(_k, _masked): stretches under the reported spans, in order; those that touch are one."""
+    order = Window.partitionBy("_k").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce((F.col("start") > before).cast("int"), F.lit(1))
+    joined = _reported(found, reach).select("_k", "start", "end", fresh.alias("fresh"))
+    joined = joined.withColumn("nth", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    stretches = joined.groupBy("_k", "nth").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return stretches.groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_masked"))
+
+
+def _key(id_col: str | None, text: Column) -> Column:
     """A document's key: equal rows share it, and get the same spans."""
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("")) if id_col else F.lit("")
-    return F.md5(F.concat(name, F.lit(":"), F.col("_text")))
+    return F.md5(F.concat(name, F.lit(":"), text))
 
 
 def _matches(text: Column) -> Column:
@@ -128,10 +166,15 @@ def _parts(found: DataFrame) -> DataFrame:
     return placed.select("_k", "kind", (F.col("end") - F.col("len")).alias("start"), "end")
 
 
+def _reported(found: DataFrame, reach: int) -> DataFrame:
+    """Base spans and linked weak ones: (_k, kind, start, end)."""
+    parts = stored(_parts(found), "secret-parts")
+    return parts.where(F.col("kind").isin(BASE)).union(linked_parts(parts, reach))
+
+
 def _listed(found: DataFrame, reach: int) -> DataFrame:
     """Reported spans per document key, in order."""
-    parts = stored(_parts(found), "secret-parts")
-    reported = parts.where(F.col("kind").isin(BASE)).union(linked_parts(parts, reach))
+    reported = _reported(found, reach)
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     span = F.struct("start", rank.alias("rank"), "kind", "end")
     return reported.groupBy("_k").agg(F.sort_array(F.collect_list(span)).alias("_spans"))
