@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tensorloom.llm import langid, mixing, ngram_join, packing, secrets
-from tensorloom.llm.common import stored
+from tensorloom.llm.common import small, stored, unused
 from tensorloom.plans.catalog import query, table
 
 ORACLE_SQL = None  # random projections, min-hashes and a genetic search have no SQL form
@@ -17,9 +17,10 @@ ORACLE_SQL = None  # random projections, min-hashes and a genetic search have no
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; texts without letters are rejected."""
     model = langid.learn_prototypes(docs.where(~langid.held_out()))
-    judged = langid.predict_language(docs.withColumnsRenamed({"lang_pred": "_lp", "score": "_s"}), model)
-    accepted = judged.where(F.col("lang_pred") != langid.NONE)
-    return accepted.drop("lang_pred", "score").withColumnsRenamed({"_lp": "lang_pred", "_s": "score"})
+    own = {c: unused(docs, f"_{c}") for c in docs.columns if c.lower() in ("lang_pred", "score")}
+    judged = langid.predict_language(docs.withColumnsRenamed(own), model)
+    accepted = judged.where(F.col("lang_pred") != langid.NONE).drop("lang_pred", "score")
+    return accepted.withColumnsRenamed({hidden: c for c, hidden in own.items()})
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,16 +28,23 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat, have no id or share one count as rows of their own: null ids come
     last, rows of one id are chosen by a hash. Texts without words link with nothing and stay.
+    Texts stay where they are: the keys of dropped rows go to them, while that set is within
+    the bytes of a broadcast.
     """
-    doubled = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 OR doc_id IS NULL")
+    doubled = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL")
     if doubled.isEmpty():  # ids name rows
+        key, rows = "doc_id", docs
         gone = ngram_join.jaccard_join(docs.select("doc_id", "text")).where("not kept").select("doc_id")
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
-    classed = ngram_join.jaccard_join(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "class_id")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("h"), "_row")
-    least = classed.join(rows.select("_row", rank.alias("_rank")), "_row").groupBy("class_id").agg(F.min("_rank").alias("_rank"))
-    return rows.join(least.select("_rank._row"), "_row", "left_semi").select(*docs.columns)
+    else:
+        key = unused(docs, "_row")
+        rows = stored(docs.withColumn(key, F.monotonically_increasing_id()), "pipeline-rows")
+        classed = ngram_join.jaccard_join(rows.select(key, "text"), id_col=key).select(F.col("doc_id").alias("id"), "class_id")
+        ranks = rows.select(F.col(key).alias("id"), F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), key).alias("rank"))
+        least = classed.join(ranks, "id").groupBy("class_id").agg(F.min_by("id", "rank").alias("id"))
+        gone = classed.select("id").join(least.select("id"), "id", "left_anti").withColumnRenamed("id", key)
+    gone = stored(gone, "pipeline-gone")
+    gone = F.broadcast(gone) if small(gone, 64) else gone  # a long in a hashed relation
+    return rows.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
