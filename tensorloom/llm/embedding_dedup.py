@@ -25,6 +25,7 @@ from tensorloom.llm.common import components, stored
 
 TILE = 1024
 THRESHOLD = 0.98
+EXACT = 1024  # dimensions summed at once: 1024 * 127 * 127 < 2^24
 
 
 def dedup_embeddings(
@@ -41,7 +42,10 @@ def dedup_embeddings(
     Vectors link when their labels are equal and not null, their sizes are equal and their
     cosine in double precision is at least ``threshold``. Null or zero vectors and those
     with null or non-finite components link with nothing: no links, own component, kept.
-    Repeated rows count as other vectors with the same id. Other columns are ignored.
+    Repeated rows count as other vectors with the same id, and so do different vectors under
+    one id: their links and components are their own. A row without an id counts as a vector
+    like any other, but names no component: ``component_id`` is the least id there is in it,
+    null if none; of a component without ids all rows are kept. Other columns are ignored.
     """
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
     real = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
@@ -53,27 +57,34 @@ def dedup_embeddings(
     )
     rows = rows.withColumn("_ok", F.coalesce(usable, F.lit(False)))
     # one representative per distinct vector of a label
-    groups = rows.where("_ok").groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    groups = stored(groups.withColumn("key", F.xxhash64(F.lit(1), "label", "vector")), "vec-groups")
+    # a vertex is a vector of a label, named by two hashes of 64 bits
+    name = F.concat(*[F.hex(F.xxhash64(F.lit(s), "label", "vector")) for s in (1, 2)])
+    rows = rows.withColumn("key", F.when(F.col("_ok"), name))
+    groups = rows.where("_ok").groupBy("key").agg(
+        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector")
+    )
+    groups = stored(groups, "vec-groups")
     found = stored(_tile_pairs(groups, threshold, tile), "vec-links")
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
     roots = components(found.where("a <> root").select(F.col("a").alias("u"), F.col("root").alias("v")))
+    # the root of a component is its least key; its name is the least id below it
+    least = roots.join(groups.select("key", "rep"), F.col("id") == F.col("key")).groupBy("root").agg(F.min("rep").alias("named"))
     told = (
-        groups.join(links, F.col("rep") == F.col("a"), "left")
-        .join(roots, F.col("rep") == F.col("id"), "left")
+        groups.select("key", "rep", "n")
+        .join(links, F.col("key") == F.col("a"), "left")
+        .join(roots.join(least, "root"), F.col("key") == F.col("id"), "left")
         .select(
-            F.col("label").alias("label2"),
-            F.col("vector").alias("vector2"),
+            F.col("key").alias("key2"),
             (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"),
-            F.coalesce("root", "rep").alias("component_id"),
+            F.coalesce("named", "rep").alias("component_id"),
         )
     )
-    linked = rows.where("_ok").join(told, (F.col("label") == F.col("label2")) & (F.col("vector") == F.col("vector2")))
+    linked = rows.where("_ok").select("vec_id", "key").join(told, F.col("key") == F.col("key2"))
     rest = rows.where("not _ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return (
         linked.select("vec_id", "n_links", "component_id")
         .union(rest)
-        .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+        .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
     )
 
 
@@ -81,7 +92,7 @@ def _tile_pairs(groups: DataFrame, threshold: float, tile: int) -> DataFrame:
     """(a, links, root): link counts per vector and pair of tiles, and its root in their forest."""
     sized = groups.withColumn("dim", F.size("vector"))
     counts = sized.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("tiles"))
-    dealt = sized.join(counts, ["label", "dim"]).withColumn("t", F.pmod("key", F.col("tiles")).cast("int"))
+    dealt = sized.join(counts, ["label", "dim"]).withColumn("t", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
     # each tile goes to the pairs (i <= j) it is part of
     spread = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "label",
@@ -89,22 +100,22 @@ def _tile_pairs(groups: DataFrame, threshold: float, tile: int) -> DataFrame:
         F.least("t", "o").alias("i"),
         F.greatest("t", "o").alias("j"),
         "t",
-        "rep",
+        "key",
         "n",
         "vector",
     )
-    shape = "a long, links long, root long"
+    shape = "a string, links long, root string"
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches):
-            reps, side = group.column(5).to_numpy(), group.column(4).to_numpy()
+            keys, side = group.column(5).to_pylist(), group.column(4).to_numpy()
             n = group.column(6).to_numpy()
             x = np.stack([np.asarray(v.values, dtype=np.float64) for v in group.column(7)])
             i, j = group.column(2)[0].as_py(), group.column(3)[0].as_py()
             a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
-            yield from _links(reps, n, x, a, b, i == j, threshold)
+            yield from _links(keys, n, x, a, b, i == j, threshold)
 
-    placed = spread.repartition("label", "dim", "i", "j").sortWithinPartitions("label", "dim", "i", "j", "rep")
+    placed = spread.repartition("label", "dim", "i", "j").sortWithinPartitions("label", "dim", "i", "j", "key")
     return placed.mapInArrow(compare, shape)
 
 
@@ -130,7 +141,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(integers in float32, scale, length of the error) of unit rows; products of the integers are exact."""
+    """(integers in float32, scale, length of the error) of unit rows."""
     scale = np.abs(unit).max(axis=1) / 127.0
     q = np.rint(unit / scale[:, None])
     error = np.linalg.norm(unit - q * scale[:, None], axis=1)
@@ -140,13 +151,18 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def possible_pairs(qa, qb, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs whose cosine may reach the threshold."""
     (a, sa, ea), (b, sb, eb) = qa, qb
-    product = (a @ b.T) * (sa[:, None] * sb[None, :]).astype(np.float32)
-    # slack of the float32 scaling on top of the quantisation bound
+    # sums of EXACT products of integers up to 127 stay below 2^24, so float32 holds them exactly
+    whole = sum(
+        (a[:, k : k + EXACT] @ b[:, k : k + EXACT].T).astype(np.float64 if a.shape[1] > EXACT else np.float32)
+        for k in range(0, a.shape[1], EXACT)
+    )
+    product = (whole * (sa[:, None] * sb[None, :])).astype(np.float32)
+    # slack of the scaling in float32 on top of the quantisation bound
     bound = ((1 + ea)[:, None] * eb[None, :] + ea[:, None] + 1e-6).astype(np.float32)
     return np.nonzero(product + bound >= threshold)
 
 
-def _links(reps, n, x, a, b, same: bool, threshold: float) -> Iterator[pa.RecordBatch]:
+def _links(keys, n, x, a, b, same: bool, threshold: float) -> Iterator[pa.RecordBatch]:
     norm = np.sqrt((x * x).sum(axis=1))
     safe = np.where((norm > 0) & np.isfinite(norm), norm, 1.0)
     big = np.abs(x).max(axis=1)
@@ -189,8 +205,8 @@ def _links(reps, n, x, a, b, same: bool, threshold: float) -> Iterator[pa.Record
                         parent[max(p, o)] = min(p, o)
     linked = np.flatnonzero(total)
     if len(linked):
-        least: dict[int, int] = {}
-        for k in linked.tolist():
-            least[root(k)] = min(least.get(root(k), reps[k]), reps[k])
-        roots = np.array([least[root(k)] for k in linked.tolist()], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(reps[linked]), pa.array(total[linked]), pa.array(roots)], ["a", "links", "root"])
+        own = [keys[k] for k in linked.tolist()]
+        roots = [keys[root(k)] for k in linked.tolist()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(own, pa.string()), pa.array(total[linked]), pa.array(roots, pa.string())], ["a", "links", "root"]
+        )
