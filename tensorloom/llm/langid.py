@@ -9,6 +9,7 @@ whose prototype has the largest cosine with it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +26,22 @@ KEPT = 20_000  # n-gram vectors a worker keeps
 MASK = (1 << 16) - 1
 
 
+@cache
+def letter_numbers() -> np.ndarray:
+    """A number from 1 to 65535 for every letter there is, 0 for other characters.
+
+    Letters of the higher planes share the numbers of others.
+    """
+    numbers = [min(((c - 1) & MASK) + 1, MASK) if chr(c).isalpha() else 0 for c in range(0x110000)]
+    return np.array(numbers, np.uint16)
+
+
 class Grams:
     """n-grams of letters as integers, and their bound vectors."""
 
     def __init__(self, size: int = SIZE, gram: int = GRAM, seed: int = 11):
         self.size, self.gram, self.seed = size, gram, seed
-        table = np.zeros(0x110000, np.uint16)
-        table[: 0x30000] = [((c - 1) & MASK) + 1 if (c & MASK) and chr(c).isalpha() else 0 for c in range(0x30000)]
-        self.table = table
+        self.table = letter_numbers()
         self.letters: dict[int, np.ndarray] = {}
         self.vectors: dict[int, np.ndarray] = {}
 
