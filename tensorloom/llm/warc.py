@@ -102,14 +102,20 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def inflate(raw: BinaryIO) -> Iterator[bytes]:
-    """Inflated chunks of a gzip file, of bounded size, whatever the number of its members."""
-    stream = zlib.decompressobj(31)
+    """Inflated chunks of a gzip file, of bounded size, whatever the number of its members.
+
+    A file that ends within a member, its checksum included, is an error.
+    """
+    stream, within = zlib.decompressobj(31), False
     while chunk := raw.read(CHUNK):
         while chunk:
+            within = True
             yield stream.decompress(chunk, CHUNK)
             chunk = stream.unconsumed_tail
             if stream.eof:
-                chunk, stream = stream.unused_data, zlib.decompressobj(31)
+                chunk, stream, within = stream.unused_data, zlib.decompressobj(31), False
+    if within:
+        raise ValueError("archive ends within a gzip member")
 
 
 def records(chunks: Iterator[bytes]) -> Iterator[bytes]:
