@@ -55,17 +55,19 @@ def mix_documents(
     source_col: str = "source",
     lang_col: str = "lang",
 ) -> DataFrame:
-    """Rows (doc_id, source, lang, topic, tokens, weight, prob, kept), one per row of ``docs``.
+    """Rows (doc_id, source, lang, topic, tokens, weight, prob, kept, margin_error), one per row of ``docs``.
 
     ``weight`` is the raked weight of the document's tokens relative to their count,
     ``prob`` its probability of being drawn, ``kept`` the draw, made from a hash of the id.
     Null sources and languages are the category ''; null texts are empty. Texts without
     tokens have weight and probability of their cell, 0 if no text of it has tokens.
-    Repeated rows are drawn alike. An empty table gives no rows.
+    Repeated rows are drawn alike. ``margin_error`` is how far, relatively, the worst margin of the
+    fit is from its target: above ``CLOSE`` the rounds ended before the targets were met, or
+    they can't be met together. An empty table gives no rows.
     """
     rows = stored(_described(docs, id_col, text_col, source_col, lang_col), "mix-rows")
     model = fit_mixture(rows, budget=budget, temper=temper)
-    return _drawn(rows, model, seed).select("doc_id", "source", "lang", "topic", "tokens", "weight", "prob", "kept")
+    return _drawn(rows, model, seed).select("doc_id", "source", "lang", "topic", "tokens", "weight", "prob", "kept", F.lit(model["error"]).alias("margin_error"))
 
 
 def sample_mixture(docs: DataFrame, *, budget: float = BUDGET, temper: float = TEMPER, seed: int = SEED, id_col="doc_id", text_col="text", source_col="source", lang_col="lang") -> DataFrame:
@@ -115,11 +117,12 @@ def _tempered(totals: dict[str, float], temper: float) -> dict[str, float]:
 
 
 def fit_mixture(rows: DataFrame, *, budget: float = BUDGET, temper: float = TEMPER, rounds: int = ROUNDS) -> dict:
-    """Raked factors: {"sources": DataFrame(source, a), "langs", "topics": dicts, "scale": tokens -> probability}.
+    """Raked factors: {"sources": DataFrame(source, a), "langs", "topics": dicts, "scale": tokens -> probability, "error"}.
 
     ``rows`` has (source, lang, topic, tokens). Targets are the token shares of each margin
     to the power ``temper``. ``scale`` makes the expected tokens drawn ``budget`` times all
-    tokens, probabilities capped at one.
+    tokens, probabilities capped at one. ``error`` is the largest relative error of a margin in
+    the last round: not above ``CLOSE`` when the fit converged before ``rounds`` ran out.
     """
     cells = rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
     cell = F.struct("lang", "topic", "tokens")
@@ -139,6 +142,7 @@ def fit_mixture(rows: DataFrame, *, budget: float = BUDGET, temper: float = TEMP
     want_lang = _tempered({k: sum(v for x, v in plain.items() if x[0] == k) for k in langs}, temper)
     want_topic = _tempered({k: sum(v for x, v in plain.items() if x[1] == k) for k in topics}, temper)
     b, c = dict.fromkeys(langs, 1.0), dict.fromkeys(topics, 1.0)
+    ratio = 1.0
 
     def source_factor() -> Column:
         reached = F.aggregate("cells", F.lit(0.0), lambda s, x: s + x["tokens"] * _factor(b, x["lang"]) * _factor(c, x["topic"]))
@@ -157,7 +161,7 @@ def fit_mixture(rows: DataFrame, *, budget: float = BUDGET, temper: float = TEMP
         if ratio - 1 < CLOSE:
             break
     fitted = stored(sources.select("source", source_factor().alias("a"), "cells"), "mix-factors")
-    return {"sources": fitted.select("source", "a"), "langs": b, "topics": c, "scale": _scale(fitted, b, c, budget * tokens)}
+    return {"sources": fitted.select("source", "a"), "langs": b, "topics": c, "scale": _scale(fitted, b, c, budget * tokens), "error": ratio - 1}
 
 
 def _scale(fitted: DataFrame, b: dict, c: dict, wanted: float) -> float:
