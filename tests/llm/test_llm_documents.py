@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tensorloom.llm import langid, mixing, ngram_join, packing, queries, secrets, sharding, spotsigs
 
@@ -224,6 +225,33 @@ def test_secret_awkward(awkward, empty):
     assert clean.where("doc_id = 1").first()["text"] is None
 
 
+def clash(frame, *names):
+    return frame.withColumns({c: F.lit("mine") for c in names})
+
+
+@pytest.mark.parametrize("limit", [secrets.BROADCAST_BYTES, 0])
+def test_masking_keeps_other_columns_and_moves_no_clean_text(spark, limit):
+    """Many spans, touching ones, spans at both ends, pieces of other planes, repeated rows; both ways to the texts."""
+    many = "".join(f"\U0001f600x{k} password=hunter{k:05d} " for k in range(3000))
+    texts = ["", None, "clean", "token=abcdef", "a token=abcdef", "token=abcdef b", "AKIA" + "A" * 16 + "-" + "f" * 24, many, many, "\n" * 5000 + "token: secret77"]
+    docs = clash(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "_text", "_k", "_masked", "_m", "start")
+    clean = secrets.redact_secrets(docs, limit=limit)
+    assert clean.columns == docs.columns
+    rows = sorted(clean.collect())
+    assert all(list(r[2:]) == ["mine"] * 5 for r in rows)
+    spans = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(docs).collect()}
+    for r, text in zip(rows, texts, strict=True):
+        out, at = "", 0
+        for _, a, b in (s.split(":") for s in spans[r["doc_id"]].split(",") if s):
+            if int(a) > at or not out:
+                out += (text or "")[at : int(a)] + "[SECRET]"
+            at = max(at, int(b))
+        assert r["text"] == (None if text is None else out + text[at:])
+    plan = clean._jdf.queryExecution().executedPlan().toString()
+    assert ("Union" in plan) == (limit == 0) and ("BroadcastHashJoin" in plan or limit == 0)
+    assert secrets.redact_secrets(docs.where("false"), limit=limit).count() == 0
+
+
 # ---- 3 packing -------------------------------------------------------------------
 
 
@@ -406,6 +434,13 @@ def test_prediction_is_the_cosine_of_plain_bundles(spark):
     assert out["lang_pred"] == "de" and out["score"] == pytest.approx(v @ p / np.linalg.norm(v) / np.linalg.norm(p))
 
 
+def test_letters_of_all_planes(spark):
+    texts = ["\U00010000\U00010000", "\U00020000", "\U00030000\U000313ff", "\U0001f600", "\U0001d400x"]
+    docs = spark.createDataFrame([(k, t, "xx") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    out = langid.predict_language(docs, langid.learn_prototypes(docs)).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in out] == ["xx", "xx", "xx", "und", "xx"]
+
+
 def test_language_awkward(awkward, empty):
     rows = {r["doc_id"]: r for r in langid.identify_languages(awkward).collect()}
     assert [rows[k]["lang_pred"] for k in (1, 2, 7)] == ["und"] * 3
@@ -455,6 +490,15 @@ def test_mixing_query(spark, sf, texts):
         assert r["kept"] == ((word + 0.5) / 2**32 < r["prob"])
 
 
+def test_targets_that_cannot_be_met_are_told(spark):
+    """Each source has one language only, so source and language margins with other targets contradict each other."""
+    rows = [("a", "en", "prose", 1000), ("b", "de", "prose", 10), ("c", "de", "prose", 10)]
+    frame = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    assert mixing.fit_mixture(frame, temper=0.3)["error"] > mixing.CLOSE
+    assert mixing.fit_mixture(frame, temper=1.0)["error"] <= mixing.CLOSE
+    assert mixing.fit_mixture(frame.where("false"))["error"] == 0
+
+
 def test_mixing_awkward(awkward, empty):
     rows = mixing.mix_documents(awkward).collect()
     assert sorted(r["doc_id"] for r in rows) == sorted(r[0] for r in AWKWARD)

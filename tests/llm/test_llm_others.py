@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import json
 import zlib
 from pathlib import Path
@@ -13,6 +14,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tensorloom.llm import chat, common, embedding_dedup, queries, warc
@@ -79,6 +81,33 @@ def test_dedup_of_planted_vectors(spark, tile):
     assert embedding_dedup.dedup_embeddings(frame.where("false")).count() == 0
 
 
+def test_dedup_without_ids_and_of_one_id(spark):
+    """Null ids are vertices like others; two vectors under one id have their own links."""
+    e = np.eye(6).tolist()
+    rows = [(1, e[0], 1), (1, e[1], 1), (2, e[0], 1), (3, e[1], 1), (4, e[2], 1), (4, e[2], 1), (None, e[0], 1), (None, e[3], 1), (None, e[3], 1)]
+    rows += [(None, e[4], 1), (None, [1.0, 1e-3, 0.0, 0.0, 0.0, 0.0], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    out = sorted((tuple(r) for r in embedding_dedup.dedup_embeddings(frame).collect()), key=repr)
+    want = [(1, 3, 1, True), (1, 1, 1, True), (2, 3, 1, False), (3, 1, 1, False), (4, 1, 4, True), (4, 1, 4, True)]
+    want += [(None, 3, 1, False), (None, 3, 1, False), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True)]
+    assert out == sorted(want, key=repr)
+
+
+def test_the_bound_holds_for_wide_vectors():
+    """4,096 dimensions of components near the scale: sums of products far above 2^24."""
+    rng = np.random.default_rng(7)
+    base = np.sign(rng.normal(size=4096))
+    x = base * (1 - rng.random((40, 4096)) * rng.random((40, 1)) * 0.6)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    q = embedding_dedup.quantise(unit)
+    for threshold in (0.9, 0.98, 0.999):
+        found = set(zip(*embedding_dedup.possible_pairs(q, q, threshold), strict=True))
+        near = set(zip(*np.nonzero(unit @ unit.T >= threshold), strict=True))
+        assert near <= found and (threshold < 0.99 or len(found) < 1600)
+    a = q[0][:, : embedding_dedup.EXACT]
+    assert (a @ a.T == (a.astype(np.int64) @ a.T.astype(np.int64))).all()
+
+
 def test_dedup_query(spark, sf):
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert sorted(map(tuple, queries.op5(spark, sf).collect())) == vector_links(rows)
@@ -113,6 +142,15 @@ def archive_rows(rows, least=0):
     return sorted(out, key=str)
 
 
+def test_an_archive_cut_within_its_checksum_is_an_error():
+    whole = gzip.compress(b"one") + gzip.compress(b"two")
+    assert b"".join(warc.inflate(io.BytesIO(whole))) == b"onetwo"
+    for size in (len(whole) - 1, len(whole) - 8, len(whole) - 12):
+        with pytest.raises(ValueError):
+            list(warc.inflate(io.BytesIO(whole[:size])))
+    assert b"".join(warc.inflate(io.BytesIO(b""))) == b""
+
+
 def test_archive_query(spark, sf):
     rows = [(r["page_id"], r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     assert sorted(map(tuple, queries.op7(spark, sf).collect()), key=str) == archive_rows(rows)
@@ -278,6 +316,19 @@ def test_short_texts_with_letters_stay(spark, sf):
     assert {r["text"] for r in named.where(f"doc_id >= {10**9}").collect()} == set(texts[:6])
 
 
+def test_stages_keep_columns_of_any_name(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    names = ("_text", "_k", "_row", "_lp", "_s", "lang_pred", "score", "id", "rank", "class_id", "_masked", "a", "n")
+    docs = common.stored(docs.withColumns({c: F.concat(F.lit(f"{c}-"), "doc_id") for c in names}), "t")
+    for doubled in (docs, docs.union(docs)):  # ids name rows, or not
+        now = doubled
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = common.stored(stage(spark, now, sf), "t")
+            assert now.columns == docs.columns, name
+            assert now.where(" OR ".join(f"`{c}` <> concat('{c}-', doc_id)" for c in names)).count() == 0, name
+        assert now.count() > 0
+
+
 def test_one_row_of_each_group_stays(spark, sf):
     words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
     a, b, c, d = map(words, range(4))
