@@ -245,7 +245,7 @@ def down(spec: MapperSpec, planes: np.ndarray) -> np.ndarray:
 def gradient_step(
     rows: DataFrame, spec: MapperSpec, params: Params, step: int, seed: int = 42, beta: float = BETA, batch_size: int = 32
 ) -> tuple[np.ndarray, float, float, int]:
-    """Mean gradient (flat), mean MSE, mean KL and row count over all given rows."""
+    """Mean gradient (flat), mean MSE, mean KL and row count over all given rows, in one job."""
     sc = rows.sparkSession.sparkContext
     shared = sc.broadcast(params)  # size: param_count(spec) doubles
     n_tokens, side = spec.grid * spec.grid, 2 * spec.grid
@@ -318,6 +318,8 @@ def fit_gradient(
     start_epoch: int = 0,
     cache: StorageLevel | None = None,
     batches: Callable[[int], DataFrame] | None = None,
+    barrier: bool = False,
+    sampled: bool = True,
     on_epoch: Callable[[int, Params, AdamW, float], None] | None = None,
 ) -> tuple[Params, list[tuple[int, int, int, float, float, float, float]]]:
     """Synchronous data-parallel AdamW on mse + beta * kl; linear and MLP mappers.
@@ -327,10 +329,18 @@ def fit_gradient(
     reads only its own shards (rows without a shard_id are dealt one by one). State
     between steps is the flat parameter vector, never a growing plan. ``batches`` deals rows
     by position instead: for an epoch it gives (shard_id, offset, batch_id), and a step reads
-    the rows of its batch, found by constant filters. ``cache`` keeps
+    the rows of its batch, found by constant filters. With ``barrier`` such an epoch is one job
+    of barrier tasks that exchange gradients after each batch (see ``epochs``): it takes the
+    same steps without planning and collecting for each. Its tasks must all run at once, which
+    dynamic allocation doesn't allow. ``sampled=False`` takes the predicted means for latents,
+    in epochs of barrier tasks. ``cache`` keeps
     the rows between steps; leave it out when the store exceeds the cluster's storage.
     Returns parameters and a log of (epoch, batch, global step, loss, mse, kl, lr).
     """
+    from tensorloom.operators.epochs import Learner, dealt_rows, run_epoch  # they build on this module
+
+    if not sampled and not barrier:
+        raise ValueError("steps of single jobs sample their latents")
     params = params or init_weights(spec, seed)
     optimizer = optimizer or AdamW(sum(a.size for a in params.values()))
     deal_by = "shard_id" if "shard_id" in store.columns else "item_id"
@@ -342,23 +352,40 @@ def fit_gradient(
     try:
         for epoch in range(start_epoch, epochs):
             losses, seen = 0.0, 0
+            first, total = epoch * steps_per_epoch, epochs * steps_per_epoch
             dealt = batches(epoch) if batches is not None else None
-            for batch in range(steps_per_epoch):
-                step = epoch * steps_per_epoch + batch
-                part = rows
-                if dealt is not None:
-                    part = rows.where(_at_places(dealt.where(F.col("batch_id") == batch)))
-                elif steps_per_epoch > 1:
-                    lane = F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), F.col(deal_by)), F.lit(steps_per_epoch))
-                    part = rows.where(lane == batch)
-                grad, mse_mean, kl_mean, n = gradient_step(part, spec, params, step, seed, beta)
-                if n == 0:
-                    continue
-                rate = lr_at(step, lr, epochs * steps_per_epoch, warmup_steps)
-                params = from_vector(spec, optimizer.update(to_vector(params), grad, rate))
-                loss = mse_mean + beta * kl_mean
-                losses, seen = losses + loss * n, seen + n
-                log.append((epoch, batch, step + 1, loss, mse_mean, kl_mean, rate))
+            if dealt is not None and barrier:
+                counts = dict(dealt.groupBy("batch_id").agg(F.count(F.lit(1))).collect())  # one row per step
+                rates = [lr_at(first + k, lr, total, warmup_steps) for k in range(steps_per_epoch)]
+                (learner,), (steps,) = run_epoch(
+                    dealt_rows(rows, dealt),
+                    [Learner.of(spec, params, optimizer)],
+                    rates,
+                    first_step=first,
+                    seed=seed,
+                    beta=beta,
+                    sampled=sampled,
+                )
+                params, optimizer = learner.params, learner.optimizer
+                for step, loss, *rest in steps:
+                    losses, seen = losses + loss * counts[step], seen + counts[step]
+                    log.append((epoch, step, first + step + 1, loss, *rest))
+            else:
+                for batch in range(steps_per_epoch):
+                    part = rows
+                    if dealt is not None:
+                        part = rows.where(_at_places(dealt.where(F.col("batch_id") == batch)))
+                    elif steps_per_epoch > 1:
+                        lane = F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), F.col(deal_by)), F.lit(steps_per_epoch))
+                        part = rows.where(lane == batch)
+                    grad, mse_mean, kl_mean, n = gradient_step(part, spec, params, first + batch, seed, beta)
+                    if n == 0:
+                        continue
+                    rate = lr_at(first + batch, lr, total, warmup_steps)
+                    params = from_vector(spec, optimizer.update(to_vector(params), grad, rate))
+                    loss = mse_mean + beta * kl_mean
+                    losses, seen = losses + loss * n, seen + n
+                    log.append((epoch, batch, first + batch + 1, loss, mse_mean, kl_mean, rate))
             if on_epoch is not None and seen:
                 on_epoch(epoch + 1, params, optimizer, losses / seen)
     finally:
@@ -382,12 +409,36 @@ STEP_LOG_SCHEMA = "epoch int, batch int, step int, loss double, mse double, kl d
 
 
 def fit_compare(
-    store: DataFrame, specs: dict[str, MapperSpec], *, steps: int = 20, lr: float = 1e-3, seed: int = 42, beta: float = BETA
+    store: DataFrame,
+    specs: dict[str, MapperSpec],
+    *,
+    steps: int = 20,
+    lr: float = 1e-3,
+    seed: int = 42,
+    beta: float = BETA,
+    params: dict[str, Params] | None = None,
+    sampled: bool = True,
 ) -> DataFrame:
-    """First and last loss of each spec after ``steps`` updates on the same rows."""
-    rows = []
-    for name, spec in specs.items():
-        _, log = fit_gradient(store, spec, epochs=steps, lr=lr, beta=beta, seed=seed, cache=StorageLevel.MEMORY_AND_DISK)
-        rows += [(name, "before", log[0][3]), (name, "after", log[-1][3])]
-    table = store.sparkSession.createDataFrame(rows, "mapper string, moment string, loss double")
-    return table.groupBy("mapper").pivot("moment", ["before", "after"]).agg(F.first("loss"))
+    """First and last loss of each spec after ``steps`` updates on the same rows.
+
+    All specs learn in the same pass: a step is one job and one scan, whatever their number.
+    ``params`` gives initial weights by name.
+    """
+    from tensorloom.operators.epochs import BATCH, Learner, placed_rows, run_epoch  # they build on this module
+
+    learners = [Learner.of(spec, (params or {}).get(name) or init_weights(spec, seed)) for name, spec in specs.items()]
+    needed = store.select("item_id", "tokens", "gt_mean", "gt_logvar", F.lit(0).alias(BATCH))
+    rows = placed_rows(needed, learners).persist(StorageLevel.MEMORY_AND_DISK)
+    before = after = [None] * len(learners)
+    try:
+        for step in range(steps):
+            rates = [lr_at(step, lr, steps, 0)]
+            learners, logs = run_epoch(
+                rows, learners, rates, first_step=step, seed=seed, beta=beta, sampled=sampled, placed=True
+            )
+            after = [log[0][1] if log else None for log in logs]
+            before = after if step == 0 else before
+    finally:
+        rows.unpersist()
+    told = list(zip(specs, before, after, strict=True))
+    return store.sparkSession.createDataFrame(told, "mapper string, before double, after double")

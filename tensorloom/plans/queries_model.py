@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from tensorloom.functions.arrays import total
 from tensorloom.functions.ranking import order_rank
-from tensorloom.operators import fit, latent, loss, registry
+from tensorloom.operators import epochs, fit, latent, loss, registry
 from tensorloom.operators.mappers import MapperSpec, Params, create_mapper, init_weights, score, score_losses, weights_table
 from tensorloom.operators.split import assign_batches, uniform_shuffle
-from tensorloom.plans.catalog import h32, query, table, unnest_sql
-from tensorloom.plans.forward_sql import formula_params, score_sql
+from tensorloom.plans.catalog import h32, half_sql, query, table, unnest_sql
+from tensorloom.plans.forward_sql import formula_params, score_sql, training_sql
 from tensorloom.plans.queries_store import DIM, GRID, store_path
-from tensorloom.sources.store import read_store
+from tensorloom.sources.store import read_keys, read_store
 
 E = unnest_sql("embeddings", "vec_id", "embedding")
 SMALL = {"dim": DIM, "latent": DIM, "grid": GRID, "width": 8, "heads": 2, "layers": 2, "blocks": 2}
@@ -338,18 +338,81 @@ def e12_fit_linear(spark: SparkSession, sf: str) -> DataFrame:
     return result.select("shard_id", "n_rows", F.round("mse", 6).alias("mse"))
 
 
-@query("e13_fit_gradient")
+TRAINED = {"dim": DIM, "latent": DIM, "grid": GRID, "width": 6, "layers": 1, "norm": False}
+STEPS, BASE_RATE = 3, 0.02
+
+
+def rate_sql(base: float, steps: int) -> str:
+    """The schedule without warm-up, of the zero-based step."""
+    return f"{base}::DOUBLE * (0.1::DOUBLE + 0.9::DOUBLE * 0.5 * (1 + cos(3.14159::DOUBLE * ({{step}} / {steps}.0::DOUBLE))))"
+
+
+# the store's rows: rounded tokens and targets; log-variances are missing, so zero, for the older labels
+TRUTH = f"""tk AS (SELECT vec_id, i, {half_sql("v")} AS v FROM ({E})),
+truth AS (SELECT u.vec_id, i // 64 AS c, (i // 8) % 8 AS y, i % 8 AS x, {half_sql("v")} AS mean,
+  CASE WHEN label >= 3 THEN {half_sql("abs(v) - 1")} ELSE 0.0::DOUBLE END AS logvar
+  FROM up u JOIN (SELECT vec_id AS own, label FROM embeddings) l ON own = u.vec_id)"""
+
+
+def trained(name: str, batches: str, tag: str, steps: int = STEPS) -> str:
+    spec = create_mapper(name, **TRAINED)
+    return training_sql(spec, "SELECT * FROM tk", "", "truth", batches, steps, rate_sql(BASE_RATE, steps), loss.BETA, tag)
+
+
+@query(
+    "e13_fit_gradient",
+    f"""WITH {UP_SQL}, {TRUTH}, p AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS g, count(*) OVER () AS n FROM embeddings),
+dealt AS (SELECT vec_id, floor(g / ceil(n / {STEPS}.0::DOUBLE))::INTEGER AS batch FROM p), {trained("mlp", "dealt", "t")}
+SELECT 0::INTEGER AS epoch, step::INTEGER AS batch, (step + 1)::INTEGER AS step, round(loss, 5) AS loss, round(mse, 5) AS mse, round(kl, 5) AS kl,
+  round({rate_sql(BASE_RATE, STEPS).format(step="step")}, 9) AS lr FROM t_log""",
+)
 def e13_fit_gradient(spark: SparkSession, sf: str) -> DataFrame:
-    """Step log of a short MLP fit over the whole store."""
+    """Step log of an epoch over the whole store, one job of barrier tasks: an MLP from weights
+    given by a formula, batches of consecutive rows."""
     rows = read_store(spark, store_path(spark, sf))
-    _, log = fit.fit_gradient(rows, small("mlp"), epochs=2, steps_per_epoch=2, lr=0.01)
-    return spark.createDataFrame(log, fit.STEP_LOG_SCHEMA)
+    keys = read_keys(spark, store_path(spark, sf))
+    size = F.ceil(F.lit(keys.count()) / F.lit(float(STEPS)))
+    places = keys.select("shard_id", "offset", F.floor(F.col("global_idx") / size).cast("int").alias("batch_id"))
+    spec = create_mapper("mlp", **TRAINED)
+    _, log = fit.fit_gradient(
+        rows, spec, epochs=1, steps_per_epoch=STEPS, lr=BASE_RATE, params=formula_params(spec), batches=lambda _: places, barrier=True, sampled=False
+    )
+    digits = {c: F.round(c, 5) for c in ("loss", "mse", "kl")} | {"lr": F.round("lr", 9)}
+    return spark.createDataFrame(log, fit.STEP_LOG_SCHEMA).withColumns(digits)
+
+
+@query(
+    "e13_linear_step",
+    f"""WITH {UP_SQL}, {TRUTH}, dealt AS (SELECT vec_id, unnest(range(2)) AS batch FROM embeddings), {trained("linear", "dealt", "t", 2)}
+SELECT step::INTEGER AS step, round(loss, 5) AS loss, round(mse, 5) AS mse, round(kl, 5) AS kl FROM t_log""",
+)
+def e13_linear_step(spark: SparkSession, sf: str) -> DataFrame:
+    """Loss of the linear mapper over the whole store before and after one full-batch step."""
+    rows = read_store(spark, store_path(spark, sf)).withColumn(epochs.BATCH, F.lit(0))
+    spec = create_mapper("linear", **TRAINED)
+    learners, logs = [epochs.Learner.of(spec, formula_params(spec))], []
+    for step in range(2):
+        rate = fit.lr_at(step, BASE_RATE, 2, 0)
+        learners, (log,) = epochs.run_epoch(rows, learners, [rate], first_step=step, sampled=False)
+        logs += [(step, *map(float, r[1:4])) for r in log]
+    told = spark.createDataFrame(logs, "step int, loss double, mse double, kl double")
+    return told.withColumns({c: F.round(c, 5) for c in ("loss", "mse", "kl")})
 
 
-@query("e17_fit_compare")
+@query(
+    "e17_fit_compare",
+    f"""WITH {UP_SQL}, {TRUTH}, dealt AS (SELECT vec_id, unnest(range({STEPS})) AS batch FROM embeddings),
+{trained("linear", "dealt", "a")}, {trained("mlp", "dealt", "b")},
+r AS (SELECT 'linear' AS mapper, * FROM a_log UNION ALL SELECT 'mlp', * FROM b_log)
+SELECT mapper, round(arg_min(loss, step), 5) AS before, round(arg_max(loss, step), 5) AS after FROM r GROUP BY mapper""",
+)
 def e17_fit_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """Two mappers learn from the whole store in the same passes."""
+    specs = {n: create_mapper(n, **TRAINED) for n in ("linear", "mlp")}
+    starts = {n: formula_params(s) for n, s in specs.items()}
     rows = read_store(spark, store_path(spark, sf))
-    return fit.fit_compare(rows, {n: small(n) for n in ("linear", "mlp")}, steps=3, lr=0.02)
+    told = fit.fit_compare(rows, specs, steps=STEPS, lr=BASE_RATE, params=starts, sampled=False)
+    return told.withColumns({c: F.round(c, 5) for c in ("before", "after")})
 
 
 # ---- registry -------------------------------------------------------------

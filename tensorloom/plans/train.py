@@ -46,6 +46,7 @@ def run_training(
     steps_per_epoch: int | None = None,
     resume: bool = False,
     closed_form: bool = False,
+    barrier: bool = False,
 ) -> RunResult:
     """Fit a mapper on a store; writes config, steps, checkpoints and panels below ``out``.
 
@@ -53,6 +54,8 @@ def run_training(
     shard-aware order of that epoch. ``steps_per_epoch`` replaces that by as many global
     batches, each all rows of its share of the shards. Writing the same run again replaces
     what it wrote before.
+    ``barrier`` makes each epoch of batches one job instead of one for each batch, where the
+    cluster can run all its tasks at once (see ``fit_gradient``).
     ``closed_form`` starts a linear mapper from its least-squares solution.
     """
     if config.debug:
@@ -104,6 +107,7 @@ def run_training(
         epochs=config.epochs,
         steps_per_epoch=steps_per_epoch,
         batches=batches,
+        barrier=barrier,
         lr=config.lr,
         warmup_steps=config.warmup_steps,
         beta=config.beta,

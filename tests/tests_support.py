@@ -20,3 +20,14 @@ def make_store(spark, path, counts=(10, 10, 8), tokens=36, latents=64, seed=0):
             g += 1
     fs.write_shards(spark.createDataFrame(rows, STORE_SCHEMA), path)
     return path
+
+
+def counted_jobs(spark, run):
+    """How many Spark jobs ``run`` starts."""
+    sc, group = spark.sparkContext, f"count-{id(run)}"
+    sc.setJobGroup(group, "counted")
+    try:
+        run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    return len(sc.statusTracker().getJobIdsForGroup(group))
