@@ -32,6 +32,7 @@ from tensorloom.session import shuffle_width
 MAX_BITS = 18
 MAX_BORDERS = 1024
 SAMPLES_PER_BORDER = 16
+SAMPLE_SEED = 7
 
 
 def hash_bits(spark) -> int:
@@ -76,17 +77,17 @@ def order_rank(
 
 
 def sample_borders(df: DataFrame, keys: list[str], borders: int) -> list[tuple]:
-    """At most ``borders`` keys as text, evenly spaced in a fixed-size uniform sample.
+    """About ``borders`` keys as text, evenly spaced in a uniform sample.
 
-    The sample is the rows with the smallest row hash (a per-task bounded heap),
-    thinned before it reaches the driver. Only the balance of buckets depends on it,
-    never the rank.
+    The row count gives the share of rows that makes a sample of ``SAMPLES_PER_BORDER`` for
+    each border, whatever the table's size, and every task draws its rows by itself: a task
+    hands on its part of the sample, not a full one of its own, and a key that stands in many
+    rows counts as often as it stands there. Only the balance of buckets depends on the
+    sample, never the rank.
     """
     as_text = F.struct(*[F.col(f"k.{k}").cast("string").alias(k) for k in keys])
     sample = (
-        df.select(*keys)
-        .orderBy(F.xxhash64(*keys))
-        .limit(borders * SAMPLES_PER_BORDER)
+        border_sample(df, keys, borders * SAMPLES_PER_BORDER)
         .select(F.struct(*keys).alias("k"))
         .select("k", as_text.alias("text"))
         .agg(F.array_sort(F.collect_list(F.struct("k", "text"))).alias("all"))
@@ -96,6 +97,13 @@ def sample_borders(df: DataFrame, keys: list[str], borders: int) -> list[tuple]:
     return [tuple(c) for c in sample.first()["cuts"]]
 
 
+def border_sample(df: DataFrame, keys: list[str], wanted: int) -> DataFrame:
+    """About ``wanted`` rows of the keys, each drawn by itself; all of them if there are no more."""
+    narrow = df.select(*keys)
+    n = narrow.count()
+    return narrow if n <= wanted else narrow.where(F.rand(SAMPLE_SEED) < wanted / n)
+
+
 def bucket_of(df: DataFrame, keys: list[str], cuts: list[tuple]) -> Column:
     """How many cuts are <= the row's key, by binary search over a constant array.
 

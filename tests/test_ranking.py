@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tensorloom.functions.ranking import hash_rank, order_rank, running_offsets
+from tensorloom.functions.ranking import border_sample, hash_rank, order_rank, running_offsets
 
 RELAXED = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -88,3 +88,23 @@ def test_running_offsets(spark):
         want.append((i, total))
         total += i % 5 + 1
     assert got == want
+
+
+def test_the_sample_of_borders_is_no_top_k(spark):
+    """Each task hands on its share only: no sort, no merge of whole samples, whatever the number of tasks."""
+    df = spark.range(0, 300_000, 1, 24).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    sample = border_sample(df, ["k"], 1024)
+    text = sample._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in text for word in ("TakeOrdered", "Sort", "Exchange", "Limit"))
+    by_task = [r["n"] for r in sample.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert 800 < sum(by_task) < 1250 and max(by_task) < 100  # not 1024 from each of the 24 tasks
+    assert border_sample(df, ["k"], 300_000).count() == 300_000 and border_sample(df.where("false"), ["k"], 5).count() == 0
+
+
+def test_order_rank_beyond_the_sample(spark):
+    """More rows than the sample takes, a third of them with one leading key."""
+    df = spark.range(0, 60_000, 1, 7).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("g"), (-F.col("id")).alias("i"))
+    ranked = order_rank(df, ["g", "i"], out="p", borders=16)
+    wrong = ranked.orderBy("p").select("g", "i").collect()
+    assert wrong == sorted(wrong) and ranked.select("p").distinct().count() == 60_000
+    assert ranked.agg(F.min("p"), F.max("p")).first() == (0, 59_999)
