@@ -21,6 +21,7 @@ SIZE = 1024  # components of a vector
 GRAM = 3
 NONE = "und"
 BLOCK = 64  # texts of one matrix product
+STRETCH = 2048  # n-gram vectors of one matrix product
 KEPT = 20_000  # n-gram vectors a worker keeps
 #: letters get numbers below 2**16; rarer code points share one by their low bits
 MASK = (1 << 16) - 1
@@ -32,8 +33,7 @@ def letter_numbers() -> np.ndarray:
 
     Letters of the higher planes share the numbers of others.
     """
-    numbers = [min(((c - 1) & MASK) + 1, MASK) if chr(c).isalpha() else 0 for c in range(0x110000)]
-    return np.array(numbers, np.uint16)
+    return np.fromiter((min(((c - 1) & MASK) + 1, MASK) if chr(c).isalpha() else 0 for c in range(0x110000)), np.uint16, 0x110000)
 
 
 class Grams:
@@ -82,9 +82,9 @@ class Grams:
         row = np.repeat(np.arange(len(texts)), [len(c) for c, _ in texts])
         names, column = np.unique(codes, return_inverse=True)
         out = np.zeros((len(texts), self.size), np.float32)
-        for at in range(0, len(names), 8192):
-            part = names[at : at + 8192]
-            own = (column >= at) & (column < at + 8192)
+        for at in range(0, len(names), STRETCH):
+            part = names[at : at + STRETCH]
+            own = (column >= at) & (column < at + STRETCH)
             many = np.zeros((len(texts), len(part)), np.float32)
             many[row[own], column[own] - at] = counts[own]
             out += many @ np.stack([self.vector(c) for c in part.tolist()]).astype(np.float32)
@@ -115,9 +115,9 @@ def learn_prototypes(docs: DataFrame, *, text_col: str = "text", lang_col: str =
             for lang, rows in held.items():
                 codes, place = np.unique(np.concatenate([c for c, _ in rows]), return_inverse=True)
                 n = np.bincount(place, np.concatenate([k for _, k in rows])).astype(np.int64)
-                for at in range(0, len(codes), 8192):  # products in double precision: sums stay whole numbers
-                    block = np.stack([grams.vector(c) for c in codes[at : at + 8192].tolist()]).astype(np.float64)
-                    total[lang] = total.get(lang, 0) + n[at : at + 8192].astype(np.float64) @ block
+                for at in range(0, len(codes), STRETCH):  # products in double precision: sums stay whole numbers
+                    block = np.stack([grams.vector(c) for c in codes[at : at + STRETCH].tolist()]).astype(np.float64)
+                    total[lang] = total.get(lang, 0) + n[at : at + STRETCH].astype(np.float64) @ block
         if total:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(total), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))],

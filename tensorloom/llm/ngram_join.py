@@ -38,6 +38,7 @@ DEPTH = 4  # deepest level; larger buckets there are compared in tiles
 SLACK = 5.0  # standard deviations below the threshold that a signature may show
 WORD = re.compile(r"\w+")
 CACHE = 100_000
+ROWS = 1000  # texts whose features a worker holds at once
 
 FEATURES = "doc_id long, key string, h long, items binary, signature binary, brief binary"
 BROADCAST_ROWS = 1_000_000  # pairs of longs: 16 MB
@@ -92,7 +93,7 @@ def shingle_features(docs: DataFrame, words: int = WORDS, positions: int = POSIT
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, factors = WordHash(), _multipliers(positions)
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             keys, short, sets, signs, briefs = [], [], [], [], []
             for text in batch.column(1):
                 items = shingle_set(text.as_py(), words, hashes)
