@@ -14,6 +14,7 @@ from tensorloom.plans.catalog import half_sql, query, table, unnest_sql, written
 from tensorloom.plans.pre_encode import pre_encode
 from tensorloom.plans.queries_inventory import image_rows
 from tensorloom.sources import store as feature_store
+from tensorloom.sources import versions
 from tensorloom.sources.images import load_images
 
 SHARD = 64
@@ -152,6 +153,51 @@ def c5_write_shards_packed(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("item_id", total(F.col("tokens")).alias("token_sum"))
 
 
+def versioned_path(spark: SparkSession, sf: str) -> str:
+    """A store of two versions: the second one replaces every third shard by the doubled tensors."""
+
+    def write(path: str) -> None:
+        rows = encoded(spark, sf)
+        versions.commit_shards(rows, path, rows_per_file=32)
+        doubled = rows.where("shard_id % 3 = 1").withColumn("tokens", F.transform("tokens", lambda v: v * 2))
+        versions.commit_shards(doubled, path, rows_per_file=32)
+
+    return written(spark, sf, "versions", write)
+
+
+@query(
+    "c5_versions",
+    f"""WITH {STORE}, r AS (SELECT (g // {SHARD})::INTEGER AS shard_id, g, token_sum FROM st JOIN ts ON ts.item_id = st.item_id)
+SELECT version::INTEGER AS version, shard_id, count(*)::BIGINT AS n_rows, min(g)::BIGINT AS first_idx,
+  round(sum(token_sum * CASE WHEN version = 2 AND shard_id % 3 = 1 THEN 2 ELSE 1 END), 6) AS token_sum
+FROM r, range(1, 3) v(version) GROUP BY 1, 2""",
+)
+def c5_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Both versions of a store side by side."""
+    path = versioned_path(spark, sf)
+    first, second = (
+        versions.read_version(spark, path, n).select(F.lit(n).alias("version"), "shard_id", "global_idx", "tokens") for n in (1, 2)
+    )
+    return first.union(second).groupBy("version", "shard_id").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.min("global_idx").alias("first_idx"),
+        F.round(F.sum(total(F.col("tokens"))), 6).alias("token_sum"),
+    )
+
+
+@query(
+    "c13_lookup_version",
+    f"""WITH {STORE} SELECT l.doc_id AS idx, st.item_id, (g // {SHARD})::INTEGER AS shard_id, (g % {SHARD})::BIGINT AS "offset",
+  token_sum * CASE WHEN (g // {SHARD}) % 3 = 1 THEN 2 ELSE 1 END AS token_sum
+FROM labels l JOIN st ON st.g = l.doc_id JOIN ts ON ts.item_id = st.item_id""",
+)
+def c13_lookup_version(spark: SparkSession, sf: str) -> DataFrame:
+    """Wanted rows of the newest version, by row group."""
+    wanted = table(spark, sf, "labels").select(F.col("doc_id").alias("idx"))
+    rows = versions.lookup_version(spark, versioned_path(spark, sf), wanted)
+    return rows.select("idx", "item_id", "shard_id", "offset", total(F.col("tokens")).alias("token_sum"))
+
+
 @query(
     "c6_shard_meta",
     """WITH p AS (SELECT doc_id, source || '/doc_' || doc_id || '.txt' AS path,
@@ -377,4 +423,4 @@ SELECT sum(n)::BIGINT AS total_samples, count(*)::BIGINT AS shard_count, max(n):
   (SELECT count(*) FROM embeddings WHERE label >= 3)::BIGINT AS with_logvar FROM s""",
 )
 def c16_store_info(spark: SparkSession, sf: str) -> DataFrame:
-    return shards.store_info(spark.read.parquet(store_path(spark, sf)))
+    return versions.store_summary(spark, store_path(spark, sf))

@@ -82,12 +82,12 @@ def write_shards(
     present = [t for t in TENSORS if t in df.columns]
     before = committed_shards(spark, path)  # a written or empty table, or counted from disk
     known = path_exists(spark, path)
-    replaced = replacing if replacing is not None else df.select("shard_id").distinct()
+    replaced = stored((replacing if replacing is not None else df).select(F.col("shard_id").cast("int")).distinct(), "shards-replaced")
     if not placed:
         df = place_rows(df, rows_per_file)
     out = round_half(df, present, packed=storage == "half") if present else df
     schema = merge_schemas(store_schema(spark, path) if known else None, out.schema)
-    left = stored(before.join(replaced.select("shard_id"), "shard_id", "left_anti"), "shards-left")
+    left = stored(before.join(replaced, "shard_id", "left_anti"), "shards-left")
     if known:
         _save_table(left, path)
     _save_schema(spark, schema, path)
@@ -100,8 +100,7 @@ def write_shards(
         .parquet(path)
     )
     if {"item_id", "offset"} <= set(out.columns):
-        fresh = _counted(spark, path, schema).join(left.select("shard_id"), "shard_id", "left_anti")
-        _save_table(left.unionByName(fresh), path)
+        _save_table(left.unionByName(_counted(spark, path, schema, replaced)), path)  # what is written is counted, not the store
 
 
 def merge_schemas(old: T.StructType | None, new: T.StructType) -> T.StructType:
@@ -134,9 +133,10 @@ def _save_table(shards: DataFrame, path: str) -> None:
     table.write.mode("overwrite").parquet(f"{path.rstrip('/')}_shards")
 
 
-def _counted(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The shard table of what is on disk; reads positions and ids only."""
+def _counted(spark: SparkSession, path: str, schema: T.StructType, only: DataFrame | None = None) -> DataFrame:
+    """The shard table of what is on disk (or of ``only`` some shards); reads positions and ids only."""
     rows = spark.read.schema(schema).parquet(path)
+    rows = rows if only is None else _of_shards(rows, only)
     if not {"item_id", "offset"} <= set(rows.columns):
         return shard_sizes(rows).withColumns({c: F.lit(None).cast("long") for c in CONTENT})
     return shard_contents(rows)

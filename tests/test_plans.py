@@ -112,3 +112,15 @@ def test_rank_borders_are_a_literal(spark):
     df = spark.range(1000).withColumn("s", F.col("id").cast("string"))
     text = order_rank(df, ["s", "id"])._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json" not in text and "sort_array" not in text
+
+
+def test_a_write_counts_its_own_shards_only(spark, tmp_path):
+    """The shard table of a write follows from what it wrote: other partitions aren't read."""
+    path = make_store(spark, str(tmp_path / "store"))
+    only = spark.createDataFrame([(1,)], "shard_id int")
+    text = plan(fs._counted(spark, path, fs.store_schema(spark, path), only))
+    assert re.search(r"PartitionFilters: \[.*shard_id#\d+ = 1", text) or re.search(r"shard_id#\d+ IN \(1\)", text)
+    rows = spark.read.parquet(path).where("shard_id = 1").withColumn("item_id", F.col("item_id") + 1000)
+    fs.write_shards(fs.stored(rows, "t"), path)
+    told = lambda df: sorted(map(tuple, df.select("shard_id", "n_images", "word_0").collect()))
+    assert told(fs.committed_shards(spark, path)) == told(fs.counted_shards(spark, path))
