@@ -263,6 +263,7 @@ def a7_get_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("a8_incremental_ingest", FOLDER_SQL)
 def a8_incremental_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files, taken in by a stream that runs twice."""
     sink = scratch_path(spark, "ingest")
     for _ in range(2):  # the second call finds nothing new
         incremental_ingest(spark, corpus(spark, sf), f"{sink}/items", f"{sink}/checkpoint", "*.txt")

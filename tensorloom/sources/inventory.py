@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import os
 import re
 import uuid
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.session import stored
+from tensorloom.session import stored, task_slots
 
 SIGNATURE_HEX = 16  # fixed value: signature length in hex digits
 SIGNATURE_JOIN = ":::"  # fixed value: separator between root and pattern
@@ -51,8 +52,16 @@ def scan_items(spark: SparkSession, root: str, patterns: str | list[str] = "**/*
 LISTED = "below string, length long, mtime timestamp, folder boolean"
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, below, length, mtime) of every file under ``root``; ``below`` is the path from the root.
+PAGE = 10_000  # names of a folder that a task holds at once
+
+
+def list_files(spark: SparkSession, root: str, page: int = PAGE) -> DataFrame:
+    """(path, below, length, mtime) of every file under ``root``; ``below`` is the path from the root."""
+    return list_tree(spark, root, page).where("not folder").drop("folder")
+
+
+def list_tree(spark: SparkSession, root: str, page: int = PAGE) -> DataFrame:
+    """(path, below, length, mtime, folder) of everything under ``root``.
 
     Spark's own file index leaves out names that start with ``_`` or ``.`` and keeps the
     whole tree on the driver. Here tasks list directories, one level of the tree per
@@ -60,42 +69,94 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     there is a next one.
     """
     base = qualified(spark, root)
-    levels, now = [], stored(_listed(spark.createDataFrame([("",)], "below string"), base), "listing")
+    levels, now = [], stored(_listed(spark.createDataFrame([("",)], "below string"), base, page), "listing")
     while True:
         levels.append(now)
         folders = now.where("folder").select("below")
         if folders.isEmpty():
             break
-        now = stored(_listed(folders.repartition("below"), base), "listing")
+        now = stored(_listed(folders.repartition("below"), base, page), "listing")
     out = levels[0]
     for level in levels[1:]:
         out = out.union(level)
     path = F.concat(F.lit(base.rstrip("/") + "/"), F.col("below"))
-    return out.where("not folder").select(path.alias("path"), "below", "length", "mtime")
+    return out.select(path.alias("path"), "below", "length", "mtime", "folder")
+
 
+def _listed(folders: DataFrame, base: str, page: int = PAGE) -> DataFrame:
+    """Entries of each folder, itself given as a path below ``base``.
 
-def _listed(folders: DataFrame, base: str) -> DataFrame:
-    """Entries of each folder, itself given as a path below ``base``."""
+    On a local or mounted disk one task streams the names of a folder in pages, and sizes
+    and times are asked for by all tasks, so a folder of any size keeps neither one task
+    busy nor its memory full. Elsewhere a listing brings sizes and times along.
+    """
+    if base.startswith("file:"):
+        names = _names(folders, base, page)
+        return _stated(names.repartition(task_slots(names.sparkSession), "below"), base, page)
 
     def ls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, top = open_root(base)
         for batch in batches:
             for below in batch.column(0).to_pylist():
                 found = system.get_file_info(fs.FileSelector(f"{top}/{below}" if below else top))
-                names = [f"{below}/{i.base_name}" if below else i.base_name for i in found]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(names, pa.string()),
-                        pa.array([i.size for i in found], pa.int64()),
-                        pa.array([i.mtime for i in found], pa.timestamp("us", "UTC")),
-                        pa.array([i.type == fs.FileType.Directory for i in found], pa.bool_()),
-                    ],
-                    ["below", "length", "mtime", "folder"],
-                )
+                for at in range(0, len(found), page):
+                    part = found[at : at + page]
+                    yield _entries([f"{below}/{i.base_name}" if below else i.base_name for i in part], part)
 
     return folders.mapInArrow(ls, LISTED)
 
 
+def name_pages(folder: str, below: str, page: int) -> Iterator[list[str]]:
+    """Names in a local folder, ``page`` at once, as paths below the root."""
+    names: list[str] = []
+    with os.scandir(folder) as entries:
+        for entry in entries:
+            names.append(f"{below}/{entry.name}" if below else entry.name)
+            if len(names) == page:
+                yield names
+                names = []
+    if names:
+        yield names
+
+
+def _names(folders: DataFrame, base: str, page: int) -> DataFrame:
+    def ls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, top = open_root(base)
+        for batch in batches:
+            for below in batch.column(0).to_pylist():
+                for names in name_pages(f"{top}/{below}" if below else top, below, page):
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["below"])
+
+    return folders.mapInArrow(ls, "below string")
+
+
+def _stated(names: DataFrame, base: str, page: int) -> DataFrame:
+    """Sizes and times of names; those that are gone by now are left out."""
+
+    def stat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = open_root(base)
+        for batch in batches:
+            for at in range(0, batch.num_rows, page):
+                own = batch.column(0).slice(at, page).to_pylist()
+                found = system.get_file_info([f"{top}/{n}" for n in own])
+                there = [k for k, i in enumerate(found) if i.type != fs.FileType.NotFound]
+                yield _entries([own[k] for k in there], [found[k] for k in there])
+
+    return names.mapInArrow(stat, LISTED)
+
+
+def _entries(names: list[str], found: list[fs.FileInfo]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(names, pa.string()),
+            pa.array([i.size for i in found], pa.int64()),
+            pa.array([i.mtime for i in found], pa.timestamp("us", "UTC")),
+            pa.array([i.type == fs.FileType.Directory for i in found], pa.bool_()),
+        ],
+        ["below", "length", "mtime", "folder"],
+    )
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with its scheme, as Spark's readers show it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -174,6 +235,13 @@ def inventory_snapshot(
     return spark.read.parquet(store).where(F.col("sig") == sig)
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order; none if there is no such folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in system.listStatus(target)) if system.exists(target) else []
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on whatever file system it names."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tensorloom.functions.half import round_half, unpack_half
 from tensorloom.operators.shards import default_logvar, locate
 from tensorloom.session import FILTER_INDICES, MAX_BROADCAST_ROWS, index_rows, stored
-from tensorloom.sources.inventory import _listed, open_root, path_exists, qualified
+from tensorloom.sources.inventory import _listed, child_names, open_root, path_exists, qualified
 from tensorloom.sources.store import ROWS_PER_FILE, TENSORS, merge_schemas, place_rows
 
 GROUP_BYTES = 16 << 20  # of a row group: a few rows of full size
@@ -55,11 +55,8 @@ def _hadoop(spark: SparkSession, path: str):
 
 def versions(spark: SparkSession, path: str) -> list[int]:
     """The numbers of all versions that can still be read, in order."""
-    if not path_exists(spark, f"{path}/versions"):
-        return []
-    system, folder = _hadoop(spark, f"{path}/versions")
-    names = [s.getPath().getName() for s in system.listStatus(folder)]
-    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
+    names = child_names(spark, f"{path}/versions")
+    return [int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith(".")]
 
 
 def _entry(spark: SparkSession, path: str, version: int) -> dict:

@@ -2,50 +2,68 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tensorloom.operators.telemetry import RUN_IN_PATH, parse_steps, with_run
-from tensorloom.sources.inventory import path_exists, scan_items, with_path_parts
+from tensorloom.sources.inventory import child_names, glob_to_regex, list_tree, with_path_parts
 
-FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+LANDED = "path string, length long, mtime timestamp, file_name string, parent string, ext string"
+SETTLED = 60.0  # seconds after which a folder's time of change tells whether it changed again
 
 
-def new_items(
-    spark: SparkSession, root: str, name_glob: str = "*", max_files_per_trigger: int = 100_000
-) -> DataFrame:
-    """Stream of items under ``root``; each file appears once, content is not read.
+def incremental_ingest(
+    spark: SparkSession, root: str, sink: str, checkpoint: str, name_glob: str = "*", settled: float = SETTLED
+) -> None:
+    """Append the files that arrived since the last call to the Parquet sink; each path enters once.
 
-    Spark's file stream passes over names that start with ``_`` or ``.``; use
-    :func:`incremental_ingest` where those count.
+    Names that start with ``_`` or ``.`` count (see ``list_files``). A call lists the tree and
+    lands the files of folders that changed since the last call; a stream takes what has
+    landed, drops the paths it knows from its state store, and writes every micro-batch
+    into its own partition of the sink (``batch``). So a call that dies at any point may be
+    repeated: folders are noted only after their files have landed, and a batch that is run
+    again meets the same state and replaces its own partition. Beyond the listing, the work is that
+    of changed folders. One call runs at a time; a second one fails on the stream's checkpoint.
+
+    A folder counts as changed unless its time of change is the noted one, and older than
+    ``settled`` seconds when it was noted; where folders have no times, all count as changed.
+    The state holds one path per file: set ``spark.sql.streaming.stateStore.providerClass`` to
+    RocksDB for many millions.
     """
-    return with_path_parts(
-        spark.readStream.format("binaryFile")
-        .schema(FILE_SCHEMA)
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", name_glob)
-        .option("maxFilesPerTrigger", max_files_per_trigger)
-        .load(root)
-        .select("path", "length", F.col("modificationTime").alias("mtime"))
-    )
+    checkpoint, landing = checkpoint.rstrip("/"), f"{checkpoint.rstrip('/')}/landing"
+    tree = list_tree(spark, root)
+    fits = F.concat(F.lit("/"), F.col("below")).rlike(glob_to_regex(name_glob))
+    parent = F.regexp_extract("below", r"^(.*)/[^/]*$", 1)
+    files = tree.where("not folder").where(fits).select("path", "length", "mtime", parent.alias("_in"))
+    noted = child_names(spark, f"{checkpoint}/folders")
+    if noted:
+        before = spark.read.schema(FOLDERS).parquet(f"{checkpoint}/folders/{noted[-1]}").where("settled")
+        now = tree.where("folder").select(F.col("below").alias("_in"), "mtime")
+        same = now.join(before.select("_in", "mtime"), ["_in", "mtime"]).select("_in")
+        files = files.join(same, "_in", "left_anti")
+    with_path_parts(files.drop("_in")).select(*LANDED_COLUMNS).write.mode("append").parquet(landing)
+    old = F.current_timestamp() - F.make_dt_interval(secs=F.lit(settled)) > F.col("mtime")
+    folders = tree.where("folder").select(F.col("below").alias("_in"), "mtime", F.coalesce(old, F.lit(False)).alias("settled"))
+    folders.write.parquet(f"{checkpoint}/folders/{int(noted[-1]) + 1 if noted else 0:012d}")
+    fresh_paths(spark, landing).writeStream.foreachBatch(lambda rows, batch: put_batch(rows, batch, sink)).option(
+        "checkpointLocation", f"{checkpoint}/stream"
+    ).trigger(availableNow=True).start().awaitTermination()
 
 
-def incremental_ingest(spark: SparkSession, root: str, sink: str, checkpoint: str, name_glob: str = "*") -> None:
-    """Append the files that arrived since the last call to the Parquet sink.
+FOLDERS = "_in string, mtime timestamp, settled boolean"
+LANDED_COLUMNS = [c.split()[0] for c in LANDED.split(", ")]
 
-    The sink is its own record of what was seen: a file is new when its path is not in
-    it, so a call that fails appends nothing twice. The listing of a call is kept under
-    ``checkpoint``. Names that start with ``_`` or ``.`` count (see ``list_files``).
-    """
-    run = f"{checkpoint.rstrip('/')}/listing-{uuid.uuid4().hex}"
-    scan_items(spark, root, name_glob).write.parquet(run)
-    listed = spark.read.parquet(run)
-    if path_exists(spark, sink):
-        listed = listed.join(spark.read.parquet(sink).select("path"), "path", "left_anti")
-    listed.write.mode("append").parquet(sink)
+
+def fresh_paths(spark: SparkSession, landing: str) -> DataFrame:
+    """Stream of landed files whose path never came before."""
+    return spark.readStream.schema(LANDED).parquet(landing).dropDuplicates(["path"])
+
+
+def put_batch(rows: DataFrame, batch: int, sink: str) -> None:
+    """Write a micro-batch as the partition of its number: again gives the same sink."""
+    writer = rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("batch").parquet(sink)
 
 
 def tail_steps(

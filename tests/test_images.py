@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tensorloom.operators.panel import png_bytes
 from tensorloom.plans.images import image_batches
 from tensorloom.sources import images, inventory
+from tensorloom.streaming import ingest
 from tensorloom.streaming.ingest import incremental_ingest
 
 SIZES = [(8, 6), (10, 12), (32, 32), (23, 60)]  # height, width
@@ -87,6 +88,64 @@ def test_incremental_ingest_takes_only_new_files(spark, tmp_path):
     assert [(r["file_name"], r["parent"], r["length"]) for r in rows] == [("a.jpg", "d", 1), ("_b.jpg", "d", 2)]
 
 
+def test_a_crash_between_sink_and_checkpoint_adds_no_row(spark, tmp_path, monkeypatch):
+    root = tmp_path / "in"
+    root.mkdir()
+    args = (str(root), str(tmp_path / "sink"), str(tmp_path / "ckpt"))
+    (root / "a").write_bytes(b"1")
+    ingest.incremental_ingest(spark, *args)
+    (root / "b").write_bytes(b"22")
+    whole = ingest.put_batch
+
+    def crash(rows, batch, sink):
+        whole(rows, batch, sink)
+        raise RuntimeError("lost after the sink was written")
+
+    monkeypatch.setattr(ingest, "put_batch", crash)
+    with pytest.raises(Exception, match="lost after"):
+        ingest.incremental_ingest(spark, *args)
+    monkeypatch.undo()
+    (root / "c").write_bytes(b"333")
+    for _ in range(2):
+        ingest.incremental_ingest(spark, *args)
+    rows = spark.read.parquet(args[1]).select("file_name", "length").collect()
+    assert sorted(map(tuple, rows)) == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_ingest_lands_changed_folders_only(spark, tmp_path):
+    import os
+
+    root = tmp_path / "in"
+    for d in ("old", "new"):
+        (root / d).mkdir(parents=True)
+        for k in range(5):
+            (root / d / f"{k}.txt").write_bytes(b"x")
+    for d in ("old", "new"):
+        os.utime(root / d, (1_700_000_000, 1_700_000_000))
+    args = (str(root), str(tmp_path / "sink"), str(tmp_path / "ckpt"), "*.txt")
+    ingest.incremental_ingest(spark, *args)
+    (root / "new" / "more.txt").write_bytes(b"yy")  # changes the folder's time
+    ingest.incremental_ingest(spark, *args)
+    landed = spark.read.parquet(f"{tmp_path}/ckpt/landing")
+    assert landed.count() == 10 + 6 and landed.where("parent = 'old'").count() == 5
+    assert spark.read.parquet(args[1]).select("path").distinct().count() == spark.read.parquet(args[1]).count() == 11
+
+
+def test_a_large_folder_is_listed_in_pages_by_several_tasks(spark, tmp_path):
+    root = tmp_path / "flat"
+    (root / "below").mkdir(parents=True)
+    for k in range(3000):
+        (root / f"n{k:05d}.bin").touch()
+    (root / "below" / "_x").write_bytes(b"123")
+    pages = list(inventory.name_pages(str(root), "", 256))
+    assert max(map(len, pages)) == 256 and sum(map(len, pages)) == 3001
+    listed = inventory._listed(spark.createDataFrame([("",)], "below string"), f"file:{root}", 256)
+    tasks = listed.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(tasks) == 4 and max(t["count"] for t in tasks) < 1000  # no task stats the whole folder
+    files = inventory.list_files(spark, str(root), 256)
+    assert files.count() == 3001 and files.where("below = 'below/_x' and length = 3 and mtime is not null").count() == 1
+
+
 @pytest.fixture(scope="module")
 def pictures(tmp_path_factory):
     root = tmp_path_factory.mktemp("pictures")
