@@ -1,8 +1,8 @@
 """Fitting mappers: one-pass least squares and synchronous gradient descent.
 
-Both are the same shape of job: every task folds its rows into one fixed-size
-partial, partials are summed by vector block in two levels, and the driver gets a
-result whose size depends on the model only.
+Both are the same shape of job: every task folds its rows into one fixed-size partial --
+a gradient, or a triangular factor --, partials are merged few at a time, and the driver
+gets a result whose size depends on the model only.
 """
 
 from __future__ import annotations
@@ -152,13 +152,74 @@ def moments_table(store: DataFrame, dim: int, grid: int, tokens: str = "tokens")
     return store.sparkSession.createDataFrame(rows, "i int, j int, value double")
 
 
+MERGE = 16  # factors merged at once
+
+
+def linear_factor(store: DataFrame, dim: int, latent: int, grid: int, batch_size: int = 8) -> tuple[np.ndarray, int]:
+    """The triangular factor of the design with its targets, [X Y] = QR, and the number of cells.
+
+    X: upsampled tokens plus a constant; Y: gt_mean and gt_logvar channels; one row per
+    cell. Every task folds its rows into one factor, factors are merged ``MERGE`` at a time in
+    as many rounds as that takes, so no task holds more of them and nothing is squared: the
+    factor keeps the condition of the data. The upsampling U acts on space only; with U = QuRu
+    the residual of U X W - Y differs from that of Ru X W - Qu'Y by a constant, so blocks have
+    token resolution.
+    """
+    q1, r1 = np.linalg.qr(upsample_matrix(grid))
+    width, cells = dim + 1 + 2 * latent, grid * grid
+
+    def block(batch: pa.RecordBatch) -> np.ndarray:
+        n = batch.num_rows
+        x = stack(batch.column("tokens"), cells * dim).astype(np.float64).reshape(n, cells, dim)
+        x = np.concatenate([x, np.ones((n, cells, 1))], axis=2).transpose(0, 2, 1).reshape(n, dim + 1, grid, grid)
+        y = [stack(batch.column(c), latent * 4 * cells).reshape(n, latent, 2 * grid, 2 * grid) for c in ("gt_mean", "gt_logvar")]
+        small = q1.T @ np.concatenate(y, axis=1).astype(np.float64) @ q1
+        both = np.concatenate([r1 @ x @ r1.T, small], axis=1)
+        return both.reshape(n, width, cells).transpose(0, 2, 1).reshape(-1, width)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factor, n = np.zeros((0, width)), 0
+        for whole in batches:
+            for batch in row_chunks(whole, batch_size):
+                factor = np.linalg.qr(np.concatenate([factor, block(batch)]), mode="r")
+                n += batch.num_rows * 4 * cells
+        if n:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([TaskContext.get().partitionId()]), pa.array([n]), pa.array([factor.ravel()], pa.list_(pa.float64()))],
+                ["node", "n", "factor"],
+            )
+
+    shape = "node long, n long, factor array<double>"
+
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.asarray(f).reshape(-1, width) for f in pdf["factor"]]
+        merged = np.linalg.qr(np.concatenate(parts), mode="r")
+        return pd.DataFrame({"node": [key[0]], "n": [int(pdf["n"].sum())], "factor": [merged.ravel()]})
+
+    narrow = _large_enough(store.select("tokens", "gt_mean", "gt_logvar"), 8 * width * width)
+    factors, left = narrow.mapInArrow(fold, shape), narrow._jdf.rdd().getNumPartitions()
+    while left > 1:
+        node = F.floor(F.col("node") / MERGE).cast("long")
+        factors, left = factors.withColumn("node", node).groupBy("node").applyInPandas(merge, shape), -(-left // MERGE)
+    row = factors.first()  # one factor: the size of the model's moments
+    return (np.zeros((0, width)), 0) if row is None else (np.asarray(row["factor"]).reshape(-1, width), row["n"])
+
+
 def fit_linear(store: DataFrame, spec: MapperSpec, ridge: float = 0.0) -> Params:
-    """Least-squares linear mapper (the MSE part of the objective) in one pass."""
-    xtx, xty, n = linear_moments(store, spec.dim, spec.latent, spec.grid)
+    """Least-squares linear mapper (the MSE part of the objective) in one pass.
+
+    Solved from the data's triangular factor, so nearly collinear tokens lose no more
+    digits than they must; collinear ones get the solution of least norm.
+    """
+    factor, n = linear_factor(store, spec.dim, spec.latent, spec.grid)
     if n == 0:
         raise ValueError("cannot fit on an empty store")
-    penalty = ridge * n * np.diag([1.0] * spec.dim + [0.0])
-    solution = np.linalg.lstsq(xtx + penalty, xty, rcond=None)[0]
+    d = spec.dim + 1
+    x, y = factor[:, :d], factor[:, d:]
+    if ridge:
+        penalty = np.sqrt(ridge * n) * np.eye(d)[:-1]  # the constant is free
+        x, y = np.concatenate([x, penalty]), np.concatenate([y, np.zeros((d - 1, y.shape[1]))])
+    solution = np.linalg.lstsq(x, y, rcond=None)[0]
     mean, logvar = solution[:, : spec.latent], solution[:, spec.latent :]
     return {"mean.w": mean[:-1], "mean.b": mean[-1], "logvar.w": logvar[:-1], "logvar.b": logvar[-1]}
 

@@ -338,6 +338,44 @@ def e12_fit_linear(spark: SparkSession, sf: str) -> DataFrame:
     return result.select("shard_id", "n_rows", F.round("mse", 6).alias("mse"))
 
 
+def solved_sql(n: int) -> str:
+    """Elimination of the (i, j, v) system ``m0``, whose first n columns are positive definite; ``m{n}`` has the solution beyond them."""
+    return ", ".join(
+        f"""m{k + 1} AS (SELECT a.i, a.j, CASE WHEN a.i = {k} THEN a.v / p.v ELSE a.v - f.v * r.v / p.v END AS v FROM m{k} a
+  JOIN m{k} r ON r.i = {k} AND r.j = a.j JOIN m{k} f ON f.i = a.i AND f.j = {k} JOIN m{k} p ON p.i = {k} AND p.j = {k})"""
+        for k in range(n)
+    )
+
+
+@query(
+    "e12_fit_heads",
+    f"""WITH {UP_SQL}, tk AS (SELECT vec_id, i, {half_sql("v")} AS v FROM ({E})),
+truth AS (SELECT u.vec_id, i // 64 AS c, (i // 8) % 8 AS y, i % 8 AS x, {half_sql("v")} * {half_sql("v")} AS mean,
+  CASE WHEN label >= 3 THEN {half_sql("abs(v) - 1")} ELSE 0.0::DOUBLE END AS logvar
+  FROM up u JOIN (SELECT vec_id AS own, label FROM embeddings) l ON own = u.vec_id),
+cells AS (SELECT vec_id, wy.o AS y, wx.o AS x, i % 4 AS j, sum(v * wy.k * wx.k) AS v FROM tk
+    JOIN w wy ON wy.s = i // 16 JOIN w wx ON wx.s = (i // 4) % 4 GROUP BY vec_id, wy.o, wx.o, i % 4
+  UNION ALL SELECT vec_id, y.o, x.o, 4, 1.0::DOUBLE FROM embeddings, range(8) y(o), range(8) x(o)
+  UNION ALL SELECT vec_id, y, x, 5 + c, mean FROM truth UNION ALL SELECT vec_id, y, x, 9 + c, logvar FROM truth),
+m0 AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM cells a JOIN cells b ON b.vec_id = a.vec_id AND b.y = a.y AND b.x = a.x
+  WHERE a.j < 5 GROUP BY a.j, b.j), {solved_sql(5)}
+SELECT CASE WHEN j < 9 THEN 'mean' ELSE 'logvar' END AS head, i::INTEGER AS i, ((j - 5) % 4)::INTEGER AS j, round(v, 4) AS weight
+FROM m5 WHERE j >= 5""",
+)
+def e12_fit_heads(spark: SparkSession, sf: str) -> DataFrame:
+    """Weights of both heads, constants last, for targets that no linear map meets: squared latents
+    and log-variances that many rows lack."""
+    rows = read_store(spark, store_path(spark, sf)).withColumn("gt_mean", F.transform("gt_mean", lambda v: v.cast("double") * v))
+    found = fit.fit_linear(rows, small("linear"))
+    told = [
+        (head, i, j, float(w))
+        for head in ("mean", "logvar")
+        for i, row in enumerate([*found[f"{head}.w"], found[f"{head}.b"]])
+        for j, w in enumerate(row)
+    ]
+    return spark.createDataFrame(told, "head string, i int, j int, weight double").withColumn("weight", F.round("weight", 4))
+
+
 TRAINED = {"dim": DIM, "latent": DIM, "grid": GRID, "width": 6, "layers": 1, "norm": False}
 STEPS, BASE_RATE = 3, 0.02
 

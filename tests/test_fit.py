@@ -33,6 +33,47 @@ def test_fit_linear_equals_lstsq(spark):
         assert np.allclose(p[f"{head}.w"], want[:-1]) and np.allclose(p[f"{head}.b"], want[-1])
 
 
+@pytest.mark.parametrize("parts", [1, 40])
+def test_nearly_collinear_tokens(spark, parts):
+    """Condition about 1e8: the factor keeps the digits that squared moments lose; 40 tasks are two rounds of merges."""
+    rng = np.random.default_rng(11)
+    n, up = 80, upsample_matrix(3)
+    x = rng.standard_normal((n, 9, 5))
+    x[:, :, 4] = x[:, :, 0] + 1e-8 * x[:, :, 4]
+    w = rng.standard_normal((5, 4))
+    y = up @ ((x @ w).transpose(0, 2, 1).reshape(n, 4, 3, 3)) @ up.T
+    rows = [(i, x[i].ravel().tolist(), y[i, :2].ravel().tolist(), y[i, 2:].ravel().tolist()) for i in range(n)]
+    df = spark.createDataFrame(rows, "item_id long, tokens array<double>, gt_mean array<double>, gt_logvar array<double>").repartition(parts)
+    spec = mappers.create_mapper("linear", **GEO)
+    wide = (up @ x.transpose(0, 2, 1).reshape(-1, 5, 3, 3) @ up.T).reshape(n, 5, -1).transpose(0, 2, 1).reshape(-1, 5)
+    design = np.column_stack([wide, np.ones(len(wide))])
+    assert 1e7 < np.linalg.cond(design) < 1e10
+    p = fit.fit_linear(df, spec)
+    flat = y.reshape(n, 4, -1).transpose(0, 2, 1).reshape(-1, 4)
+    want = np.linalg.lstsq(design, flat, rcond=None)[0]
+    got = np.concatenate([np.vstack([p[f"{h}.w"], p[f"{h}.b"]]) for h in ("mean", "logvar")], axis=1)
+    assert np.allclose(got, want, rtol=1e-6, atol=1e-6) and np.allclose(design @ got, flat, atol=1e-9)
+    xtx, xty, _ = fit.linear_moments(df, 5, 2, 3)
+    assert not np.allclose(np.linalg.lstsq(xtx, xty, rcond=None)[0], want, rtol=1e-6, atol=1e-6)
+
+
+def test_ridge_and_collinear_tokens(spark):
+    df, x, y, lv = make_store(spark, n=12)
+    spec, up = mappers.create_mapper("linear", **GEO), upsample_matrix(3)
+    wide = (up @ x.transpose(0, 2, 1).reshape(-1, 5, 3, 3) @ up.T).reshape(len(x), 5, -1).transpose(0, 2, 1).reshape(-1, 5)
+    design = np.column_stack([wide, np.ones(len(wide))])
+    flat = y.reshape(len(x), 2, -1).transpose(0, 2, 1).reshape(-1, 2)
+    penalty = 0.1 * len(design) * np.diag([1.0] * 5 + [0.0])
+    want = np.linalg.solve(design.T @ design + penalty, design.T @ flat)
+    p = fit.fit_linear(df, spec, ridge=0.1)
+    assert np.allclose(np.vstack([p["mean.w"], p["mean.b"]]), want)
+    from pyspark.sql import functions as F
+
+    same = df.withColumn("tokens", F.transform("tokens", lambda v, i: F.when(i % 5 == 4, F.get("tokens", i - 4)).otherwise(v)))
+    twice = fit.fit_linear(same, spec)
+    assert np.allclose(twice["mean.w"][0], twice["mean.w"][4])  # least norm shares the weight
+
+
 def test_moments_ignore_partitioning_and_empty_tasks(spark):
     df, x, _, _ = make_store(spark, n=7, parts=6)
     a = fit.linear_moments(df, 5, 2, 3)
