@@ -7,6 +7,7 @@ everything that is plain arithmetic or a decision is a Catalyst expression.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tensorloom.functions.hashing import coin
-from tensorloom.session import index_rows
+from tensorloom.session import index_rows, scratch_path, stored, task_slots
+from tensorloom.sources.inventory import open_root, qualified
 
 PIXEL_FIELDS = [
     T.StructField("height", T.IntegerType()),
@@ -29,14 +31,59 @@ PIXEL_FIELDS = [
 def read_images(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """JPEG/PNG files through the JVM decoder; an undecodable file keeps its row, with height -1.
 
-    The image source passes over names that start with ``_`` or ``.``:
-    :func:`rejected_images` finds both kinds.
+    The image source passes over names that start with ``_`` or ``.``: :func:`read_listed_images`
+    reads them too, and :func:`rejected_images` finds both kinds.
     """
     return (
         spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(paths)
     )
 
 
+#: fixed rule: what Spark's file sources pass over, as folder or file name
+HIDDEN = r"(^|/)(\.|_[^/=]*(/|$))|\._COPYING_$"
+
+
+def read_listed_images(spark: SparkSession, items: DataFrame, root: str, path: str = "path") -> DataFrame:
+    """As :func:`read_images`, for all listed files below ``root``: those the image source passes over too.
+
+    Files with such a name, or in a folder with one, are copied in tasks to plain names in the
+    shared scratch folder, chunk by chunk, and read from there; ``image.origin`` is the listed
+    path. All others are read in place.
+    """
+    base = qualified(spark, root).rstrip("/")
+    below = F.expr(f"substring(`{path}`, {len(base) + 2})")
+    hidden = items.select(F.col(path).alias("path")).where(below.rlike(HIDDEN)).distinct()
+    name = F.concat(*[F.lower(F.hex(F.xxhash64(F.lit(s), "path"))) for s in (1, 2)])
+    shared = scratch_path(spark, "images")
+    staged = stored(_copied(hidden.withColumn("name", name), qualified(spark, shared)), "images-staged")
+    plain = read_images(spark, root)
+    if staged.isEmpty():
+        return plain
+    own = F.regexp_extract("image.origin", r"([^/]+)$", 1)
+    copies = read_images(spark, shared).withColumn("name", own).join(staged.select("name", "path"), "name")
+    return plain.unionByName(copies.select(F.col("image").withField("origin", F.col("path")).alias("image")))
+
+
+def _copied(files: DataFrame, target: str) -> DataFrame:
+    """Copies each file to its ``name`` below ``target``; a copy appears when complete."""
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = open_root(target)
+        system.create_dir(top, recursive=True)
+        for batch in batches:
+            for path, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                source, place = open_root(path)
+                own = f"{top}/.{name}-{uuid.uuid4().hex}"
+                with source.open_input_stream(place, compression=None) as raw, system.open_output_stream(own, compression=None) as out:
+                    while chunk := raw.read(1 << 20):
+                        out.write(chunk)
+                system.move(own, f"{top}/{name}")
+            yield batch
+
+    spread = files.select("path", "name").repartition(task_slots(files.sparkSession), "name")
+    return spread.mapInArrow(copy, "path string, name string")
+
+
 def rejected_images(items: DataFrame, pictures: DataFrame, key: str = "item_id", image: str = "image") -> DataFrame:
     """(key, path, reason) of items without pixels: ``undecodable`` or ``not_read``."""
     seen = pictures.select(key, (F.col(f"{image}.height") > 0).alias("_readable"))

@@ -158,6 +158,27 @@ def named(df):
     return df.withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1))
 
 
+def test_pictures_of_any_name_are_read(spark, tmp_path):
+    """Names and folders that file sources hide; the root itself may be one."""
+    root = tmp_path / "_root"
+    below = ["a.png", "_b.png", ".c.png", "_d/e.png", "f/.g/h.png", "_k=v/i.png", "_metadata.png", "j/k.png"]
+    for n, name in enumerate(below):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        write_png(root / name, 5, 4, n)
+    (root / "_junk.png").write_bytes(b"not an image")
+    items = inventory.scan_items(spark, str(root), "**/*.png")
+    pictures = images.read_listed_images(spark, items, str(root))
+    rows = {r["image"]["origin"]: r["image"] for r in pictures.collect()}
+    top = f"{root}/"
+    assert sorted(p.split(top)[1] for p in rows) == sorted([*below, "_junk.png"]) and pictures.count() == 9
+    assert {p.split(top)[1] for p, i in rows.items() if i["height"] < 0} == {"_junk.png"}
+    told = images.rejected_images(
+        items.select(F.regexp_replace("path", "^file:/+", "/").alias("item_id"), "path"),
+        pictures.select(F.regexp_replace("image.origin", "^file:/+", "/").alias("item_id"), "image"),
+    )
+    assert [(r["path"].split(top)[1], r["reason"]) for r in told.collect()] == [("_junk.png", "undecodable")]
+
+
 def test_load_png(spark, pictures):
     root, arrays = pictures
     rows = named(images.load_images(images.read_images(spark, str(root)))).collect()
