@@ -97,14 +97,15 @@ l AS (SELECT doc_id, side, [x for x in string_split(regexp_replace(lower(text),
 w AS (SELECT doc_id, side, unnest(range(len(ws))) AS i, unnest(ws) AS word FROM l),
 m AS (SELECT *, word IN ({_STOPS}) AS stop, sum((word NOT IN ({_STOPS}))::INTEGER) OVER (PARTITION BY doc_id, side ORDER BY i) AS k FROM w),
 c AS (SELECT * FROM m WHERE NOT stop),
-spot AS (SELECT a.doc_id, a.side, a.word || ' ' || p.word || ' ' || q.word || ' ' AS sig FROM m a
+spot AS (SELECT a.doc_id, a.side, a.i, q.i AS last, a.word || ' ' || p.word || ' ' || q.word || ' ' AS sig FROM m a
   JOIN c p ON p.doc_id = a.doc_id AND p.side = a.side AND p.k = a.k + 1 AND p.i - a.i - 1 <= {spotsigs.SKIP}
   JOIN c q ON q.doc_id = a.doc_id AND q.side = a.side AND q.k = a.k + 2 AND q.i - p.i - 1 <= {spotsigs.SKIP} WHERE a.stop),
-many AS (SELECT doc_id, side FROM spot GROUP BY 1, 2 HAVING count(*) >= {spotsigs.FEW}),
-pair AS (SELECT doc_id, side, CASE WHEN len(ws) > 1 THEN unnest([' ' || ws[k] || ' ' || ws[k + 1] || ' ' for k in range(1, greatest(len(ws), 2))])
-  ELSE '  ' || ws[1] || ' ' END AS sig FROM l WHERE len(ws) > 0),
-sig AS (SELECT DISTINCT doc_id, side, substr(md5(sig), 1, 8) AS s FROM spot SEMI JOIN many USING (doc_id, side)
-  UNION SELECT DISTINCT doc_id, side, substr(md5('=' || substr(sig, 2)), 1, 8) FROM pair ANTI JOIN many USING (doc_id, side)),
+held AS (SELECT DISTINCT doc_id, side, unnest(range(i, last + 1)) AS i FROM spot),
+free AS (SELECT w.* FROM w ANTI JOIN held ON held.doc_id = w.doc_id AND held.side = w.side AND held.i = w.i),
+pair AS (SELECT a.doc_id, a.side, '=' || a.word || ' ' || b.word || ' ' AS sig FROM free a
+    JOIN free b ON b.doc_id = a.doc_id AND b.side = a.side AND b.i = a.i + 1
+  UNION ALL SELECT doc_id, side, '= ' || ws[1] || ' ' FROM l WHERE len(ws) = 1),
+sig AS (SELECT DISTINCT doc_id, side, substr(md5(sig), 1, 8) AS s FROM spot UNION SELECT DISTINCT doc_id, side, substr(md5(sig), 1, 8) FROM pair),
 f AS (SELECT doc_id, side, count(*) AS n, string_agg(s, ',' ORDER BY s) AS shown FROM sig GROUP BY 1, 2),
 j AS (SELECT t.doc_id, coalesce(a.n, 0) AS na, coalesce(e.n, 0) AS ne, coalesce(x.n, 0) AS nx, coalesce(a.shown, '') AS fp,
   coalesce(e.shown, '') AS efp, t.text, t.edited, t.next_id FROM t

@@ -48,32 +48,38 @@ def _any_of(words: list[str]) -> str:
 _STOP = _any_of(sorted(set(ANCHORS))) + " "
 _NEXT = f"(?:{_STOP}){{0,{SKIP}}}+(?!{_STOP})[^ ]++ "
 _SPOT = f" (?=({_STOP}{_NEXT * CHAIN}))"
-FEW = 4  # spots below which every pair of neighbouring words is a signature
-_PAIR = " (?=([^ ]++ [^ ]++ ))"
+# words of a text whose anchors with a whole chain are marked: such an anchor, another common word, a content word
+_MARKED, _COMMON, _CONTENT = r"\+[^ ]++ ", _STOP, f"(?!{_STOP})[^ +]++ "
+# all words from an anchor to the end of its chain; a chain that begins within it goes on (chains of two content words)
+_COVERED = (
+    f"{_MARKED}(?:(?:{_MARKED}|{_COMMON})*+{_CONTENT}(?:{_COMMON})*+{_MARKED})*+"
+    f"(?:{_MARKED}|{_COMMON})*+{_CONTENT}(?:{_COMMON})*+{_CONTENT}"
+)
+_PAIR = " (?=([^ |]++ [^ |]++ ))"
 
 
 def signatures(text: Column) -> Column:
     """Distinct signature hashes (32 bits) of a text, sorted.
 
-    A text with few spots (a table, a title) has all pairs of neighbouring words instead, one
-    of a single word that word; a text without words has none.
+    Every chain is one. Stretches of words that no chain covers (a table, a title, the words
+    between two chains) add all their pairs of neighbouring words, so a spot more or less
+    changes the signatures around it and no others. The only word of a text is one; a text
+    without words has none.
     """
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
-    def sparse(w: Column) -> Column:
-        pairs = F.transform(F.regexp_extract_all(w, F.lit(_PAIR), F.lit(1)), lambda s: _number(F.concat(F.lit("="), s)))
-        none = F.expr("cast(array() as array<int>)")
-        alone = F.when(F.length(F.trim(w)) > 0, F.array(_number(F.concat(F.lit("="), w)))).otherwise(none)
-        return F.when(F.size(pairs) > 0, pairs).otherwise(alone)
-
-    def chains(spots: Column, w: Column) -> Column:
+    def all_of(w: Column) -> Column:
         # the anchor, then content words only
-        found = F.transform(spots, lambda s: _number(F.regexp_replace(s, f" (?:{_STOP})+", " ")))
-        return F.when(F.size(spots) >= FEW, found).otherwise(sparse(w))
+        chains = F.transform(
+            F.regexp_extract_all(w, F.lit(_SPOT), F.lit(1)), lambda s: _number(F.regexp_replace(s, f" (?:{_STOP})+", " "))
+        )
+        rest = F.regexp_replace(F.regexp_replace(w, _SPOT, " +"), _COVERED, "| ")
+        pairs = F.transform(F.regexp_extract_all(rest, F.lit(_PAIR), F.lit(1)), lambda s: _number(F.concat(F.lit("="), s)))
+        none = F.expr("cast(array() as array<int>)")
+        alone = F.when(F.trim(w).rlike("^[^ ]+$"), F.array(_number(F.concat(F.lit("="), w)))).otherwise(none)
+        return F.concat(chains, pairs, alone)
 
-    # bound values: normalising and spotting run once per text
-    chosen = bind(words, lambda w: bind(F.regexp_extract_all(w, F.lit(_SPOT), F.lit(1)), lambda spots: chains(spots, w)))
-    return F.array_sort(F.array_distinct(chosen))
+    return F.array_sort(F.array_distinct(bind(words, all_of)))  # bound: a text is normalised once
 
 
 def _number(chain: Column) -> Column:

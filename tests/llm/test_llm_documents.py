@@ -516,7 +516,7 @@ def test_mixing_awkward(awkward, empty):
 def plain_signatures(text):
     anchors = set(spotsigs.ANCHORS)
     words = re.sub(r"[\W_]+", " ", text.lower()).split()
-    out, spots = set(), 0
+    out, held = set(), set()
     for k, word in enumerate(words):
         if word not in anchors:
             continue
@@ -531,10 +531,10 @@ def plain_signatures(text):
             else:
                 break
         if len(chain) == spotsigs.CHAIN + 1:
-            spots += 1
+            held.update(range(k, at))
             out.add(" ".join(chain) + " ")
-    if spots < spotsigs.FEW:
-        out = {f"={a} {b} " for a, b in zip(words, words[1:], strict=False)} or ({f"= {words[0]} "} if words else set())
+    out |= {f"={a} {b} " for k, (a, b) in enumerate(zip(words, words[1:], strict=False)) if not {k, k + 1} & held}
+    out |= {f"= {words[0]} "} if len(words) == 1 else set()
     return {hashlib.md5(s.encode()).hexdigest()[:8] for s in out}
 
 
@@ -562,6 +562,34 @@ def test_fingerprint_query(spark, sf, texts):
     fingerprints_hold(queries.op10(spark, sf).collect(), texts)
 
 
+def signs_of(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string").select("k", spotsigs.fingerprint(spotsigs.signatures(F.col("text"))))
+    return [set(r[1].split(",")) - {""} for r in sorted(rows.collect())]
+
+
+def test_one_spot_more_changes_its_neighbourhood_only(spark):
+    """Near copies with four spots and three, or with none and one, stay near copies."""
+    filler = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(5)]
+    spots = ["the red fox", "a blue bird", "of old towns", "with great care"]
+    four = " ".join(x for pair in zip(filler, [*spots, ""], strict=True) for x in pair)
+    three = four.replace("with great care", "having great care")
+    none, one = " ".join(filler), " ".join(filler).replace("w2x7 ", "the w2x7 ")
+    a, b, c, d = signs_of(spark, [four, three, none, one])
+    assert jaccard(a, b) > 0.9 and jaccard(c, d) > 0.9 and a != b and c != d
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["the", "of", "and", "x", "y", "z", "a", "la", "Q1"]), max_size=40), min_size=1, max_size=12))
+def test_signatures_of_any_words(spark, found):
+    texts = [" ".join(words) for words in found]
+    assert signs_of(spark, texts) == [plain_signatures(t) for t in texts]
+
+
+def test_signatures_of_a_very_long_text(spark):
+    text = "the cat of the house and a dog " * 60_000 + "x1 x2 x3 " * 20_000
+    assert signs_of(spark, [text])[0] == plain_signatures(text)
+
+
 def test_fingerprint_awkward(awkward, empty):
     once = awkward.where("doc_id <> 10")
     fingerprints_hold(spotsigs.fingerprint_documents(once).collect(), {d: t for d, t, *_ in AWKWARD if d != 10})
