@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import components, stored
+from tensorloom.llm.common import components, small, stored
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -41,7 +41,7 @@ CACHE = 100_000
 ROWS = 1000  # texts whose features a worker holds at once
 
 FEATURES = "doc_id long, key string, h long, items binary, signature binary, brief binary"
-BROADCAST_ROWS = 1_000_000  # pairs of longs: 16 MB
+BROADCAST, PAIR_BYTES = 48 << 20, 48  # bytes of a broadcast, and of a pair of longs in it
 
 
 class WordHash(dict):
@@ -173,15 +173,15 @@ def jaccard_join(
 
 
 def _of_sets(features: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
-    """Feature columns of the wanted sets (h, rep, ...), from the row of each one's least id.
+    """(h, rep) and feature columns of the wanted sets, from the row of each one's least id.
 
-    The join is on both, so copies don't meet in one task. While the wanted sets are few they
-    go to the features, which then aren't shuffled at all.
+    The join is on both, so copies don't meet in one task. While the pairs are within a bound of
+    bytes they, and nothing else of the wanted rows, go to the features, which then aren't shuffled.
     """
-    own = wanted.withColumnsRenamed({"h": "h2"})
-    own = F.broadcast(own) if own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else own
+    own = stored(wanted.select(F.col("h").alias("h2"), "rep"), "ngram-pairs")
+    own = F.broadcast(own) if small(own, PAIR_BYTES, BROADCAST) else own
     at = (F.col("h") == F.col("h2")) & F.col("doc_id").eqNullSafe(F.col("rep"))
-    return features.select("doc_id", "h", *columns).join(own, at).drop("h2", "rep", "doc_id")
+    return features.select("doc_id", "h", *columns).join(own, at).drop("h2", "doc_id")
 
 
 # ---- the tree of chosen paths ----------------------------------------------------
@@ -285,7 +285,7 @@ def _buckets(features: DataFrame, sets: DataFrame, threshold: float, recall: flo
         parents = deeper.select(F.col("path").alias("parent"), F.col("size").alias("parent_size"))
         going = stored(level.join(deeper.select("path"), "path").select("path", "h"), "ngram-going")
         signed = _of_sets(features, sets.join(going.select("h").distinct(), "h").select("h", "rep"), "signature")
-        level = _split(going.join(signed, "h"), threshold).distinct()
+        level = _split(going.join(signed.drop("rep"), "h"), threshold).distinct()
     return out
 
 
@@ -297,13 +297,14 @@ def _compare(meets: DataFrame, features: DataFrame, sets: DataFrame, threshold:
     # a set stands in few buckets: some per run and level
     placed = stored(meets.groupBy("h").agg(F.collect_list(F.struct("path", "tiles")).alias("places")), "ngram-places")
     briefs = _of_sets(features, sets.join(placed.select("h"), "h").select("h", "rep"), "brief")
-    dealt = _tiled(placed.join(briefs, "h"), "brief")
+    dealt = _tiled(placed.join(briefs.drop("rep"), "h"), "brief")
     agree = max(0, math.floor(POSITIONS * threshold - SLACK * math.sqrt(POSITIONS * threshold * (1 - threshold))))
     near = stored(_in_groups(dealt, "brief", _candidates(agree), "path long, i int, j int, t int, h long"), "ngram-near")
     groups = near.distinct().groupBy("h").agg(F.collect_list(F.struct("path", "i", "j", "t")).alias("groups"))
     paths = placed.select("h", F.transform("places", lambda p: p["path"]).alias("paths"))
     wanted = stored(sets.join(groups, "h").join(paths, "h"), "ngram-wanted").drop("key")
-    exact = _of_sets(features, wanted, "key", "items").withColumn("g", F.explode("groups"))
+    found = _of_sets(features, wanted, "key", "items").withColumnsRenamed({"h": "h2", "rep": "rep2"})
+    exact = found.join(wanted, (F.col("h") == F.col("h2")) & F.col("rep").eqNullSafe(F.col("rep2"))).withColumn("g", F.explode("groups"))
     exact = exact.select("g.*", "h", "paths", "items", "n", "key")
     return _in_groups(exact, "items", _verified(threshold), "a string, links long, root string", "n", "key")
 
