@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tensorloom.functions.hashing import hash32, unit
 from tensorloom.operators.latent import upsample_matrix
 
 Params = dict[str, np.ndarray]
@@ -143,6 +144,40 @@ def weights_table(spark: SparkSession, params: Params, run_id: str, epoch: int)
     )
 
 
+def param_totals(weights: DataFrame) -> DataFrame:
+    """(run_id, epoch, n_params, n_values, whole): size of every stored model, and whether each parameter has as many values as its shape says."""
+    told = F.aggregate("shape", F.lit(1).cast("long"), lambda a, n: a * n)
+    return weights.groupBy("run_id", "epoch").agg(
+        F.count(F.lit(1)).alias("n_params"),
+        F.sum(F.size("values")).alias("n_values"),
+        F.bool_and(told == F.size("values")).alias("whole"),
+    )
+
+
+def hashed_weights(runs: DataFrame, spec: MapperSpec) -> DataFrame:
+    """(run_id, param, i, value): first weights of many runs (run_id, seed), made in tasks.
+
+    Ranges and constants are those of :func:`init_weights`; the draw is a hash of (seed,
+    parameter, flat index) instead of a generator's next number, so any value can be made alone.
+    """
+    rows = []
+    shapes = param_shapes(spec)
+    for name, shape in shapes.items():
+        slot = name.rsplit(".", 1)[1]
+        fan_in = shapes[name[:-1] + "w"][0] if slot in "wb" else 1
+        if slot == "g":
+            low, width = 1.0, 0.0
+        elif spec.kind == "linear":
+            low, width = -1 / math.sqrt(fan_in), 2 / math.sqrt(fan_in)
+        else:
+            bound = math.sqrt(6.0 / sum(shape)) if slot == "w" else 0.0
+            low, width = -bound, 2 * bound
+        rows.append((name, math.prod(shape), low, width))
+    params = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("param", "n", "low", "width"), row, strict=True)]) for row in rows])
+    each = runs.select("run_id", "seed", F.inline(params)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return each.select("run_id", "param", "i", (F.col("low") + F.col("width") * unit(hash32(F.col("seed"), F.col("param"), F.col("i")))).alias("value"))
+
+
 def weights_from_table(table: DataFrame) -> Params:
     """Back to arrays; one model's rows, bounded by its parameter count."""
     return {

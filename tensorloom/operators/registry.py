@@ -149,3 +149,53 @@ def checkpoint_load(
     return epoch, params, optimizer
 
 
+
+
+@dataclass
+class Restored:
+    """What a partial restore took from a checkpoint, by parameter name."""
+
+    epoch: int
+    params: Params
+    restored: list[str]
+    missing: list[str]  # not in the checkpoint: kept as they were
+    reshaped: list[str]  # there in another shape: kept as they were
+    optimizer: AdamW | None
+
+
+def checkpoint_restore(spark: SparkSession, path: str, run_id: str, spec: MapperSpec, into: Params, epoch: int | None = None) -> Restored:
+    """Take from a checkpoint whatever fits ``spec`` by name and shape; the rest stays as in ``into``.
+
+    The optimiser comes along only when every parameter does, as its state is one vector over
+    all of them.
+    """
+    table = spark.read.schema(CKPT_SCHEMA).parquet(path).where(F.col("run_id") == run_id)
+    epoch = epoch if epoch is not None else table.agg(F.max("epoch")).first()[0]
+    if epoch is None:
+        raise FileNotFoundError(f"no checkpoint of run {run_id!r} at {path}")
+    saved = table.where((F.col("epoch") == epoch) & (F.col("slot") == "param"))
+    status = {r["param"]: r["status"] for r in restore_plan(saved, spec).collect()}
+    of = lambda kind: [n for n in param_shapes(spec) if status.get(n) == kind]
+    fits = {r["param"]: r for r in saved.where(F.col("param").isin(of("restored"))).collect()}  # one model's rows
+    params = {n: np.asarray(fits[n]["values"]).reshape(s) if n in fits else into[n] for n, s in param_shapes(spec).items()}
+    optimizer = checkpoint_load(spark, path, run_id, spec, epoch)[2] if len(fits) == len(params) else None
+    return Restored(epoch, params, of("restored"), of("missing"), of("reshaped"), optimizer)
+
+
+def restore_plan(saved: DataFrame, spec: MapperSpec, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., param, status) of every parameter that is saved or asked for.
+
+    ``saved`` has param and shape. ``restored``: both agree; ``reshaped``: saved in another
+    shape; ``missing``: not saved; ``unused``: saved, but not a parameter of ``spec``.
+    """
+    named = [F.struct(F.lit(n).alias("param"), F.array(*map(F.lit, s)).alias("wanted")) for n, s in param_shapes(spec).items()]
+    groups = saved.select(*by).distinct() if by else saved.sparkSession.range(1).select()
+    asked = groups.select(*by, F.inline(F.array(*named)))
+    both = saved.select(*by, "param", "shape").join(asked, [*by, "param"], "full_outer")
+    status = (
+        F.when(F.col("wanted").isNull(), "unused")
+        .when(F.col("shape").isNull(), "missing")
+        .when(F.col("shape") == F.col("wanted"), "restored")
+        .otherwise("reshaped")
+    )
+    return both.select(*by, "param", status.alias("status"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -9,9 +11,20 @@ from pyspark.sql import functions as F
 from tensorloom.functions.arrays import total
 from tensorloom.functions.ranking import order_rank
 from tensorloom.operators import epochs, fit, latent, loss, registry
-from tensorloom.operators.mappers import MapperSpec, Params, create_mapper, init_weights, score, score_losses, weights_table
+from tensorloom.operators.mappers import (
+    MapperSpec,
+    Params,
+    create_mapper,
+    hashed_weights,
+    init_weights,
+    param_shapes,
+    param_totals,
+    score,
+    score_losses,
+    weights_table,
+)
 from tensorloom.operators.split import assign_batches, uniform_shuffle
-from tensorloom.plans.catalog import h32, half_sql, query, table, unnest_sql
+from tensorloom.plans.catalog import h32, half_sql, query, table, unnest_sql, written
 from tensorloom.plans.forward_sql import formula_params, score_sql, training_sql
 from tensorloom.plans.queries_store import DIM, GRID, store_path
 from tensorloom.sources.store import read_keys, read_store
@@ -453,6 +466,76 @@ def e17_fit_compare(spark: SparkSession, sf: str) -> DataFrame:
     return told.withColumns({c: F.round(c, 5) for c in ("before", "after")})
 
 
+# ---- parameters -----------------------------------------------------------
+
+PARAMS = list(param_shapes(create_mapper("linear", **SMALL))) + ["mlp0.w"]
+NAMES_SQL = "[" + ", ".join(f"'{n}'" for n in PARAMS) + "]"
+
+
+def saved_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors as the stored parameters of one model per label, the later one where two have a name; some in another shape."""
+    name = F.get(F.array(*map(F.lit, PARAMS)), F.pmod("vec_id", F.lit(len(PARAMS))).cast("int"))
+    shape = F.when(F.col("vec_id") % 7 == 1, F.array(F.lit(8), F.lit(8))).when(name.endswith(".b"), F.array(F.lit(4))).otherwise(F.array(F.lit(4), F.lit(4)))
+    rows = table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("run_id"), F.lit(1).alias("epoch"), name.alias("param"), "vec_id", shape.alias("shape"), "embedding")
+    kept = rows.groupBy("run_id", "epoch", "param").agg(F.max_by(F.struct("shape", "embedding"), "vec_id").alias("x"))
+    size = F.aggregate("x.shape", F.lit(1), lambda a, n: a * n)
+    return kept.select("run_id", "epoch", "param", F.col("x.shape").alias("shape"), F.slice(F.col("x.embedding").cast("array<double>"), F.lit(1), size).alias("values"))
+
+
+SAVED_SQL = f"""n AS (SELECT *, {NAMES_SQL}[1 + vec_id % {len(PARAMS)}] AS param FROM embeddings),
+sv AS (SELECT label::VARCHAR AS run_id, param, arg_max(vec_id, vec_id) AS v FROM n GROUP BY 1, 2),
+saved AS (SELECT run_id, param, CASE WHEN v % 7 = 1 THEN [8, 8] WHEN param LIKE '%.b' THEN [4] ELSE [4, 4] END AS shape FROM sv)"""
+
+
+def stored_weights(spark: SparkSession, sf: str) -> DataFrame:
+    path = written(spark, sf, "weights", lambda p: saved_weights(spark, sf).write.parquet(p))
+    return spark.read.parquet(path)
+
+
+@query(
+    "e6_param_count",
+    f"""WITH {SAVED_SQL} SELECT run_id, 1::INTEGER AS epoch, count(*)::BIGINT AS n_params, sum(list_product(shape))::BIGINT AS n_values, true AS whole
+FROM saved GROUP BY run_id""",
+)
+def e6_param_count(spark: SparkSession, sf: str) -> DataFrame:
+    return param_totals(stored_weights(spark, sf))
+
+
+WANTED_SQL = ", ".join(f"('{n}', {list(s)})" for n, s in param_shapes(create_mapper("linear", **SMALL)).items())
+
+
+@query(
+    "e15_restore_plan",
+    f"""WITH {SAVED_SQL}, asked AS (SELECT * FROM (SELECT DISTINCT run_id FROM saved), (VALUES {WANTED_SQL}) t(param, wanted))
+SELECT coalesce(a.run_id, s.run_id) AS run_id, coalesce(a.param, s.param) AS param, CASE WHEN wanted IS NULL THEN 'unused'
+  WHEN shape IS NULL THEN 'missing' WHEN shape = wanted THEN 'restored' ELSE 'reshaped' END AS status
+FROM saved s FULL JOIN asked a ON a.run_id = s.run_id AND a.param = s.param""",
+)
+def e15_restore_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """What each label's stored model gives to a linear mapper."""
+    return registry.restore_plan(stored_weights(spark, sf), small("linear"), ("run_id",))
+
+
+INIT_SPEC = create_mapper("mlp", **SMALL)
+INIT_SQL = ", ".join(
+    f"('{n}', {int(np.prod(s))}, {1.0 if n.endswith('.g') else -math.sqrt(6.0 / sum(s)) if n.endswith('.w') else 0.0!r}::DOUBLE, "
+    f"{2 * math.sqrt(6.0 / sum(s)) if n.endswith('.w') else 0.0!r}::DOUBLE)"
+    for n, s in param_shapes(INIT_SPEC).items()
+)
+
+
+@query(
+    "e14_init_weights",
+    f"""WITH r AS (SELECT DISTINCT label FROM embeddings), p AS (SELECT * FROM (VALUES {INIT_SQL}) t(param, n, low, width)),
+e AS (SELECT label, param, low, width, unnest(range(n)) AS i FROM r, p)
+SELECT label::VARCHAR AS run_id, param, i::INTEGER AS i, round(low + width * (({h32("label", "param", "i")} + 0.5::DOUBLE) / 4294967296.0::DOUBLE), 9) AS value FROM e""",
+)
+def e14_init_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """First weights of an MLP for every label as a run, its number the seed."""
+    runs = table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("run_id"), F.col("label").alias("seed")).distinct()
+    return hashed_weights(runs, INIT_SPEC).withColumn("value", F.round("value", 9))
+
+
 # ---- registry -------------------------------------------------------------
 
 RUN_EPOCHS = """r AS (SELECT event_type AS run_id, date_diff('day', DATE '2024-01-01', ts::DATE) AS epoch, avg(value) AS score

@@ -6,13 +6,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.functions.arrays import average
+from tensorloom.functions.arrays import average, total
 from tensorloom.operators import panel, telemetry
 from tensorloom.operators.encode import BatchModel, apply_model, linear_decoder
 from tensorloom.operators.latent import denormalize
 from tensorloom.operators.mappers import create_mapper, score
-from tensorloom.plans.catalog import query, table, unnest_sql, written
-from tensorloom.plans.queries_model import RUN_EPOCHS, SMALL, UP_SQL, known_linear, run_epochs, small, tokens
+from tensorloom.plans.catalog import half_sql, query, table, unnest_sql, written
+from tensorloom.plans.queries_model import E, RUN_EPOCHS, SMALL, UP_SQL, known_linear, run_epochs, small, tokens
 from tensorloom.plans.queries_store import DIM, store_path
 from tensorloom.session import scratch_path
 from tensorloom.streaming import ingest
@@ -147,16 +147,27 @@ def f4_panel_schedule(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "f4_sample_panel",
-    f"""WITH e AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS g, embedding FROM embeddings)
-SELECT 'demo' AS run_id, 3::INTEGER AS epoch, l.doc_id AS idx, 64::INTEGER AS n_tokens, 256::INTEGER AS n_latents
-FROM labels l JOIN e ON e.g = l.doc_id""",
+    f"""WITH {UP_SQL}, g AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS g FROM embeddings),
+tk AS (SELECT vec_id, i // 4 AS n, i % 4 AS d, {half_sql("v")} AS v FROM ({E})),
+z AS (SELECT vec_id, n, o, sum(v * cos((d + 4 * o)::DOUBLE)) + 0.1::DOUBLE * o AS v FROM tk, range(4) r(o) GROUP BY vec_id, n, o),
+share AS (SELECT s, sum(k) AS k FROM w GROUP BY s),
+f AS (SELECT vec_id, sum(v * a.k * b.k) AS z_sum, max(CASE WHEN n = 0 AND o = 0 THEN v END) AS z_first FROM z
+  JOIN share a ON a.s = n // 4 JOIN share b ON b.s = n % 4 GROUP BY vec_id)
+SELECT 'demo' AS run_id, 3::INTEGER AS epoch, l.doc_id AS idx, 64::INTEGER AS n_tokens, 256::INTEGER AS n_latents,
+  round(z_sum, 3) AS z_sum, round(z_first::FLOAT::DOUBLE, 4) AS z_first FROM labels l JOIN g ON g.g = l.doc_id JOIN f ON f.vec_id = g.vec_id""",
 )
 def f4_sample_panel(spark: SparkSession, sf: str) -> DataFrame:
     """Predictions for the labelled positions of the store."""
     wanted = table(spark, sf, "labels").select(F.col("doc_id").alias("list_pos"), F.col("doc_id").alias("idx"))
     shown = panel.sample_panel(spark, store_path(spark, sf), small("linear"), known_linear(), wanted, "demo", 3)
     return shown.select(
-        "run_id", "epoch", "idx", F.size("tokens").alias("n_tokens"), F.size("pred_z").alias("n_latents")
+        "run_id",
+        "epoch",
+        "idx",
+        F.size("tokens").alias("n_tokens"),
+        F.size("pred_z").alias("n_latents"),
+        F.round(total(F.col("pred_z")), 3).alias("z_sum"),
+        F.round(F.get("pred_z", F.lit(0)).cast("double"), 4).alias("z_first"),
     )
 
 

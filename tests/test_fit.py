@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tensorloom.operators import fit, mappers, registry
 from tensorloom.operators.latent import upsample_matrix
@@ -67,8 +68,6 @@ def test_ridge_and_collinear_tokens(spark):
     want = np.linalg.solve(design.T @ design + penalty, design.T @ flat)
     p = fit.fit_linear(df, spec, ridge=0.1)
     assert np.allclose(np.vstack([p["mean.w"], p["mean.b"]]), want)
-    from pyspark.sql import functions as F
-
     same = df.withColumn("tokens", F.transform("tokens", lambda v, i: F.when(i % 5 == 4, F.get("tokens", i - 4)).otherwise(v)))
     twice = fit.fit_linear(same, spec)
     assert np.allclose(twice["mean.w"][0], twice["mean.w"][4])  # least norm shares the weight
@@ -177,6 +176,45 @@ def test_checkpoint_parts_and_latest(spark, tmp_path):
         registry.checkpoint_load(spark, path, "zzz", spec)
 
 
+def test_partial_restore(spark, tmp_path):
+    spec, path = mappers.create_mapper("linear", **GEO), str(tmp_path / "c")
+    p = mappers.init_weights(spec)
+    registry.checkpoint_save(spark, path, "a", 5, p, fit.AdamW(fit.to_vector(p).size))
+    whole = registry.checkpoint_restore(spark, path, "a", spec, mappers.init_weights(spec, 9))
+    assert whole.restored == list(p) and not whole.missing and whole.optimizer is not None
+    assert np.allclose(fit.to_vector(whole.params), fit.to_vector(p))
+    other = mappers.create_mapper("mlp", **GEO)  # other weights in the heads, layers of its own
+    start = mappers.init_weights(other, 3)
+    part = registry.checkpoint_restore(spark, path, "a", other, start)
+    assert part.restored == ["mean.b", "logvar.b"] and part.reshaped == ["mean.w", "logvar.w"] and "mlp0.w" in part.missing
+    assert part.epoch == 5 and part.optimizer is None and list(part.params) == list(start)
+    assert all(np.allclose(v, p[n] if n in part.restored else start[n]) for n, v in part.params.items())
+    assert {r["param"]: r["status"] for r in registry.restore_plan(spark.createDataFrame([("x", [1])], "param string, shape array<int>"), spec).collect()} == {
+        "x": "unused", **dict.fromkeys(p, "missing")
+    }
+    with pytest.raises(FileNotFoundError):
+        registry.checkpoint_restore(spark, path, "zzz", spec, p)
+
+
+def test_stored_parameters_are_counted(spark):
+    spec = mappers.create_mapper("mlp", **GEO)
+    table = mappers.weights_table(spark, mappers.init_weights(spec), "r", 2)
+    assert tuple(mappers.param_totals(table).first()) == ("r", 2, len(mappers.param_shapes(spec)), mappers.param_count(spec), True)
+    assert not mappers.param_totals(table.withColumn("shape", F.array(F.lit(1)))).first()["whole"]
+
+
+def test_hashed_weights_have_the_ranges_of_the_first_ones(spark):
+    runs = spark.createDataFrame([("a", 1), ("b", 2)], "run_id string, seed int")
+    for name in ("linear", "mlp"):
+        spec = mappers.create_mapper(name, dim=40, latent=8, grid=3, width=30, layers=1)
+        rows = mappers.hashed_weights(runs, spec).toPandas()
+        for param, want in mappers.init_weights(spec).items():
+            own = rows[(rows.run_id == "a") & (rows.param == param)].sort_values("i").value.to_numpy()
+            assert own.size == want.size and np.isclose(own.std(), want.std(), rtol=0.35) and np.abs(own).max() <= np.abs(want).max() * 1.5 + 1e-12
+        a, b = (rows[(rows.run_id == r) & (rows.param == "mean.w")].value.to_numpy() for r in "ab")
+        assert not np.allclose(np.sort(a), np.sort(b))
+
+
 @pytest.mark.parametrize(("epochs", "every", "want"), [(12, 5, [5, 10, 12]), (10, 5, [5, 10]), (3, 5, [3])])
 def test_save_set(spark, epochs, every, want):
     df = spark.createDataFrame([("r", e, epochs) for e in range(epochs)], "run_id string, epoch int, epochs int")
