@@ -44,6 +44,9 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 WIDE = 100_000
 WIDE_GAP = re.compile(rf"(?<!\s)\s{{{WIDE}}}")
 
+BLURS = (0.0, 0.2, 0.5, 0.8)  # how far mutations stray from the order of lengths
+WORK = 200_000  # bins placed by an island in an epoch
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -130,14 +133,18 @@ def pack_documents(
     length: int = LENGTH,
     islands: int = 4,
     epochs: int = 3,
-    population: int = 6,
-    generations: int = 12,
+    population: int = 16,
+    generations: int | None = None,
     seed: int = 7,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Pieces with (sequence_id, offset): every sequence is filled from 0 without gaps, to ``length`` at most.
 
+    ``generations`` is the number of children that an island makes in an epoch, by default as
+    many as a fixed budget of placed bins allows; a search that reaches the lower bound of
+    :func:`least_sequences` ends at once.
+
     See :func:`cut_pieces` for nulls and repeats; an empty table gives no rows.
     """
     pieces = stored(cut_pieces(docs, tokenizer, length=length, id_col=id_col, text_col=text_col), "pack-pieces")
@@ -150,15 +157,17 @@ def pack_documents(
 Bins = dict[tuple[int, ...], int]  # descending lengths of one sequence -> how many such sequences
 
 
-def best_fit(bins: Bins, free: dict[int, int], length: int) -> Bins:
-    """Place ``free`` (length -> count) by best fit decreasing, into ``bins`` first.
+def best_fit(bins: Bins, free: dict[int, int], length: int, rng: random.Random | None = None, blur: float = 0.0) -> Bins:
+    """Place ``free`` (length -> count) by best fit, into ``bins`` first.
 
-    Pieces go to the fullest bin that takes them; equal bins are filled together.
+    Pieces go to the fullest bin that takes them; equal bins are filled together. Longer
+    pieces go first; ``blur`` lets shorter ones overtake those up to that share longer.
     """
     rooms: dict[int, list[list]] = {}
     for pattern, n in bins.items():
         rooms.setdefault(length - sum(pattern), []).append([pattern, n])
-    for size in sorted(free, reverse=True):
+    order = {s: s * rng.uniform(1 - blur, 1) if rng and blur else s for s in sorted(free)}
+    for size in sorted(order, key=lambda s: (-order[s], -s)):
         left = free[size]
         for room in sorted(r for r in rooms if r >= size):
             stack = rooms[room]
@@ -220,21 +229,22 @@ def cross(giver: Bins, taker: Bins, length: int, rng: random.Random) -> Bins:
             kept[p] = n - gone
     for p, n in gift.items():
         kept[p] = kept.get(p, 0) + n
-    return best_fit(kept, free, length)
+    return best_fit(kept, free, length, rng, rng.choice(BLURS))
 
 
 def mutate(bins: Bins, length: int, rng: random.Random) -> Bins:
     """Open the emptiest bins and some others, and place their pieces anew."""
     kept: Bins = {}
     free: dict[int, int] = {}
-    emptiest = sorted(bins, key=sum)[: max(2, len(bins) // 20)]
+    emptiest = set(sorted(bins, key=sum)[: max(2, len(bins) // 20)])
+    opened = rng.choice((0.1, 0.3, 0.6))
     for p, n in bins.items():
-        gone = n if p in emptiest else (rng.randint(0, n) if rng.random() < 0.1 else 0)
+        gone = n if p in emptiest else (rng.randint(0, n) if rng.random() < opened else 0)
         for size in p if gone else ():
             free[size] = free.get(size, 0) + gone
         if n > gone:
             kept[p] = n - gone
-    return best_fit(kept, free, length)
+    return best_fit(kept, free, length, rng, rng.choice(BLURS))
 
 
 def fitness(bins: Bins, length: int) -> tuple:
@@ -243,16 +253,41 @@ def fitness(bins: Bins, length: int) -> tuple:
     return count, -sum(n * sum(p) ** 2 for p, n in bins.items())
 
 
-def _evolve(histogram: dict[int, int], start: list[Bins], length: int, population: int, generations: int, rng: random.Random) -> list[Bins]:
+def least_sequences(histogram: dict[int, int], length: int) -> int:
+    """A lower bound of the number of sequences, tighter than tokens over length.
+
+    For any limit k up to half a sequence: pieces longer than ``length - k`` stand alone, no two of
+    those longer than half share one, and what pieces of k and more don't find room for beside the
+    latter needs sequences of its own.
+    """
+    sizes = np.array(sorted(histogram), np.int64)
+    counts = np.array([histogram[s] for s in sizes.tolist()], np.int64)
+    best = -(-int((sizes * counts).sum()) // length) if len(sizes) else 0
+    halves = sizes * 2 > length
+    for k in [0, *sizes[sizes * 2 <= length].tolist()]:
+        alone = sizes > length - k
+        middle = halves & ~alone
+        few = ~halves & (sizes >= k)
+        taken = (sizes * counts)[middle | few].sum() - counts[middle].sum() * length
+        best = max(best, int(counts[alone | middle].sum()) + max(0, -(-int(taken) // length)))
+    return best
+
+
+def generations_for(bins: int) -> int:
+    """Children of an island and epoch: a budget of bins placed, so small searches are long ones."""
+    return min(max(WORK // max(bins, 1), 24), 1200)
+
+
+def _evolve(histogram: dict[int, int], start: list[Bins], length: int, population: int, generations: int | None, rng: random.Random) -> list[Bins]:
     pool = list(start)
     if not pool:
         pool.append(best_fit({}, histogram, length))
     while len(pool) < population:
         pool.append(mutate(pool[rng.randrange(len(pool))], length, rng))
-    least = -(-sum(s * n for s, n in histogram.items()) // length)
-    for _ in range(generations):
+    least = least_sequences(histogram, length)
+    for _ in range(generations if generations is not None else generations_for(len(pool[0]))):
         pool.sort(key=lambda b: fitness(b, length))
-        if fitness(pool[0], length)[0] <= least:  # as few as the tokens fill: nothing to gain
+        if fitness(pool[0], length)[0] <= least:  # as few as there can be: nothing to gain
             break
         a, b = rng.sample(range(len(pool)), 2)
         child = cross(pool[min(a, b)], pool[max(a, b)], length, rng)
@@ -263,7 +298,7 @@ def _evolve(histogram: dict[int, int], start: list[Bins], length: int, populatio
     return sorted(pool, key=lambda b: fitness(b, length))[:population]
 
 
-def evolve_packing(histogram: DataFrame, length: int, islands: int, epochs: int, population: int, generations: int, seed: int) -> DataFrame:
+def evolve_packing(histogram: DataFrame, length: int, islands: int, epochs: int, population: int, generations: int | None, seed: int) -> DataFrame:
     """Bins (pattern array<int>, n) of the best packing over all islands; ``histogram`` has (length, n).
 
     A histogram has ``length`` rows at most and a population a few thousand bins; both are

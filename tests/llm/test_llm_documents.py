@@ -313,6 +313,39 @@ def test_every_step_keeps_all_pieces(histogram, seed):
     assert pieces(a) == pieces(b) == pieces(child) == histogram
 
 
+def triplets(n, length, seed):
+    """Pieces that fill n sequences to the brim by threes; best fit decreasing needs more."""
+    import random
+
+    rng, out = random.Random(seed), Counter()
+    for _ in range(n):
+        a = rng.randint(int(0.38 * length), int(0.49 * length))
+        b = rng.randint(int(0.25 * length), (length - a) // 2)
+        out.update([a, b, length - a - b])
+    return out
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_crossover_beats_best_fit(spark, seed):
+    histogram = triplets(40, 1024, seed)
+    frame = spark.createDataFrame(list(histogram.items()), "length long, n long")
+    plan = packing.evolve_packing(frame, 1024, 4, 3, 16, None, 7).collect()
+    assert Counter(s for r in plan for s in r["pattern"] for _ in range(r["n"])) == histogram
+    found = sum(r["n"] for r in plan)
+    assert packing.least_sequences(histogram, 1024) == 40 <= found < sum(packing.best_fit({}, dict(histogram), 1024).values())
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 6), max_size=12))
+def test_the_bound_is_one(histogram):
+    assert packing.least_sequences(histogram, 40) <= sum(packing.best_fit({}, histogram, 40).values())
+
+
+def test_the_bound_counts_pieces_that_cannot_share():
+    assert packing.least_sequences({600: 10, 500: 10}, 1024) == 15  # the tokens alone would fit 11
+    assert packing.least_sequences({1000: 3, 30: 2}, 1024) == 3 + 1 and packing.least_sequences({}, 1024) == 0
+
+
 def test_packing_is_never_worse_than_best_fit(spark):
     rng = np.random.default_rng(3)
     histogram = Counter(rng.integers(200, 500, 900).tolist())
