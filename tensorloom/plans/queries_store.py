@@ -397,7 +397,7 @@ def c14_default_logvar(spark: SparkSession, sf: str) -> DataFrame:
   round(sum(token_sum), 6) AS token_sum FROM st JOIN ts ON ts.item_id = st.item_id WHERE g // {SHARD} < 5 GROUP BY 1""",
 )
 def c15_load_shards(spark: SparkSession, sf: str) -> DataFrame:
-    held = feature_store.load_shards(spark, store_path(spark, sf), 5)
+    held = feature_store.load_shards(spark, store_path(spark, sf), 5, keep=False)
     return held.groupBy("shard_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.round(F.sum(total(F.col("tokens"))), 6).alias("token_sum")
     )

@@ -12,7 +12,10 @@ last.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +33,8 @@ from tensorloom.operators.shards import (
     shard_contents,
     shard_sizes,
 )
-from tensorloom.session import FILTER_INDICES, MAX_BROADCAST_ROWS, index_rows, shuffle_width, stored
-from tensorloom.sources.inventory import path_exists
+from tensorloom.session import FILTER_INDICES, MAX_BROADCAST_ROWS, index_rows, shuffle_width, stored, task_slots
+from tensorloom.sources.inventory import open_root, path_exists, qualified
 
 TENSORS = ("tokens", "gt_mean", "gt_logvar")
 ROWS_PER_FILE = 250  # ~0.25 GB of half-precision full-size rows
@@ -189,11 +192,19 @@ def drop_shards(spark: SparkSession, path: str, planned: DataFrame) -> int:
     if stale.isEmpty():
         return 0
     _save_table(found.join(stale, "shard_id", "left_anti"), path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system, gone = target.getFileSystem(spark._jsc.hadoopConfiguration()), 0
-    for row in stale.toLocalIterator():  # one folder each
-        gone += bool(system.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard_id={row['shard_id']}"), True))
-    return gone
+    base = qualified(spark, path)
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = open_root(base)
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                folder = f"{top}/shard_id={shard}"
+                if system.get_file_info(folder).type != fs.FileType.NotFound:  # a repeated task finds it gone
+                    system.delete_dir(folder)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    spread = stored(stale, "shards-stale").repartition(task_slots(spark), "shard_id")
+    return spread.mapInArrow(remove, "n long").agg(F.sum("n")).first()[0]
 
 
 def lookup(spark: SparkSession, path: str, indices: list[int] | DataFrame, meta: DataFrame | None = None) -> DataFrame:
@@ -236,8 +247,8 @@ def _of_shards(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids) if n <= MAX_BROADCAST_ROWS else ids, "shard_id", "left_semi")
 
 
-def load_shards(spark: SparkSession, path: str, num_shards: int, planned: DataFrame | None = None) -> DataFrame:
-    """The first ``num_shards`` shards, persisted; a missing or short shard is an error."""
+def load_shards(spark: SparkSession, path: str, num_shards: int, planned: DataFrame | None = None, *, keep: bool = True) -> DataFrame:
+    """The first ``num_shards`` shards, persisted if they are to ``keep``; a missing or short shard is an error."""
     found = committed_shards(spark, path).where(F.col("shard_id") < num_shards)
     if planned is None:
         planned = spark.range(num_shards).select(
@@ -249,7 +260,8 @@ def load_shards(spark: SparkSession, path: str, num_shards: int, planned: DataFr
     bad = [r["shard_id"] for r in gaps.orderBy("shard_id").take(20)]
     if bad:
         raise FileNotFoundError(f"missing or short shards (first 20): {bad}")
-    return read_store(spark, path).where(F.col("shard_id") < num_shards).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = read_store(spark, path).where(F.col("shard_id") < num_shards)
+    return rows.persist(StorageLevel.MEMORY_AND_DISK) if keep else rows
 
 
 def save_manifest(
