@@ -56,6 +56,7 @@ _COVERED = (
     f"(?:{_MARKED}|{_COMMON})*+{_CONTENT}(?:{_COMMON})*+{_CONTENT}"
 )
 _PAIR = " (?=([^ |]++ [^ |]++ ))"
+_CHAIN = f" \\+(?=([^ ]++ (?:{_MARKED}|{_COMMON})*+{_CONTENT}(?:{_MARKED}|{_COMMON})*+{_CONTENT}))"
 
 
 def signatures(text: Column) -> Column:
@@ -71,15 +72,18 @@ def signatures(text: Column) -> Column:
     def all_of(w: Column) -> Column:
         # the anchor, then content words only
         chains = F.transform(
-            F.regexp_extract_all(w, F.lit(_SPOT), F.lit(1)), lambda s: _number(F.regexp_replace(s, f" (?:{_STOP})+", " "))
+            F.regexp_extract_all(w, F.lit(_CHAIN), F.lit(1)),
+            lambda s: _number(F.regexp_replace(s, f" (?:{_MARKED}|{_COMMON})+", " ")),
+        )
+        pairs = F.transform(
+            F.regexp_extract_all(F.regexp_replace(w, _COVERED, "| "), F.lit(_PAIR), F.lit(1)), lambda s: _number(F.concat(F.lit("="), s))
         )
-        rest = F.regexp_replace(F.regexp_replace(w, _SPOT, " +"), _COVERED, "| ")
-        pairs = F.transform(F.regexp_extract_all(rest, F.lit(_PAIR), F.lit(1)), lambda s: _number(F.concat(F.lit("="), s)))
         none = F.expr("cast(array() as array<int>)")
         alone = F.when(F.trim(w).rlike("^[^ ]+$"), F.array(_number(F.concat(F.lit("="), w)))).otherwise(none)
         return F.concat(chains, pairs, alone)
 
-    return F.array_sort(F.array_distinct(bind(words, all_of)))  # bound: a text is normalised once
+    # bound: a text is normalised, and its anchors looked for, once
+    return F.sort_array(F.array_distinct(bind(F.regexp_replace(words, _SPOT, " +"), all_of)))
 
 
 def _number(chain: Column) -> Column:
