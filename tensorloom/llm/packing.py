@@ -45,7 +45,7 @@ WIDE = 100_000
 WIDE_GAP = re.compile(rf"(?<!\s)\s{{{WIDE}}}")
 
 BLURS = (0.0, 0.2, 0.5, 0.8)  # how far mutations stray from the order of lengths
-WORK = 200_000  # bins placed by an island in an epoch
+WORK = 20_000  # bins placed by an island in an epoch
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -279,23 +279,23 @@ def generations_for(bins: int) -> int:
 
 
 def _evolve(histogram: dict[int, int], start: list[Bins], length: int, population: int, generations: int | None, rng: random.Random) -> list[Bins]:
-    pool = list(start)
-    if not pool:
-        pool.append(best_fit({}, histogram, length))
-    while len(pool) < population:
-        pool.append(mutate(pool[rng.randrange(len(pool))], length, rng))
+    found = list(start) or [best_fit({}, histogram, length)]
+    while len(found) < population:
+        found.append(mutate(found[rng.randrange(len(found))], length, rng))
+    pool = sorted(((fitness(b, length), b) for b in found), key=lambda x: x[0])
     least = least_sequences(histogram, length)
-    for _ in range(generations if generations is not None else generations_for(len(pool[0]))):
-        pool.sort(key=lambda b: fitness(b, length))
-        if fitness(pool[0], length)[0] <= least:  # as few as there can be: nothing to gain
+    for _ in range(generations if generations is not None else generations_for(len(pool[0][1]))):
+        if pool[0][0][0] <= least:  # as few as there can be: nothing to gain
             break
-        a, b = rng.sample(range(len(pool)), 2)
-        child = cross(pool[min(a, b)], pool[max(a, b)], length, rng)
+        a, b = sorted(rng.sample(range(len(pool)), 2))
+        child = cross(pool[a][1], pool[b][1], length, rng)
         if rng.random() < 0.5:
             child = mutate(child, length, rng)
-        if fitness(child, length) < fitness(pool[-1], length):
-            pool[-1] = child
-    return sorted(pool, key=lambda b: fitness(b, length))[:population]
+        worth = fitness(child, length)
+        if worth < pool[-1][0]:
+            pool[-1] = (worth, child)
+            pool.sort(key=lambda x: x[0])
+    return [b for _, b in pool[:population]]
 
 
 def evolve_packing(histogram: DataFrame, length: int, islands: int, epochs: int, population: int, generations: int | None, seed: int) -> DataFrame:
