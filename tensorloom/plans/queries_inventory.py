@@ -127,7 +127,7 @@ def a3_load_images(spark: SparkSession, sf: str) -> DataFrame:
     return plane_sums(images.load_images(image_rows(spark, sf)))
 
 
-def plane_sums(pixels: DataFrame) -> DataFrame:
+def plane_sums(pixels: DataFrame, *keep: str) -> DataFrame:
     def level(v: Column) -> Column:
         return F.round(v.cast("double") * 255.0).cast("long")
 
@@ -141,6 +141,7 @@ def plane_sums(pixels: DataFrame) -> DataFrame:
         plane(2).alias("sum_b"),
         level(F.get("pixels", F.lit(0))).alias("first_r"),
         level(F.get("pixels", F.lit(128))).alias("first_b"),
+        *keep,
     )
 
 
@@ -195,9 +196,11 @@ def a3_read_files(spark: SparkSession, sf: str) -> DataFrame:
     root = written(spark, sf, "pictures", write)
     key = lambda path: F.regexp_extract(path, r"_?(\d+)\.png$", 1).cast("long").alias("vec_id")
     items = stored(inventory.scan_items(spark, root, "**/*.png").select(key("path"), "path"), "pictures")
-    pictures = images.read_listed_images(spark, items, root).select(key("image.origin"), "image")
-    refused = images.rejected_images(items, pictures, "vec_id").select("vec_id", "reason")
-    return plane_sums(images.load_images(pictures.where("image.height > 0"))).unionByName(refused, allowMissingColumns=True)
+    pictures = images.read_listed_images(spark, items, root).select(key("image.origin"), F.struct("image.height").alias("found"), "image")
+    # the files are opened in one pass: sums and rejects both come from the narrow rows it leaves
+    shown = stored(plane_sums(images.load_images(pictures), "found"), "pictures-shown")
+    refused = images.rejected_images(items, shown, "vec_id", "found").select("vec_id", "reason")
+    return shown.where("found.height > 0").drop("found").unionByName(refused, allowMissingColumns=True)
 
 
 # a grey JPEG of one 8x8 block, in hex: quantiser 8 throughout, so that the block's one coefficient is its

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.operators.panel import png_bytes
 from tensorloom.plans.images import image_batches
+from tensorloom.plans.queries_inventory import a3_read_files
 from tensorloom.sources import images, inventory
 from tensorloom.streaming import ingest
 from tensorloom.streaming.ingest import incremental_ingest
@@ -179,6 +180,21 @@ def test_pictures_of_any_name_are_read(spark, tmp_path):
     assert [(r["path"].split(top)[1], r["reason"]) for r in told.collect()] == [("_junk.png", "undecodable")]
 
 
+def test_picture_files_are_opened_in_one_pass(spark, tmp_path):
+    """Sums and rejects come from the rows of a single scan, so that the result itself opens no file."""
+    rows = [(i, [(i * 7 + k) % 11 / 6 - 0.9 for k in range(64)], i % 3) for i in range(45)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    shown = a3_read_files(spark, str(tmp_path))
+    assert "FileScan image" not in shown._jdf.queryExecution().executedPlan().toString()
+    got = {r["vec_id"]: r for r in shown.collect()}
+    assert len(got) == shown.count() == 45
+    for i, values, _ in rows:
+        levels = np.floor((np.array(values, np.float32).astype(float) + 1.0) * 127.5).astype(int)
+        red, rest = int(levels.sum()), (int(levels[0]), int(levels[63]))
+        want = (None,) * 5 + ("undecodable",) if i % 20 == 3 else (red, 255 * 64 - red, red, *rest, None)
+        assert tuple(got[i][c] for c in ("sum_r", "sum_g", "sum_b", "first_r", "first_b", "reason")) == want
+
+
 def test_load_png(spark, pictures):
     root, arrays = pictures
     rows = named(images.load_images(images.read_images(spark, str(root)))).collect()
