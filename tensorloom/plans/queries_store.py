@@ -13,6 +13,7 @@ from tensorloom.operators.encode import BatchModel, cut, encode_features
 from tensorloom.plans.catalog import half_sql, query, table, unnest_sql, written
 from tensorloom.plans.pre_encode import pre_encode
 from tensorloom.plans.queries_inventory import image_rows
+from tensorloom.session import stored
 from tensorloom.sources import store as feature_store
 from tensorloom.sources import versions
 from tensorloom.sources.images import load_images
@@ -22,13 +23,18 @@ GRID, DIM = 4, 4  # a 64-value vector read as 16 tokens of 4 channels
 HALF = half_sql("v")
 
 
-def encoded(spark: SparkSession, sf: str) -> DataFrame:
-    """Embeddings as an encoded corpus: 16 tokens, a 4x8x8 latent, and log-variances
-    that are missing for the older labels 0-2."""
+def indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings with their places in the store."""
     rows = table(spark, sf, "embeddings")
-    indexed = shards.assign_shards(rows.select("vec_id"), "vec_id", SHARD).join(rows, "vec_id")
+    return shards.assign_shards(rows.select("vec_id"), "vec_id", SHARD).join(rows, "vec_id")
+
+
+def encoded(rows: DataFrame) -> DataFrame:
+    """Indexed embeddings as an encoded corpus: 16 tokens, a 4x8x8 latent, and log-variances
+    that are missing for the older labels 0-2."""
+    # a step of its own: the log-variances take the latent as it is, not a second one
     up = latent.upsample2x(latent.tokens_to_grid(F.col("embedding"), DIM, GRID), DIM, GRID)
-    return indexed.select(
+    return rows.withColumn("gt_mean", up).select(
         "global_idx",
         F.col("vec_id").alias("item_id"),
         F.format_string("emb/%d.png", "vec_id").alias("path"),
@@ -36,17 +42,25 @@ def encoded(spark: SparkSession, sf: str) -> DataFrame:
         "offset",
         "label",
         F.col("embedding").alias("tokens"),
-        up.alias("gt_mean"),
-        F.when(F.col("label") >= 3, F.transform(up, lambda v: F.abs(v) - 1.0)).alias("gt_logvar"),
+        "gt_mean",
+        F.when(F.col("label") >= 3, F.transform("gt_mean", lambda v: F.abs(v) - 1.0)).alias("gt_logvar"),
     )
 
 
-def store_path(spark: SparkSession, sf: str) -> str:
-    return written(
-        spark, sf, "store", lambda path: feature_store.write_shards(encoded(spark, sf), path, rows_per_file=32)
+def write_encoded(spark: SparkSession, sf: str, path: str, rows_per_file: int, **options) -> None:
+    """A store of the encoded embeddings. Places are found once, and rows go to the task of their
+    file as narrow as the table has them: tensors are made and written there."""
+    rows = stored(indexed(spark, sf), "store-indexed")
+    placed = feature_store.place_rows(rows, rows_per_file)
+    feature_store.write_shards(
+        encoded(placed), path, rows_per_file=rows_per_file, placed=True, replacing=rows.select("shard_id"), **options
     )
 
 
+def store_path(spark: SparkSession, sf: str) -> str:
+    return written(spark, sf, "store", lambda path: write_encoded(spark, sf, path, 32))
+
+
 STORE = f"""st AS (SELECT vec_id AS item_id, label, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS g
   FROM embeddings),
 tk AS (SELECT item_id, i, {HALF} AS v FROM ({unnest_sql("embeddings", "vec_id AS item_id", "embedding")})),
@@ -147,7 +161,7 @@ def c5_write_shards_packed(spark: SparkSession, sf: str) -> DataFrame:
     """The same store with tensors packed as binary16."""
 
     def write(path: str) -> None:
-        feature_store.write_shards(encoded(spark, sf), path, storage="half")
+        write_encoded(spark, sf, path, feature_store.ROWS_PER_FILE, storage="half")
 
     back = feature_store.read_store(spark, written(spark, sf, "store-half", write))
     return back.select("item_id", total(F.col("tokens")).alias("token_sum"))
@@ -157,7 +171,7 @@ def versioned_path(spark: SparkSession, sf: str) -> str:
     """A store of two versions: the second one replaces every third shard by the doubled tensors."""
 
     def write(path: str) -> None:
-        rows = encoded(spark, sf)
+        rows = encoded(indexed(spark, sf))
         versions.commit_shards(rows, path, rows_per_file=32)
         doubled = rows.where("shard_id % 3 = 1").withColumn("tokens", F.transform("tokens", lambda v: v * 2))
         versions.commit_shards(doubled, path, rows_per_file=32)

@@ -126,6 +126,24 @@ def store_schema(spark: SparkSession, path: str) -> T.StructType:
     return spark.read.option("mergeSchema", "true").parquet(path).schema
 
 
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+LISTING_TASKS = 4  # for each task slot
+
+
+def open_files(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The files of a store, whose folders are listed by a few tasks for each slot.
+
+    Left alone, Spark starts one task for each folder, that is for each shard, and
+    starting it takes far longer than the listing.
+    """
+    reader, before = spark.read if schema is None else spark.read.schema(schema), spark.conf.get(LISTING, None)
+    spark.conf.set(LISTING, str(min(int(before or 10_000), LISTING_TASKS * task_slots(spark))))
+    try:
+        return reader.parquet(path)  # lists at once
+    finally:
+        spark.conf.unset(LISTING) if before is None else spark.conf.set(LISTING, before)
+
+
 def _save_schema(spark: SparkSession, schema: T.StructType, path: str) -> None:
     text = spark.createDataFrame([(schema.json(),)], "value string").coalesce(1)
     text.write.mode("overwrite").text(f"{path.rstrip('/')}_schema")
@@ -138,7 +156,7 @@ def _save_table(shards: DataFrame, path: str) -> None:
 
 def _counted(spark: SparkSession, path: str, schema: T.StructType, only: DataFrame | None = None) -> DataFrame:
     """The shard table of what is on disk (or of ``only`` some shards); reads positions and ids only."""
-    rows = spark.read.schema(schema).parquet(path)
+    rows = open_files(spark, path, schema)
     rows = rows if only is None else _of_shards(rows, only)
     if not {"item_id", "offset"} <= set(rows.columns):
         return shard_sizes(rows).withColumns({c: F.lit(None).cast("long") for c in CONTENT})
@@ -156,7 +174,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     for name in TENSORS:
         if name not in schema.names:
             schema = schema.add(name, tensor)
-    raw = spark.read.schema(schema).parquet(path)
+    raw = open_files(spark, path, schema)
     if isinstance(tensor, T.BinaryType):
         raw = raw.withColumns({t: unpack_half(F.col(t)) for t in TENSORS})
     return default_logvar(raw)
@@ -164,7 +182,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 def read_keys(spark: SparkSession, path: str) -> DataFrame:
     """Positions only; no tensor column is read."""
-    return spark.read.parquet(path).select("global_idx", "item_id", "shard_id", "offset")
+    return open_files(spark, path).select("global_idx", "item_id", "shard_id", "offset")
 
 
 def committed_shards(spark: SparkSession, path: str) -> DataFrame:

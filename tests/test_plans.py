@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.functions.ranking import hash_rank, order_rank
 from tensorloom.operators import shards, split
+from tensorloom.plans import queries_store
 from tensorloom.sources import store as fs
 from tests_support import make_store
 
@@ -124,3 +125,51 @@ def test_a_write_counts_its_own_shards_only(spark, tmp_path):
     fs.write_shards(fs.stored(rows, "t"), path)
     told = lambda df: sorted(map(tuple, df.select("shard_id", "n_images", "word_0").collect()))
     assert told(fs.committed_shards(spark, path)) == told(fs.counted_shards(spark, path))
+
+
+def listing_tasks(spark, run):
+    """Tasks of the jobs that list folders while ``run`` runs."""
+    sc, group = spark.sparkContext, f"listed-{id(run)}"
+    sc.setJobGroup(group, "listed")
+    try:
+        out = run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    told = sc.statusTracker()
+    stages = [told.getStageInfo(s) for j in told.getJobIdsForGroup(group) for s in told.getJobInfo(j).stageIds]
+    return out, sum(s.numTasks for s in stages)
+
+
+def test_folders_of_a_store_are_listed_by_few_tasks(spark, tmp_path):
+    path, one = make_store(spark, str(tmp_path / "store"), (1,)), tmp_path / "store"
+    (file,) = (f for f in one.glob("shard_id=0/*.parquet"))
+    for shard in range(1, 60):
+        (one / f"shard_id={shard}").mkdir()
+        (one / f"shard_id={shard}" / "a.parquet").write_bytes(file.read_bytes())
+    before = spark.conf.get(fs.LISTING)
+    for read in (lambda: fs.read_store(spark, path), lambda: fs._counted(spark, path, fs.store_schema(spark, path))):
+        rows, tasks = listing_tasks(spark, read)
+        assert 0 < tasks <= 4 * 4 + 2 and rows.select("shard_id").distinct().count() == 60  # 4 slots
+        assert spark.conf.get(fs.LISTING) == before
+    spark.conf.set(fs.LISTING, "7")
+    try:
+        assert fs.read_keys(spark, path).count() == 60 and spark.conf.get(fs.LISTING) == "7"
+    finally:
+        spark.conf.unset(fs.LISTING)
+
+
+def test_encoded_rows_reach_their_file_narrow(spark, tmp_path, monkeypatch):
+    """The latent is made once for each row, after the exchange that brings the rows of a file together."""
+    rows = [(i, [((i + k) % 9 - 4) / 5 for k in range(64)], i % 5) for i in range(150)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    taken, write = [], fs.write_shards
+    monkeypatch.setattr(fs, "write_shards", lambda df, path, **more: (taken.append((df, more)), write(df, path, **more)))
+    back = fs.read_store(spark, queries_store.store_path(spark, str(tmp_path)))
+    ((df, more),) = taken
+    assert more["placed"] and more["replacing"] is not None
+    text = plan(df)
+    assert text.count("flatten") and "flatten" not in text[text.index("Exchange") :]
+    got = sorted(back.select("shard_id", "offset", "item_id", F.size("tokens"), F.size("gt_mean"), F.size("gt_logvar")).collect())
+    assert got == [(i // 64, i % 64, i, 64, 256, 256) for i in range(150)]
+    near = back.where("item_id = 9").select("gt_mean", "gt_logvar").first()
+    assert all(abs(abs(a) - 1 - b) < 2e-3 for a, b in zip(near["gt_mean"], near["gt_logvar"], strict=True))
